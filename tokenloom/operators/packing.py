@@ -76,3 +76,22 @@ def batch_blocks(blocks: DataFrame, batch_size: int) -> DataFrame:
 def lanes(indexed: DataFrame, n_lanes: int) -> DataFrame:
     """Deal documents round robin by `doc_idx`; each lane packs on its own."""
     return indexed.withColumn("lane", (F.col("doc_idx") % n_lanes).cast("int"))
+
+
+def tail_of(placed: DataFrame, block_size: int, groups: tuple[str, ...]) -> DataFrame:
+    """Per group: how many whole blocks it has, and the ids after the last of them.
+
+    Only documents that reach into the open block contribute, cut to their part of it.
+    """
+    width, keys = F.lit(block_size + 1).cast("long"), list(groups)
+    ends = placed.groupBy(*keys).agg(F.max(F.col("offset") + F.size("ids")).alias("total"))
+    open_at = F.col("total") - F.col("total") % width
+    reaching = placed.join(ends, keys).where(F.col("offset") + F.size("ids") > open_at)
+    skip = F.greatest(open_at - F.col("offset"), F.lit(0)).cast("int")
+    parts = reaching.select(
+        *keys, F.struct(F.col("offset"), F.slice("ids", skip + 1, F.size("ids") - skip).alias("piece")).alias("part")
+    )
+    tails = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = F.flatten(F.transform("parts", lambda p: p["piece"]))
+    counts = ends.select(*keys, F.floor(F.col("total") / width).cast("long").alias("n_blocks"))
+    return counts.join(tails.select(*keys, joined.alias("ids")), keys, "left")
