@@ -11,8 +11,12 @@ import warnings
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-LEX_FIELDS = T.StructType.fromDDL(
-    "lex array<struct<kind:string,src:string,line:int>>, doc_lines array<int>, lex_ok boolean"
+LEXEME = T.StructType().add("kind", "string").add("src", "string").add("line", "integer")
+LEX_FIELDS = (
+    T.StructType()
+    .add("lex", T.ArrayType(LEXEME))
+    .add("doc_lines", T.ArrayType(T.IntegerType()))
+    .add("lex_ok", "boolean")
 )
 # The statements whose first body statement can be a docstring.
 DOCSTRING_OWNERS = (ast.Module, ast.ClassDef, ast.FunctionDef)
@@ -21,10 +25,13 @@ _BATCH_CHARS = 1 << 20
 
 
 def docstring_lines(source: str) -> list[int]:
-    """Start lines of constants that open a body; none if the source does not parse."""
+    """Start lines of constants that open a body; none if the source does not parse.
+
+    The parser reports text too deep for it as a memory or recursion error.
+    """
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return []
     bodies = (n.body for n in ast.walk(tree) if isinstance(n, DOCSTRING_OWNERS))
     openers = (body[0] for body in bodies if body)

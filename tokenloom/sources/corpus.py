@@ -33,10 +33,5 @@ def scan_corpus(
 
 def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
     """One row per file below `path`: its location as `doc_id`, its whole text as `content`."""
-    files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tokenloom.operators.ordering import order_bounds
 from tokenloom.operators.packing import doc_offsets, pack_placed, shift_targets, tail_of
-from tokenloom.session import stage_table
 
 STATE_SCHEMA = T.StructType(
     [
@@ -45,10 +44,8 @@ class PackStream:
 
     def handle(self, batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
-        fresh = stage_table(
-            batch_df.select("doc_id", (F.col("doc_id") % self.n_lanes).cast("int").alias("lane"), "ids"),
-            "stream-batch",
-        )
+        lane = (F.col("doc_id") % self.n_lanes).cast("int").alias("lane")
+        fresh = batch_df.select("doc_id", lane, "ids").persist()
         carried = self._state(spark, batch - 1)
         low, high = order_bounds(fresh, "doc_id")
         # The open block of a lane comes before every document of this micro-batch.
@@ -66,6 +63,7 @@ class PackStream:
             (F.coalesce("next_block", F.lit(0)) + F.coalesce("n_blocks", F.lit(0))).alias("next_block"),
             F.coalesce("ids", F.array().cast("array<int>")).alias("ids"),
         ).coalesce(1).write.mode("overwrite").parquet(self._state_path(batch))
+        fresh.unpersist()
 
     def run(self, encoded: DataFrame, checkpoint: str) -> None:
         """Process all input there is, then stop."""
