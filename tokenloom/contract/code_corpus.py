@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.sources.corpus import spread
+
 
 @dataclass(frozen=True)
 class Template:
@@ -134,4 +136,4 @@ def column_sql(field: str) -> str:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.selectExpr("p_partkey AS doc_id", f"{column_sql('source')} AS content")
+    return spread(part.selectExpr("p_partkey AS doc_id", f"{column_sql('source')} AS content"), "doc_id")

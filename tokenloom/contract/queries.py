@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tokenloom.contract.code_corpus import code_corpus
 from tokenloom.functions import lexemes as rules
@@ -428,7 +428,7 @@ def streamed_pack(spark, sf_dir):
     for part in range(3):
         low, high = top * part // 3, top * (part + 1) // 3
         docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)).coalesce(1).write.mode("append").parquet(source)
-    cleaned = stream_clean(corpus_stream(spark, source, files_per_trigger=1), 0.0, code=False)
+    cleaned = stream_clean(corpus_stream(spark, source, files_per_trigger=1, partitions=spark.sparkContext.defaultParallelism), 0.0, code=False)
     packer = PackStream(scratch_path(spark, "stream-pack"), BLOCK, LANES)
     packer.run(stream_encode(cleaned, Vocabulary()), scratch_path(spark, "stream-cp"))
     rows = packer.blocks(spark)
@@ -438,42 +438,45 @@ def streamed_pack(spark, sf_dir):
 # --- scored tables -----------------------------------------------------------------------
 
 
-def eval_pairs(spark, sf_dir):
-    """(split, batch_id, ctx, next_id, n): adjacent ids within the blocks, counted."""
+def eval_blocks(spark, sf_dir):
     corpus = documents(spark, sf_dir)
-    blocks = training_blocks(corpus, Vocabulary(), EVAL_BLOCK, BATCH, TAKE, 0.0, code=False)
+    return training_blocks(corpus, Vocabulary(), EVAL_BLOCK, BATCH, TAKE, 0.0, code=False)
+
+
+def counted_pairs(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Adjacent ids within the blocks and how often they occur, per `keys`."""
     pairs = F.arrays_zip(F.col("x").alias("ctx"), F.col("y").alias("next_id"))
-    return (
-        blocks.select("split", "batch_id", F.inline(pairs))
-        .groupBy("split", "batch_id", "ctx", "next_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return blocks.select(*keys, F.inline(pairs)).groupBy(*keys, "ctx", "next_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bigram_scores(pairs: DataFrame) -> DataFrame:
-    """Add-one smoothed log scores; at most one row per id pair of the vocabulary."""
-    train = pairs.where("split = 'train'").groupBy("ctx", "next_id").agg(F.sum("n").alias("c"))
-    totals = train.groupBy("ctx").agg(F.sum("c").alias("t"))
+def bigram_scores(blocks: DataFrame) -> DataFrame:
+    """Add-one smoothed log scores of the train side; at most one row per id pair."""
+    train = counted_pairs(blocks.where("split = 'train'"))
+    total = F.sum("n").over(Window.partitionBy("ctx"))
     size = Vocabulary().size
-    return train.join(totals, "ctx").select(
-        "ctx", "next_id", F.log((F.col("c") + 1) / (F.col("t") + size)).alias("score"), "t"
+    return train.withColumn("t", total).select(
+        "ctx", "next_id", F.log((F.col("n") + 1) / (F.col("t") + size)).alias("score"), "t"
     )
 
 
+def scores_of(spark, sf_dir):
+    return bigram_scores(eval_blocks(spark, sf_dir)).select("ctx", "next_id", "score")
+
+
 def renormalized(spark, sf_dir):
-    scores = bigram_scores(eval_pairs(spark, sf_dir)).select("ctx", "next_id", "score")
+    scores = scores_of(spark, sf_dir)
     kept = topk_renormalize(scores, 10, 0.8)
     return kept.select("ctx", "next_id", F.round("score", 6).alias("score"), F.round("prob", 6).alias("prob"))
 
 
 def best_next(spark, sf_dir):
-    scores = bigram_scores(eval_pairs(spark, sf_dir)).select("ctx", "next_id", "score")
+    scores = scores_of(spark, sf_dir)
     return topk_exact(scores, 5).withColumn("score", F.round("score", 6))
 
 
 def best_beams(spark, sf_dir):
     """Two steps from every context: five beams, five continuations each, the best five kept."""
-    scores = bigram_scores(eval_pairs(spark, sf_dir)).select("ctx", "next_id", "score")
+    scores = scores_of(spark, sf_dir)
     top = stage_table(topk_exact(scores, 5), "top")
     first = top.select(F.col("ctx").alias("prompt"), F.col("next_id").alias("beam"), F.col("score").alias("s1"))
     second = top.select(F.col("ctx").alias("beam"), "next_id", F.col("score").alias("s2"))
@@ -484,12 +487,12 @@ def best_beams(spark, sf_dir):
 
 
 def loss(spark, sf_dir):
-    pairs = stage_table(eval_pairs(spark, sf_dir), "pairs")
-    scores = bigram_scores(pairs)
+    blocks = eval_blocks(spark, sf_dir)
+    scores = stage_table(bigram_scores(blocks), "scores")
     totals = scores.groupBy("ctx").agg(F.first("t").alias("t0"))
     unseen = F.log(1 / (F.coalesce("t0", F.lit(0)) + Vocabulary().size))
     scored = (
-        pairs.where("split = 'val'")
+        counted_pairs(blocks.where("split = 'val'"), "batch_id")
         .join(scores.select("ctx", "next_id", "score"), ["ctx", "next_id"], "left")
         .join(totals, "ctx", "left")
         .select("batch_id", F.coalesce("score", unseen).alias("logp"), "n")

@@ -16,6 +16,28 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left.astype(np.int64) << 32) | right.astype(np.int64)
 
 
+def sum_pairs(tokens: np.ndarray, starts: np.ndarray, weights: np.ndarray):
+    """Weighted counts of adjacent pairs within units: (pair keys, sums)."""
+    left, right = tokens[:-1].astype(np.int64), tokens[1:].astype(np.int64)
+    per_place = np.repeat(weights, np.diff(np.append(starts, len(tokens))))[:-1].astype(np.float64)
+    per_place[starts[1:] - 1] = 0
+    width = int(tokens.max()) + 1
+    if width * width <= 2 * len(tokens) + _SMALL_TABLE:
+        sums = np.bincount(left * width + right, weights=per_place, minlength=width * width)
+        found = np.flatnonzero(sums)
+        return pair_keys(found // width, found % width), sums[found].astype(np.int64)
+    keys = pair_keys(left, right)
+    order = np.argsort(keys, kind="stable")
+    keys, per_place = keys[order], per_place[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sums = np.add.reduceat(per_place, heads).astype(np.int64)
+    return keys[heads][sums > 0], sums[sums > 0]
+
+
+# Cells of a dense pair table that are cheap to hold in any task.
+_SMALL_TABLE = 1 << 22
+
+
 class MergeTable:
     """Merges prepared for lookup: pair -> (rank, new id)."""
 
@@ -37,11 +59,21 @@ class MergeTable:
         self.fresh[1:] = self.new_id[1:] > seen[:-1]
         parts = np.maximum(np.asarray(left, dtype=np.int32), np.asarray(right, dtype=np.int32))
         self.fresh &= self.new_id > parts
+        self.all_fresh = bool(self.fresh.all())
+        width = int(max(parts.max(), self.new_id.max())) + 1 if self.size else 0
+        self.dense = None
+        if 0 < width * width <= _SMALL_TABLE:
+            # The last row and column stand for ids no merge mentions.
+            self.dense = np.full((width + 1, width + 1), self.size, dtype=np.int32)
+            self.dense[self.keys >> 32, self.keys & 0xFFFFFFFF] = self.ranks
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or `size` where the pair is never merged."""
         if not self.size:
             return np.zeros(len(left), dtype=np.int32)
+        if self.dense is not None:
+            edge = self.dense.shape[0] - 1
+            return self.dense[np.minimum(left, edge), np.minimum(right, edge)]
         wanted = pair_keys(left, right)
         slot = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[slot] == wanted, self.ranks[slot], self.size).astype(np.int32)
@@ -67,6 +99,7 @@ def replay(tokens: np.ndarray, starts: np.ndarray, table: MergeTable, revisit: b
     prv[starts] = -1
     alive = np.ones(n, dtype=bool)
     rank = np.full(n, none, dtype=np.int32)
+    marked = np.zeros(n, dtype=bool)
     inner = np.flatnonzero(nxt >= 0)
     rank[inner] = table.rank_of(tok[inner], tok[inner + 1])
 
@@ -93,10 +126,15 @@ def replay(tokens: np.ndarray, starts: np.ndarray, table: MergeTable, revisit: b
     while queue:
         r = heapq.heappop(queue)
         groups = waiting.pop(r)
-        at = groups[0] if len(groups) == 1 else np.unique(np.concatenate(groups))
+        at = groups[0] if len(groups) == 1 else np.concatenate(groups)
         at = at[alive[at] & (rank[at] == r)]
         if not len(at):
             continue
+        # A place meets one rank once, unless a merge can lead back to an older token.
+        if not table.all_fresh:
+            at = np.unique(at)
+        elif table.self_pair[r]:
+            at = np.sort(at)
         if table.self_pair[r] and len(at) > 1:
             # In a run of equal tokens every second place starts a merge.
             linked = np.zeros(len(at), dtype=bool)
@@ -121,7 +159,10 @@ def replay(tokens: np.ndarray, starts: np.ndarray, table: MergeTable, revisit: b
         alive[gone] = False
         rank[gone] = none
         before = prv[at]
-        touched = np.unique(np.concatenate((at, before[before >= 0])))
+        marked[at] = True
+        before = before[(before >= 0) & ~marked[before]]
+        marked[at] = False
+        touched = np.concatenate((at, before))
         follow = nxt[touched]
         ends = follow < 0
         ranks = table.rank_of(tok[touched], tok[np.where(ends, 0, follow)])

@@ -14,6 +14,11 @@ def doc_offsets(
     return prefix_sum(encoded, order, F.size("ids"), "offset", groups, bounds)
 
 
+def _whole(value, width: int):
+    """Integer quotient; positions in a large corpus outgrow exact doubles."""
+    return F.call_function("div", value, F.lit(width).cast("long"))
+
+
 def _pieces(placed: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """Each document's ids cut at the block borders: (block_id, pos, piece).
 
@@ -21,8 +26,8 @@ def _pieces(placed: DataFrame, width: int, keys: list[str]) -> DataFrame:
     """
     start, count = F.col("offset"), F.size("ids").cast("long")
     span = F.lit(width).cast("long")
-    first = F.floor(start / span).cast("long")
-    last = F.floor((start + count - 1) / span).cast("long")
+    first = _whole(start, width)
+    last = _whole(start + count - 1, width)
 
     def piece(block):
         at = F.greatest(start, block * span)
@@ -70,7 +75,7 @@ def shift_targets(blocks: DataFrame) -> DataFrame:
 
 def batch_blocks(blocks: DataFrame, batch_size: int) -> DataFrame:
     """Number the batches; the last one may be short."""
-    return blocks.withColumn("batch_id", F.floor(F.col("block_id") / batch_size).cast("long"))
+    return blocks.withColumn("batch_id", _whole(F.col("block_id"), batch_size))
 
 
 def lanes(indexed: DataFrame, n_lanes: int) -> DataFrame:
@@ -93,5 +98,5 @@ def tail_of(placed: DataFrame, block_size: int, groups: tuple[str, ...]) -> Data
     )
     tails = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     joined = F.flatten(F.transform("parts", lambda p: p["piece"]))
-    counts = ends.select(*keys, F.floor(F.col("total") / width).cast("long").alias("n_blocks"))
+    counts = ends.select(*keys, _whole(F.col("total"), block_size + 1).alias("n_blocks"))
     return counts.join(tails.select(*keys, joined.alias("ids")), keys, "left")

@@ -24,28 +24,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tokenloom.operators.merge_kernel import MergeTable, pair_keys, replay, split_runs
+from tokenloom.operators.merge_kernel import MergeTable, pair_keys, replay, split_runs, sum_pairs
 from tokenloom.operators.segments import segment_counts
 from tokenloom.operators.vocabulary import ALPHABET, SPECIAL_TOKENS, Vocabulary
 from tokenloom.session import shared_dir
 
 
-def _flat(batch: pa.RecordBatch):
-    """Tokens, unit starts and weights of a batch of non-empty id arrays."""
-    ids = batch.column("ids")
-    offsets = ids.offsets.to_numpy().astype(np.int64)
-    tokens = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return tokens.astype(np.int32, copy=False), offsets[:-1] - offsets[0], batch.column("n").to_numpy()
+# Between the passes a unit is a BINARY of little-endian 32-bit ids: it goes to Arrow and back
+# as one copy, where an array column is converted element by element.
+_ID = np.dtype("<i4")
 
 
-def _ids_array(tokens: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, type=pa.int32()))
+def _flat(batch: pa.RecordBatch):
+    """Tokens, unit starts and weights of a batch of non-empty units."""
+    ids = batch.column("ids")
+    _, ends, data = ids.buffers()
+    offsets = np.frombuffer(ends, dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1] // _ID.itemsize
+    tokens = np.frombuffer(data, dtype=_ID)[offsets[0] : offsets[-1]] if len(ids) else np.empty(0, _ID)
+    return tokens, offsets[:-1].astype(np.int64) - offsets[0], batch.column("n").to_numpy()
 
 
-def _summed(key: pa.Array, n: np.ndarray) -> pa.Table:
-    table = pa.table({"k": key, "n": pa.array(n, type=pa.int64())})
-    return table.group_by("k", use_threads=False).aggregate([("n", "sum")])
+def _packed(tokens: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One BINARY value per stretch of `lengths` tokens."""
+    offsets = np.concatenate(([0], np.cumsum(lengths) * _ID.itemsize)).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(tokens.astype(_ID).tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
 
 
 def _count_pairs(segments: DataFrame) -> DataFrame:
@@ -54,19 +57,10 @@ def _count_pairs(segments: DataFrame) -> DataFrame:
             tokens, starts, n = _flat(batch)
             if len(tokens) < 2:
                 continue
-            inside = np.ones(len(tokens) - 1, dtype=bool)
-            inside[starts[1:] - 1] = False
-            weight = np.repeat(n, np.diff(np.append(starts, len(tokens))))[:-1]
-            keys = pair_keys(tokens[:-1], tokens[1:])
-            sums = _summed(pa.array(keys[inside]), weight[inside])
-            key = sums.column("k").to_numpy()
+            key, n = sum_pairs(tokens, starts, n)
+            left, right = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((key >> 32).astype(np.int32)),
-                    pa.array((key & 0xFFFFFFFF).astype(np.int32)),
-                    sums.column("n_sum").combine_chunks(),
-                ],
-                ["left_id", "right_id", "n"],
+                [pa.array(left), pa.array(right), pa.array(n)], ["left_id", "right_id", "n"]
             )
 
     partial = segments.mapInArrow(run, "left_id int, right_id int, n long")
@@ -82,17 +76,9 @@ def _count_runs(segments: DataFrame, frontier: np.ndarray) -> DataFrame:
             flat, lengths, unit = split_runs(tokens, starts, frontier)
             if not len(lengths):
                 continue
-            offsets = np.concatenate(([0], np.cumsum(lengths) * 4)).astype(np.int64)
-            raw = pa.Array.from_buffers(
-                pa.large_binary(),
-                len(lengths),
-                [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype("<i4").tobytes())],
-            )
-            sums = _summed(raw, n[unit])
-            yield pa.RecordBatch.from_arrays(
-                [sums.column("k").combine_chunks().cast(pa.binary()), sums.column("n_sum").combine_chunks()],
-                ["run", "n"],
-            )
+            pieces = pa.table({"run": _packed(flat, lengths), "n": pa.array(n[unit])})
+            sums = pieces.group_by("run", use_threads=False).aggregate([("n", "sum")])
+            yield from sums.rename_columns({"n_sum": "n"}).select(["run", "n"]).to_batches()
 
     return segments.mapInArrow(run, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
@@ -107,9 +93,9 @@ def _merge_units(segments: DataFrame, merges: list[tuple[int, int, int]]) -> Dat
             if not len(starts):
                 continue
             merged, lengths = replay(tokens, starts, table, revisit=False)
-            yield pa.RecordBatch.from_arrays([_ids_array(merged, lengths), batch.column("n")], ["ids", "n"])
+            yield pa.RecordBatch.from_arrays([_packed(merged, lengths), batch.column("n")], ["ids", "n"])
 
-    return segments.mapInArrow(run, "ids array<int>, n long")
+    return segments.mapInArrow(run, "ids binary, n long")
 
 
 def _replace_pair(run: list[int], left: int, right: int, new: int) -> list[int]:
@@ -190,10 +176,10 @@ def _encode_characters(counted: DataFrame, tokens: list[str]) -> DataFrame:
             ids = np.searchsorted(codes, points) + len(SPECIAL_TOKENS)
             lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             yield pa.RecordBatch.from_arrays(
-                [_ids_array(ids.astype(np.int32), lengths), batch.column("n")], ["ids", "n"]
+                [_packed(ids, lengths), batch.column("n")], ["ids", "n"]
             )
 
-    return counted.mapInArrow(run, "ids array<int>, n long")
+    return counted.mapInArrow(run, "ids binary, n long")
 
 
 def train_bpe(
@@ -240,9 +226,7 @@ def train_bpe(
             only = frontier[0]
             runs = [([only["left_id"], only["right_id"]], only["n"])]
         else:
-            runs = [
-                (np.frombuffer(r["run"], dtype="<i4").tolist(), r["n"]) for r in counted_runs.toLocalIterator()
-            ]
+            runs = [(np.frombuffer(r["run"], dtype=_ID).tolist(), r["n"]) for r in counted_runs.collect()]
         counted_runs.unpersist()
         end = frontier[-1]
         batch = plan_batch(
@@ -252,8 +236,9 @@ def train_bpe(
         rounds += 1
         if log:
             log(f"round {rounds}: frontier {len(frontier)}, run tokens {int(total)}, merges {len(batch)}")
-        # Grow or shrink the frontier towards the budget.
-        frontier_size = max(16, min(int(len(frontier) * min(4.0, 0.7 * run_budget / max(total, 1))), 50_000))
+        # Merging flattens the counts, so the same budget soon holds more pairs.
+        growth = max(1.25, min(2.5, 0.5 * run_budget / max(total, 1)))
+        frontier_size = min(int(len(frontier) * growth) + 1, 50_000)
         if len(tokens) >= vocab_size:
             break
         merged = _merge_units(current, batch).persist()

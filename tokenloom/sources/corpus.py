@@ -9,6 +9,19 @@ CORPUS_SCHEMA = T.StructType(
 )
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a corpus that comes in few splits.
+
+    Only a plain scan with fewer splits than cores is moved: at most a split per core, less
+    than the Python work on it costs. A large corpus has splits enough and is left alone.
+    Filters and column choices still pass through to the scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= 2 * cores:
+        return scan
+    return scan.repartition(2 * cores, key)
+
+
 def scan_corpus(
     spark: SparkSession,
     path: str,
@@ -28,7 +41,8 @@ def scan_corpus(
     rows = spark.read.schema(T.StructType(fields)).parquet(path)
     if language is not None:
         rows = rows.where(F.col(language_column) == language)
-    return rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("content"))
+    corpus = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("content"))
+    return spread(corpus, "doc_id")
 
 
 def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:

@@ -15,7 +15,12 @@ def corpus_stream(
     files_per_trigger: int = 1000,
     pattern: str = "*.parquet",
     text: str = "text",
+    partitions: int | None = None,
 ) -> DataFrame:
+    """`doc_id, content` of the files as they arrive.
+
+    `partitions` spreads a micro-batch of few files over the cores before the work on it.
+    """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(text, T.StringType())])
     rows = (
         spark.readStream.schema(schema)
@@ -23,7 +28,8 @@ def corpus_stream(
         .option("pathGlobFilter", pattern)
         .parquet(path)
     )
-    return rows.select("doc_id", F.col(text).alias("content"))
+    corpus = rows.select("doc_id", F.col(text).alias("content"))
+    return corpus.repartition(partitions, "doc_id") if partitions else corpus
 
 
 def stream_clean(
