@@ -60,12 +60,12 @@ def main() -> None:
     timed("decode_tokens", lambda: consume(encoded.select(q.decode_tokens(F.col("ids"), vocab))))
     timed("pack_blocks", lambda: consume(shift_targets(pack_blocks(encoded, q.BLOCK))))
     n_blocks = tokens // (q.BLOCK + 1)
-    timed("pack_lanes", lambda: consume(q.packed_lanes(spark, SF_DIR)))
+    timed("pack_lanes", lambda: consume(q.lane_blocks(spark, SF_DIR)))
     timed(
         "training_blocks",
         lambda: consume(training_blocks(docs, vocab, n_val=300, dropout_chance=0.5, code=False)),
     )
-    timed("stream_pack", lambda: consume(q.streamed_pack(spark, SF_DIR)))
+    timed("stream_pack", lambda: consume(q.stream_blocks(spark, SF_DIR)))
     timed("heldout_loss", lambda: consume(q.loss(spark, SF_DIR)))
 
     facts.update(

@@ -10,7 +10,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers, trainers
 from tokenloom.contract.code_corpus import code_corpus
 from tokenloom.operators.cleaning import clean_corpus, clean_prose
 from tokenloom.operators.encoding import decode_tokens, encode_corpus, token_pieces
-from tokenloom.operators.merge_kernel import MergeTable, pair_keys, replay, split_runs
+from tokenloom.operators.merge_kernel import MergeTable, pair_keys, portions, replay, split_runs
 from tokenloom.operators.segments import segment_corpus
 from tokenloom.operators.training import plan_batch, train_bpe
 from tokenloom.operators.vocabulary import ALPHABET, SPECIAL_TOKENS, Vocabulary
@@ -177,3 +177,16 @@ def test_added_special_token_encodes_as_one_id(spark):
 def test_null_and_empty_texts_encode_to_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "doc_id long, clean_text string")
     assert {r.doc_id: len(r.ids) for r in encode_corpus(df, Vocabulary()).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_portions_cover_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr("tokenloom.operators.merge_kernel.PORTION", 10)
+    lengths = np.array([3, 3, 3, 3, 25, 1, 10, 0, 4])
+    assert list(portions(lengths)) == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8), (8, 9)]
+    assert list(portions(np.array([], dtype=int))) == []
+
+
+def test_vocabulary_lookups():
+    vocab = Vocabulary()
+    assert (vocab.size, vocab.id_of("\n"), vocab.id_of("nope"), vocab.eos_id) == (103, 4, None, None)
+    assert vocab.with_special("<|endoftext|>").eos_id == 103

@@ -203,7 +203,8 @@ def oracle() -> dict[str, str]:
         "write_clean_code": f"WITH {CODE} SELECT unnest(string_split(clean_text, chr(10))) AS line FROM code "
         "WHERE content IS NOT NULL",
         "read_source_files": CLEAN_CODE,
-        "save_load_tokenizer": vocab,
+        "save_tokenizer": f"WITH {TRAINED} {merge_rows(M)}",
+        "load_tokenizer": vocab,
         "reuse_clean_corpus": prose_rows,
         "sanitize_text": f"SELECT doc_id, {sanitized('text')} AS content FROM documents",
         "sanitize_pages": f"SELECT page_id AS doc_id, {sanitized('html')} AS content FROM pages",

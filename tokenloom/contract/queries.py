@@ -43,7 +43,7 @@ from tokenloom.streaming.corpus_stream import corpus_stream, run_to_files, strea
 from tokenloom.streaming.pack_stream import PackStream
 
 TAKE = 300
-SMALL_MERGES = 8
+SMALL_MERGES = 16
 SMALL_VOCAB = 103 + SMALL_MERGES
 MEDIUM_VOCAB = 400
 BLOCK = 512
@@ -92,8 +92,7 @@ def vocabulary(spark: SparkSession, sf_dir: str, size: int, source: str = "docum
 
 def char_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character-level ids with the end mark: the base vocabulary, no merges."""
-    ready = with_eos(prose(spark, sf_dir))
-    return ready.select("doc_id", char_ids(F.col("clean_text"), Vocabulary()).alias("ids"))
+    return encode_corpus(with_eos(prose(spark, sf_dir)).select("doc_id", "clean_text"), Vocabulary())
 
 
 # --- sources and sinks -------------------------------------------------------------------
@@ -137,7 +136,15 @@ def source_files(spark, sf_dir):
 def saved_tokenizer(spark, sf_dir):
     path = scratch_path(spark, "tokenizer")
     save_tokenizer(vocabulary(spark, sf_dir, SMALL_VOCAB), spark, path)
-    return load_tokenizer(spark, path).vocab_table(spark)
+    return path
+
+
+def saved_merges(spark, sf_dir):
+    return spark.read.parquet(f"{saved_tokenizer(spark, sf_dir)}/merges")
+
+
+def loaded_vocab(spark, sf_dir):
+    return load_tokenizer(spark, saved_tokenizer(spark, sf_dir)).vocab_table(spark)
 
 
 def reused_corpus(spark, sf_dir):
@@ -379,10 +386,13 @@ def batches(spark, sf_dir):
     )
 
 
-def packed_lanes(spark, sf_dir):
+def lane_blocks(spark, sf_dir):
     index = doc_index(stage_table(char_encoded(spark, sf_dir), "ids"))
-    dealt = lanes(index, LANES)
-    blocks = shift_targets(pack_blocks(dealt, BLOCK, ("lane",)))
+    return shift_targets(pack_blocks(lanes(index, LANES), BLOCK, ("lane",)))
+
+
+def packed_lanes(spark, sf_dir):
+    blocks = lane_blocks(spark, sf_dir)
     return blocks.select("lane", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
 
 
@@ -420,7 +430,7 @@ def streamed_encode(spark, sf_dir):
     return rows.select("doc_id", as_text("ids").alias("ids"))
 
 
-def streamed_pack(spark, sf_dir):
+def stream_blocks(spark, sf_dir):
     """The documents arrive in three files, one micro-batch each."""
     source = scratch_path(spark, "arrivals")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -431,7 +441,11 @@ def streamed_pack(spark, sf_dir):
     cleaned = stream_clean(corpus_stream(spark, source, files_per_trigger=1, partitions=spark.sparkContext.defaultParallelism), 0.0, code=False)
     packer = PackStream(scratch_path(spark, "stream-pack"), BLOCK, LANES)
     packer.run(stream_encode(cleaned, Vocabulary()), scratch_path(spark, "stream-cp"))
-    rows = packer.blocks(spark)
+    return packer.blocks(spark)
+
+
+def streamed_pack(spark, sf_dir):
+    rows = stream_blocks(spark, sf_dir)
     return rows.select("lane", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
 
 
@@ -508,7 +522,8 @@ QUERIES = {
     "write_clean_text": clean_text_lines,
     "write_clean_code": code_text_lines,
     "read_source_files": source_files,
-    "save_load_tokenizer": saved_tokenizer,
+    "save_tokenizer": saved_merges,
+    "load_tokenizer": loaded_vocab,
     "reuse_clean_corpus": reused_corpus,
     "sanitize_text": sanitized,
     "sanitize_pages": sanitized_pages,

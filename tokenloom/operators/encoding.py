@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tokenloom.operators.merge_kernel import MergeTable, replay
+from tokenloom.operators.merge_kernel import MergeTable, portions, replay
 from tokenloom.operators.segments import encoding_units
 from tokenloom.operators.vocabulary import Vocabulary, constant_strings
 
@@ -24,13 +24,19 @@ def _encode_distinct(texts: list[str], code_points, code_ids, specials: dict[str
     """Ids of all texts, flat, and their lengths."""
     reserved = np.array([specials.get(t, -1) for t in texts], dtype=np.int32)
     shown = [t if r < 0 else " " for t, r in zip(texts, reserved.tolist())]
-    points = np.frombuffer("".join(shown).encode("utf-32-le"), dtype="<u4")
-    slot = np.minimum(np.searchsorted(code_points, points), len(code_points) - 1)
-    tokens = np.where(code_points[slot] == points, code_ids[slot], 0).astype(np.int32)
     lengths = np.fromiter(map(len, shown), dtype=np.int64, count=len(shown))
-    starts = np.cumsum(lengths) - lengths
-    tokens[starts[reserved >= 0]] = reserved[reserved >= 0]
-    return replay(tokens, starts, table, revisit=True)
+    flat, merged_lengths = [], []
+    for first, last in portions(lengths):
+        points = np.frombuffer("".join(shown[first:last]).encode("utf-32-le"), dtype="<u4")
+        slot = np.minimum(np.searchsorted(code_points, points), len(code_points) - 1)
+        tokens = np.where(code_points[slot] == points, code_ids[slot], 0).astype(np.int32)
+        starts = np.cumsum(lengths[first:last]) - lengths[first:last]
+        fixed = reserved[first:last]
+        tokens[starts[fixed >= 0]] = fixed[fixed >= 0]
+        merged, counts = replay(tokens, starts, table, revisit=True)
+        flat.append(merged)
+        merged_lengths.append(counts)
+    return np.concatenate(flat), np.concatenate(merged_lengths)
 
 
 def encode_corpus(

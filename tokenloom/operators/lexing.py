@@ -20,6 +20,10 @@ LEX_FIELDS = (
 )
 # The statements whose first body statement can be a docstring.
 DOCSTRING_OWNERS = (ast.Module, ast.ClassDef, ast.FunctionDef)
+# Lexeme kinds the rules tell apart, by the standard lexer's numbers.
+_ASKED = ("COMMENT", "STRING", "NL", "NEWLINE", "INDENT", "DEDENT", "ENDMARKER")
+KINDS = {getattr(tokenize, name): name for name in _ASKED}
+CODE = "CODE"
 # Source characters per output batch; lexemes take several times the room of their text.
 _BATCH_CHARS = 1 << 20
 
@@ -41,20 +45,24 @@ def docstring_lines(source: str) -> list[int]:
 def lexemes(source: str):
     """Yield (kind, text, line) so that the texts add up to the source.
 
-    Whatever the standard lexer leaves between two tokens is a lexeme of its own.
+    Kinds no rule asks about, and the blanks between tokens, come as stretches of `CODE`:
+    they act on their neighbours like any single lexeme would, at a fraction of the rows.
     """
-    lines = io.StringIO(source)
     begins = list(itertools.accumulate(map(len, io.StringIO(source)), initial=0))
+    last, size = len(begins) - 1, len(source)
     done, line = 0, 1
-    for token in tokenize.generate_tokens(lines.readline):
-        (row, col), (end_row, end_col) = token.start, token.end
-        start = min(begins[min(row, len(begins)) - 1] + col, len(source))
-        stop = min(begins[min(end_row, len(begins)) - 1] + end_col, len(source))
+    for kind, _, (row, col), (end_row, end_col), _ in tokenize.generate_tokens(io.StringIO(source).readline):
+        if kind not in KINDS:
+            continue
+        start = min(begins[min(row - 1, last)] + col, size)
+        stop = min(begins[min(end_row - 1, last)] + end_col, size)
         if start > done:
-            yield "GAP", source[done:start], line
+            yield CODE, source[done:start], line
             done = start
-        yield tokenize.tok_name[token.type], source[done : max(done, stop)], row
+        yield KINDS[kind], source[done : max(done, stop)], row
         done, line = max(done, stop), end_row
+    if done < size:
+        yield CODE, source[done:], line
 
 
 def _lex_all(texts):

@@ -11,6 +11,21 @@ import heapq
 import numpy as np
 
 
+# Tokens handled in one vector step; the scratch arrays take about forty bytes for each.
+PORTION = 1 << 22
+
+
+def portions(lengths: np.ndarray):
+    """Row ranges whose lengths add up to about `PORTION`; a longer row stands alone."""
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + PORTION, side="right")))
+        yield first, last
+        first = last
+
+
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """One sortable integer per (left, right)."""
     return (left.astype(np.int64) << 32) | right.astype(np.int64)

@@ -89,7 +89,7 @@ def tail_of(placed: DataFrame, block_size: int, groups: tuple[str, ...]) -> Data
     Only documents that reach into the open block contribute, cut to their part of it.
     """
     width, keys = F.lit(block_size + 1).cast("long"), list(groups)
-    ends = placed.groupBy(*keys).agg(F.max(F.col("offset") + F.size("ids")).alias("total"))
+    ends = placed.groupBy(*keys).agg(F.sum(F.size("ids").cast("long")).alias("total"))
     open_at = F.col("total") - F.col("total") % width
     reaching = placed.join(ends, keys).where(F.col("offset") + F.size("ids") > open_at)
     skip = F.greatest(open_at - F.col("offset"), F.lit(0)).cast("int")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tokenloom.operators.merge_kernel import MergeTable, pair_keys, replay, split_runs, sum_pairs
+from tokenloom.operators.merge_kernel import MergeTable, pair_keys, portions, replay, split_runs, sum_pairs
 from tokenloom.operators.segments import segment_counts
 from tokenloom.operators.vocabulary import ALPHABET, SPECIAL_TOKENS, Vocabulary
 from tokenloom.session import shared_dir
@@ -35,6 +35,15 @@ from tokenloom.session import shared_dir
 _ID = np.dtype("<i4")
 
 
+def _portions(batches):
+    """The units of a partition in stretches that bound a task's memory."""
+    for batch in batches:
+        ids = batch.column("ids")
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        for first, last in portions(np.diff(ends) // _ID.itemsize):
+            yield batch.slice(first, last - first)
+
+
 def _flat(batch: pa.RecordBatch):
     """Tokens, unit starts and weights of a batch of non-empty units."""
     ids = batch.column("ids")
@@ -53,7 +62,7 @@ def _packed(tokens: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 def _count_pairs(segments: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in _portions(batches):
             tokens, starts, n = _flat(batch)
             if len(tokens) < 2:
                 continue
@@ -69,7 +78,7 @@ def _count_pairs(segments: DataFrame) -> DataFrame:
 
 def _count_runs(segments: DataFrame, frontier: np.ndarray) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in _portions(batches):
             tokens, starts, n = _flat(batch)
             if len(tokens) < 2:
                 continue
@@ -88,7 +97,7 @@ def _merge_units(segments: DataFrame, merges: list[tuple[int, int, int]]) -> Dat
 
     def run(batches):
         table = MergeTable(left, right, new)
-        for batch in batches:
+        for batch in _portions(batches):
             tokens, starts, _ = _flat(batch)
             if not len(starts):
                 continue

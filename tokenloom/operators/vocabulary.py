@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tokenloom.functions.text import END_OF_TEXT
 from tokenloom.operators.segments import SPECIAL_TOKENS
 
 VOCAB_SCHEMA = T.StructType(
@@ -45,6 +46,14 @@ class Vocabulary:
     def ids(self) -> dict[str, int]:
         return {token: i for i, token in enumerate(self.tokens)}
 
+    def id_of(self, token: str) -> int | None:
+        return self.ids().get(token)
+
+    @property
+    def eos_id(self) -> int | None:
+        """Id of the end mark; None unless it was reserved."""
+        return self.id_of(END_OF_TEXT)
+
     def vocab_table(self, spark: SparkSession) -> DataFrame:
         rows = [(t, i, t in self.specials) for i, t in enumerate(self.tokens)]
         return spark.createDataFrame(rows, VOCAB_SCHEMA)

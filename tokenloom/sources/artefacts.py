@@ -8,11 +8,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenloom.operators.vocabulary import MERGE_SCHEMA, VOCAB_SCHEMA, Vocabulary
+from tokenloom.session import stage_table
 
 
 def write_clean_text(cleaned: DataFrame, path: str, order: str = "doc_id") -> None:
-    """Text part files in document order; every document ends with a newline, empty ones too."""
-    ordered = cleaned.repartitionByRange(order).sortWithinPartitions(order)
+    """Text part files in document order; every document ends with a newline, empty ones too.
+
+    Range partitioning looks at its input twice, so the cleaned text is staged first.
+    """
+    staged = stage_table(cleaned.select(order, "clean_text"), "clean")
+    ordered = staged.repartitionByRange(order).sortWithinPartitions(order)
     ordered.select("clean_text").write.mode("errorifexists").option("lineSep", "\n").text(path)
 
 
