@@ -179,13 +179,21 @@ def test_null_and_empty_texts_encode_to_nothing(spark):
     assert {r.doc_id: len(r.ids) for r in encode_corpus(df, Vocabulary()).collect()} == {1: 0, 2: 0, 3: 1}
 
 
-def test_portions_cover_all_rows_in_order(monkeypatch):
-    monkeypatch.setattr("tokenloom.operators.merge_kernel.PORTION", 10)
+def test_portions_cover_all_rows_in_order():
     lengths = np.array([3, 3, 3, 3, 25, 1, 10, 0, 4])
-    assert list(portions(lengths)) == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8), (8, 9)]
+    assert list(portions(lengths, 10)) == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 8), (8, 9)]
     assert list(portions(np.array([], dtype=int))) == []
 
 
+def test_encoding_in_small_portions(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else "ab\nabc" * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, clean_text string").coalesce(1)
+    vocab = train_bpe(df.select(F.col("clean_text").alias("segment")).where("segment IS NOT NULL"), 106)
+    want = {r.doc_id: r.ids for r in encode_corpus(df, vocab).collect()}
+    monkeypatch.setattr("tokenloom.operators.encoding._BATCH_BYTES", 9)
+    assert {r.doc_id: r.ids for r in encode_corpus(df, vocab).collect()} == want
+
+
 def test_vocabulary_lookups():
     vocab = Vocabulary()
     assert (vocab.size, vocab.id_of("\n"), vocab.id_of("nope"), vocab.eos_id) == (103, 4, None, None)

@@ -29,7 +29,7 @@ from tokenloom.operators.segments import encoding_units, segment_corpus, segment
 from tokenloom.operators.training import train_bpe
 from tokenloom.operators.vocabulary import Vocabulary, base_vocab, special_tokens, unk_tokens, vocab_lookup
 from tokenloom.plans.tokenizer_build import build_tokenizer
-from tokenloom.plans.training_blocks import training_blocks
+from tokenloom.plans.training_blocks import encode_documents, training_blocks
 from tokenloom.session import scratch_path, ship_package, stage_table
 from tokenloom.sources.artefacts import (
     load_tokenizer,
@@ -91,8 +91,9 @@ def vocabulary(spark: SparkSession, sf_dir: str, size: int, source: str = "docum
 
 
 def char_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character-level ids with the end mark: the base vocabulary, no merges."""
-    return encode_corpus(with_eos(prose(spark, sf_dir)).select("doc_id", "clean_text"), Vocabulary())
+    """Character-level ids with the end mark (the base vocabulary, no merges), staged."""
+    encoded = encode_documents(documents(spark, sf_dir), Vocabulary(), 0.0, code=False)
+    return stage_table(encoded, "ids")
 
 
 # --- sources and sinks -------------------------------------------------------------------
@@ -358,8 +359,7 @@ def decoded_code(spark, sf_dir):
 
 
 def offsets(spark, sf_dir):
-    placed = doc_offsets(char_encoded(spark, sf_dir))
-    return placed.select("doc_id", F.size("ids").alias("n_tokens"), "offset")
+    return doc_offsets(char_encoded(spark, sf_dir).select("doc_id", "n_tokens"))
 
 
 def indexed(spark, sf_dir):
@@ -368,17 +368,17 @@ def indexed(spark, sf_dir):
 
 
 def packed(spark, sf_dir):
-    blocks = pack_blocks(stage_table(char_encoded(spark, sf_dir), "ids"), BLOCK)
+    blocks = pack_blocks(char_encoded(spark, sf_dir), BLOCK)
     return blocks.select("block_id", as_text("chunk").alias("chunk"))
 
 
 def targets(spark, sf_dir):
-    blocks = shift_targets(pack_blocks(stage_table(char_encoded(spark, sf_dir), "ids"), BLOCK))
+    blocks = shift_targets(pack_blocks(char_encoded(spark, sf_dir), BLOCK))
     return blocks.select("block_id", as_text("x").alias("x"), as_text("y").alias("y"))
 
 
 def batches(spark, sf_dir):
-    blocks = pack_blocks(stage_table(char_encoded(spark, sf_dir), "ids"), BLOCK)
+    blocks = pack_blocks(char_encoded(spark, sf_dir), BLOCK)
     sizes = batch_blocks(blocks, BATCH).groupBy("batch_id")
     return sizes.agg(
         F.count(F.lit(1)).alias("examples"),
@@ -387,7 +387,7 @@ def batches(spark, sf_dir):
 
 
 def lane_blocks(spark, sf_dir):
-    index = doc_index(stage_table(char_encoded(spark, sf_dir), "ids"))
+    index = doc_index(char_encoded(spark, sf_dir))
     return shift_targets(pack_blocks(lanes(index, LANES), BLOCK, ("lane",)))
 
 

@@ -18,6 +18,8 @@ from tokenloom.operators.vocabulary import Vocabulary, constant_strings
 # Fixed value: the word-end mark the decoder turns into a blank, or drops on the last token.
 WORD_END = "</w>"
 _UNITS = "_units"
+# Text encoded into one output batch.
+_BATCH_BYTES = 1 << 26
 
 
 def _encode_distinct(texts: list[str], code_points, code_ids, specials: dict[str, int], table: MergeTable):
@@ -53,26 +55,32 @@ def encode_corpus(
     kept = [c for c in df.columns if c != text]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
+    def encode(batch: pa.RecordBatch, table: MergeTable) -> pa.RecordBatch:
+        lists = batch.column(_UNITS)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        cut = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        if len(cut):
+            flat, lengths = _encode_distinct(
+                cut.dictionary.to_pylist(), code_points, code_ids, specials, table
+            )
+            ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            by_unit = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int32()))
+            placed = by_unit.take(cut.indices).flatten()
+            upto = np.concatenate(([0], np.cumsum(lengths[cut.indices.to_numpy()])))
+        else:
+            placed, upto = pa.array([], type=pa.int32()), np.zeros(1, dtype=np.int64)
+        doc_ends = upto[offsets - offsets[0]].astype(np.int32)
+        encoded = pa.ListArray.from_arrays(pa.array(doc_ends), placed)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), encoded], [*kept, out])
+
     def run(batches):
         table = MergeTable(*shipped.value)
         for batch in batches:
             lists = batch.column(_UNITS)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            cut = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-            if len(cut):
-                flat, lengths = _encode_distinct(
-                    cut.dictionary.to_pylist(), code_points, code_ids, specials, table
-                )
-                ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                by_unit = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int32()))
-                index = cut.indices.to_numpy()
-                placed = by_unit.take(cut.indices).flatten()
-                upto = np.concatenate(([0], np.cumsum(lengths[index])))
-            else:
-                placed, upto = pa.array([], type=pa.int32()), np.zeros(1, dtype=np.int64)
-            doc_ends = upto[offsets - offsets[0]].astype(np.int32)
-            encoded = pa.ListArray.from_arrays(pa.array(doc_ends), placed)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), encoded], [*kept, out])
+            text_ends = np.frombuffer(lists.values.buffers()[1] or bytes(4), dtype=np.int32)
+            sizes = np.diff(text_ends[lists.offsets.to_numpy()].astype(np.int64))
+            for first, last in portions(sizes, _BATCH_BYTES):
+                yield encode(batch.slice(first, last - first), table)
 
     cut_up = df.select(
         *kept, F.coalesce(encoding_units(F.col(text), vocab.specials, split_mode), F.array()).alias(_UNITS)

@@ -15,13 +15,13 @@ import numpy as np
 PORTION = 1 << 22
 
 
-def portions(lengths: np.ndarray):
-    """Row ranges whose lengths add up to about `PORTION`; a longer row stands alone."""
+def portions(lengths: np.ndarray, limit: int = PORTION):
+    """Row ranges whose lengths add up to `limit` at most; a longer row stands alone."""
     ends = np.cumsum(lengths)
     first = 0
     while first < len(lengths):
         base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + PORTION, side="right")))
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield first, last
         first = last
 

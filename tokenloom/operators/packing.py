@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tokenloom.operators.ordering import prefix_sum
 
@@ -10,46 +10,55 @@ from tokenloom.operators.ordering import prefix_sum
 def doc_offsets(
     encoded: DataFrame, groups: tuple[str, ...] = (), order: str = "doc_id", bounds=None
 ) -> DataFrame:
-    """Add `offset`: tokens of the group before this document."""
-    return prefix_sum(encoded, order, F.size("ids"), "offset", groups, bounds)
+    """Add `offset`: tokens of the group before this document.
+
+    Where the counts are stored as `n_tokens`, the pass that sums them skips the ids.
+    """
+    count = F.col("n_tokens") if "n_tokens" in encoded.columns else F.size("ids")
+    return prefix_sum(encoded, order, count, "offset", groups, bounds)
 
 
-def _whole(value, width: int):
+def _whole(value: Column, width: int) -> Column:
     """Integer quotient; positions in a large corpus outgrow exact doubles."""
     return F.call_function("div", value, F.lit(width).cast("long"))
 
 
-def _pieces(placed: DataFrame, width: int, keys: list[str]) -> DataFrame:
-    """Each document's ids cut at the block borders: (block_id, pos, piece).
+def _pieces(placed: DataFrame, width: int, keys: list[str], blocks: Column) -> DataFrame:
+    """The ids of each document that fall into `blocks`: (block_id, pos, piece).
 
     Slicing happens per document, so no row outgrows one block before anything is grouped.
     """
-    start, count = F.col("offset"), F.size("ids").cast("long")
-    span = F.lit(width).cast("long")
-    first = _whole(start, width)
-    last = _whole(start + count - 1, width)
+    start, stop = F.col("offset"), F.col("offset") + F.size("ids")
 
     def piece(block):
-        at = F.greatest(start, block * span)
-        stop = F.least(start + count, (block + 1) * span)
-        body = F.slice("ids", (at - start + 1).cast("int"), (stop - at).cast("int"))
+        at = F.greatest(start, block * width)
+        end = F.least(stop, (block + 1) * width)
+        body = F.slice("ids", (at - start + 1).cast("int"), (end - at).cast("int"))
         return F.struct(block.alias("block_id"), at.alias("pos"), body.alias("piece"))
 
-    cut = F.transform(F.sequence(first, last), piece)
-    return placed.where(F.size("ids") > 0).select(*keys, F.inline(cut))
+    return placed.where(F.size("ids") > 0).select(*keys, F.inline(F.transform(blocks, piece)))
 
 
 def pack_placed(placed: DataFrame, block_size: int, groups: tuple[str, ...] = ()) -> DataFrame:
     """Blocks of `block_size + 1` ids from documents with known `offset`; the rest is dropped.
 
-    Pieces that fill a block leave at once. Only the pieces at document borders are grouped,
+    Blocks inside one document leave at once. Only the pieces at document borders are grouped,
     at most `block_size + 1` to a block, so no key can become hot.
     """
     width, keys = block_size + 1, list(groups)
-    pieces = _pieces(placed, width, keys)
-    whole = pieces.where(F.size("piece") == width).select(*keys, "block_id", F.col("piece").alias("chunk"))
-    parts = pieces.where(F.size("piece") < width).groupBy(*keys, "block_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts")
+    start, stop = F.col("offset"), F.col("offset") + F.size("ids")
+    none = F.array().cast("array<bigint>")
+
+    first_full, after_full = _whole(start + (width - 1), width), _whole(stop, width)
+    inner = F.when(first_full < after_full, F.sequence(first_full, after_full - 1)).otherwise(none)
+    whole = _pieces(placed, width, keys, inner).select(*keys, "block_id", F.col("piece").alias("chunk"))
+
+    ends = F.array_distinct(F.array(_whole(start, width), _whole(stop - 1, width)))
+    border = F.filter(ends, lambda b: (start > b * width) | (stop < (b + 1) * width))
+    parts = (
+        _pieces(placed, width, keys, border)
+        .groupBy(*keys, "block_id")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
     )
     joined = parts.select(
         *keys, "block_id", F.flatten(F.transform("parts", lambda p: p["piece"])).alias("chunk")
@@ -88,15 +97,15 @@ def tail_of(placed: DataFrame, block_size: int, groups: tuple[str, ...]) -> Data
 
     Only documents that reach into the open block contribute, cut to their part of it.
     """
-    width, keys = F.lit(block_size + 1).cast("long"), list(groups)
+    width, keys = block_size + 1, list(groups)
     ends = placed.groupBy(*keys).agg(F.sum(F.size("ids").cast("long")).alias("total"))
     open_at = F.col("total") - F.col("total") % width
-    reaching = placed.join(ends, keys).where(F.col("offset") + F.size("ids") > open_at)
+    reaching = placed.where(F.size("ids") > 0).join(ends, keys).where(F.col("offset") + F.size("ids") > open_at)
     skip = F.greatest(open_at - F.col("offset"), F.lit(0)).cast("int")
     parts = reaching.select(
         *keys, F.struct(F.col("offset"), F.slice("ids", skip + 1, F.size("ids") - skip).alias("piece")).alias("part")
     )
     tails = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
     joined = F.flatten(F.transform("parts", lambda p: p["piece"]))
-    counts = ends.select(*keys, _whole(F.col("total"), block_size + 1).alias("n_blocks"))
+    counts = ends.select(*keys, _whole(F.col("total"), width).alias("n_blocks"))
     return counts.join(tails.select(*keys, joined.alias("ids")), keys, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tokenloom.operators.cleaning import clean_corpus, clean_prose, with_eos
 from tokenloom.operators.encoding import encode_corpus
@@ -25,10 +25,10 @@ def encode_documents(
     split_mode: str = "literal",
     code: bool = True,
 ) -> DataFrame:
-    """`doc_id, ids` of the non-empty cleaned documents, end mark included."""
+    """`doc_id, ids, n_tokens` of the non-empty cleaned documents, end mark included."""
     clean = clean_corpus if code else clean_prose
     ready = with_eos(clean(corpus, dropout_chance, seed)).select("doc_id", "clean_text")
-    return encode_corpus(ready, vocab, split_mode=split_mode)
+    return encode_corpus(ready, vocab, split_mode=split_mode).withColumn("n_tokens", F.size("ids"))
 
 
 def training_blocks(
@@ -41,13 +41,16 @@ def training_blocks(
     seed: int = 0,
     split_mode: str = "literal",
     code: bool = True,
+    encoded_path: str | None = None,
 ) -> DataFrame:
     """`split, batch_id, block_id, x, y`; the first `n_val` documents form the `val` side.
 
-    Cleaning and encoding run once: the encoded corpus is staged, and the offsets then read
-    only the array sizes of it.
+    Cleaning and encoding run once: the encoded corpus is staged (at `encoded_path`, else in the
+    shared folder), and the pass that places the documents reads its counts alone.
     """
-    encoded = stage_table(encode_documents(corpus, vocab, dropout_chance, seed, split_mode, code), "encoded")
+    encoded = stage_table(
+        encode_documents(corpus, vocab, dropout_chance, seed, split_mode, code), "encoded", encoded_path
+    )
     sided = with_split(encoded, n_val, corpus)
     blocks = pack_blocks(sided, block_size, ("split",), bounds=order_bounds(corpus, "doc_id"))
     return batch_blocks(shift_targets(blocks), batch_size)

@@ -65,12 +65,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     Used where a costly result feeds a plan more than once: the lineage is cut in storage
     that outlives an executor, and later scans read only the columns they need.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = path or scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
