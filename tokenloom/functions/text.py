@@ -29,7 +29,7 @@ def tidy_lines(text: Column) -> Column:
 
 def line_list(tidied: Column) -> Column:
     """The lines of a tidied text; no lines for the empty text."""
-    return F.when(tidied == "", F.array().cast("array<string>")).otherwise(F.split(tidied, "\n"))
+    return F.filter(F.split(tidied, "\n"), lambda line: line != "")
 
 
 def normalize_lines(text: Column) -> Column:

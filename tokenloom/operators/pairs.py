@@ -34,14 +34,20 @@ def coded(text: Column, vocab: Vocabulary) -> Column:
 
 def pair_counts(segments: DataFrame, ids: str = "ids", weight: str = "n") -> DataFrame:
     """Weighted count of every adjacent id pair; overlapping places all count."""
-    left = F.slice(F.col(ids), F.lit(1), F.size(ids) - 1)
-    right = F.slice(F.col(ids), F.lit(2), F.size(ids) - 1)
-    pairs = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left_id"), b.alias("right_id")))
+    # No filter on the array size: it would sink to the raw rows and compute every array twice.
+    count = F.greatest(F.size(ids) - 1, F.lit(0))
+    left, right = F.slice(F.col(ids), F.lit(1), count), F.slice(F.col(ids), F.lit(2), count)
+    # One number per pair until the counts are in: cheaper to explode and to hash than a struct.
+    pairs = F.zip_with(left, right, lambda a, b: F.shiftleft(a.cast("long"), 32) + b)
     return (
-        segments.where(F.size(ids) > 1)
-        .select(F.inline(pairs), F.col(weight).alias("w"))
-        .groupBy("left_id", "right_id")
+        segments.select(F.explode(pairs).alias("pair"), F.col(weight).alias("w"))
+        .groupBy("pair")
         .agg(F.sum("w").alias("n"))
+        .select(
+            F.shiftright("pair", 32).cast("int").alias("left_id"),
+            F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("right_id"),
+            "n",
+        )
     )
 
 
