@@ -17,7 +17,7 @@ def plain_blocks(docs, width):
 
 
 def random_docs(rng, n, sparse):
-    keys = rng.sample(range(-(2**40), 2**40), n) if sparse else range(n)
+    keys = {rng.randint(-(2**63), 2**63 - 1) for _ in range(n)} if sparse else range(n)
     return [(k, [rng.randint(0, 99) for _ in range(rng.choice([0, 1, 3, 7, 40]))]) for k in keys]
 
 
@@ -47,6 +47,12 @@ def test_sparse_offsets_use_several_levels(spark):
         total += len(ids)
 
 
+def test_ids_around_zero_and_bucket_borders(spark):
+    docs = [(k, [abs(k) % 97] * 3) for k in (-4097, -4096, -1, 0, 1, 4095, 4096, 2**24 - 1, 2**24)]
+    got = {r.block_id: r.chunk for r in pack_blocks(frame(spark, docs), 3).collect()}
+    assert got == plain_blocks(docs, 4)
+
+
 def test_offsets_per_group(spark):
     df = spark.range(10_000).withColumn("g", (F.col("id") % 3).cast("string"))
     out = prefix_sum(df, "id", F.col("id"), "before", ("g",))

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.contract.code_corpus import code_corpus
 from tokenloom.functions.text import finish_text, sanitize_text
-from tokenloom.operators.cleaning import clean_prose, with_eos
+from tokenloom.operators.cleaning import clean_corpus, clean_prose, with_eos
 from tokenloom.operators.encoding import encode_corpus
 from tokenloom.operators.packing import pack_blocks, shift_targets
 from tokenloom.operators.vocabulary import Vocabulary
@@ -86,3 +87,13 @@ def test_clean_stream_equals_batch(spark, tmp_path):
     clean = finish_text(sanitize_text(F.col("content")), F.col("doc_id"), 0.0)
     want = {r.doc_id: r.c for r in df.select("doc_id", clean.alias("c")).collect()}
     assert got == {k: c + " <|endoftext|>" for k, c in want.items() if c}
+
+
+def test_code_stream_equals_batch(spark, sf_dir, tmp_path):
+    corpus = code_corpus(spark, sf_dir)
+    corpus.withColumnRenamed("content", "text").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = stream_clean(corpus_stream(spark, str(tmp_path / "in"), 1, partitions=2), 0.5, 9)
+    run_to_files(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {r.doc_id: r.clean_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = with_eos(clean_corpus(corpus, 0.5, 9)).collect()
+    assert got == {r.doc_id: r.clean_text for r in want}

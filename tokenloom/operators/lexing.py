@@ -20,6 +20,7 @@ LEX_FIELDS = (
 )
 # The statements whose first body statement can be a docstring.
 DOCSTRING_OWNERS = (ast.Module, ast.ClassDef, ast.FunctionDef)
+_STATEMENT_LISTS = ("body", "orelse", "finalbody", "handlers", "cases")
 # Lexeme kinds the rules tell apart, by the standard lexer's numbers.
 _ASKED = ("COMMENT", "STRING", "NL", "NEWLINE", "INDENT", "DEDENT", "ENDMARKER")
 KINDS = {getattr(tokenize, name): name for name in _ASKED}
@@ -37,9 +38,17 @@ def docstring_lines(source: str) -> list[int]:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, MemoryError, RecursionError):
         return []
-    bodies = (n.body for n in ast.walk(tree) if isinstance(n, DOCSTRING_OWNERS))
-    openers = (body[0] for body in bodies if body)
-    return sorted({s.lineno for s in openers if isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant)})
+    found, pending = set(), [tree]
+    while pending:
+        node = pending.pop()
+        # Owners nest in statement lists only; expressions need no visit.
+        for name in _STATEMENT_LISTS:
+            pending += getattr(node, name, ())
+        if isinstance(node, DOCSTRING_OWNERS) and node.body:
+            opener = node.body[0]
+            if isinstance(opener, ast.Expr) and isinstance(opener.value, ast.Constant):
+                found.add(opener.lineno)
+    return sorted(found)
 
 
 def lexemes(source: str):

@@ -38,14 +38,16 @@ def prefix_sum(
     """
     low, high = bounds or order_bounds(df, order)
     keys = list(groups)
-    bucket = F.shiftright(F.col(order) - F.lit(low), RADIX_BITS)
+    # Shift before subtracting: the difference of two ids may not fit in 64 bits.
+    floor, span = low >> RADIX_BITS, (high >> RADIX_BITS) - (low >> RADIX_BITS)
+    bucket = F.shiftright(F.col(order).cast("long"), RADIX_BITS) - F.lit(floor)
 
     totals = [
         df.select(*keys, bucket.alias("_k"), value.cast("long").alias("_v"))
         .groupBy(*keys, "_k")
         .agg(F.sum("_v").alias("_v"))
     ]
-    while (high - low) >> (RADIX_BITS * (len(totals) + 1)):
+    while span >> (RADIX_BITS * len(totals)):
         totals.append(
             totals[-1]
             .select(*keys, F.shiftright("_k", RADIX_BITS).alias("_k"), "_v")
