@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.contract import queries as q
-from tokenloom.operators.cleaning import clean_corpus
+from tokenloom.operators.cleaning import clean_corpus, clean_prose, with_eos
 from tokenloom.operators.ordering import take_docs
 from tokenloom.operators.packing import pack_blocks
 from tokenloom.operators.segments import segment_corpus, segment_counts
@@ -75,6 +75,13 @@ def test_nulls_are_dropped_before_python(spark, sf_dir):
     assert any("isnotnull" in line for line in plan[python:])
 
 
+def test_texts_are_cleaned_once(spark, sf_dir):
+    df = with_eos(clean_prose(scan_corpus(spark, f"{sf_dir}/documents.parquet"), 0.5))
+    plan = plan_of(df)
+    # Sanitising, line breaks, edges.
+    assert plan.count("regexp_replace(") == 3
+
+
 def test_counting_combines_before_the_shuffle(spark, sf_dir):
     plan = plan_of(segment_counts(segment_corpus(q.prose(spark, sf_dir))))
     assert "partial_count" in plan

@@ -33,7 +33,14 @@ def clean_prose(
 
 
 def drop_empty_docs(cleaned: DataFrame) -> DataFrame:
-    return cleaned.where(F.col("clean_text") != "")
+    """Documents with text left.
+
+    A plain filter would sink below the projection and compute every text twice, once to test
+    it and once to keep it. Unfolding a list of one or none computes it once.
+    """
+    kept = F.filter(F.array("clean_text"), lambda text: text != "")
+    others = [c for c in cleaned.columns if c != "clean_text"]
+    return cleaned.select(*others, F.explode(kept).alias("clean_text")).select(*cleaned.columns)
 
 
 def with_eos(cleaned: DataFrame) -> DataFrame:
