@@ -5,7 +5,7 @@ from test_plans import plan_of
 from tokenloom.operators.training import train_bpe
 from tokenloom.operators.vocabulary import special_tokens
 from tokenloom.plans.tokenizer_build import build_tokenizer
-from tokenloom.plans.training_blocks import training_blocks, write_blocks
+from tokenloom.plans.training_blocks import read_blocks, training_blocks, write_blocks
 from tokenloom.sources.artefacts import (
     is_complete,
     load_tokenizer,
@@ -92,8 +92,9 @@ def test_both_plans_end_to_end(spark, tmp_path):
     assert vocab == build_tokenizer(corpus, 40, 130, clean_path=str(tmp_path / "clean"))
     blocks = training_blocks(corpus, vocab, 16, 3, 10, encoded_path=str(tmp_path / "encoded"))
     write_blocks(blocks, str(tmp_path / "blocks"))
-    back = spark.read.parquet(str(tmp_path / "blocks"))
+    back = read_blocks(spark, str(tmp_path / "blocks"))
     rows = back.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, blocks.select(back.columns).collect()))
     assert {r.split for r in rows} == {"train", "val"}
     assert all(len(r.x) == len(r.y) == 16 and r.x[1:] == r.y[:-1] for r in rows)
     assert all(r.batch_id == r.block_id // 3 for r in rows)

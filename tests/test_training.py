@@ -3,7 +3,7 @@ import string
 
 import numpy as np
 import pytest
-from bpe_reference import priority_encode, serial_training
+from textbook_bpe import priority_encode, serial_training
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers, trainers
 

@@ -33,6 +33,7 @@ from tokenloom.session import shared_dir
 # Between the passes a unit is a BINARY of little-endian 32-bit ids: it goes to Arrow and back
 # as one copy, where an array column is converted element by element.
 _ID = np.dtype("<i4")
+_PARTITION_CHARS = 1 << 24
 
 
 def _portions(batches):
@@ -201,11 +202,13 @@ def train_bpe(
     """Learn merges from the `segment` column until `vocab_size` tokens exist or no pair is left."""
     spark = segments.sparkSession
     shared_dir(spark)
-    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = segment_counts(segments).where("segment <> ''").repartition(width, "segment").persist()
+    counted = segment_counts(segments).where("segment <> ''").persist()
+    # The units stay in these partitions for all passes: a share per core, none beyond its bound.
+    chars = counted.agg(F.sum(F.length("segment"))).first()[0] or 0
+    width = max(spark.sparkContext.defaultParallelism, -(-chars // _PARTITION_CHARS))
     tokens = list(SPECIAL_TOKENS) + _alphabet(counted)
     ids = {t: i for i, t in enumerate(tokens)}
-    current = _encode_characters(counted, tokens).persist()
+    current = _encode_characters(counted.repartition(width, "segment"), tokens).persist()
     merges: list[tuple[int, int, int]] = []
     held = [counted]
     frontier_size, rounds = 24, 0

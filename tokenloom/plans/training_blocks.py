@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenloom.operators.cleaning import clean_corpus, clean_prose, with_eos
 from tokenloom.operators.encoding import encode_corpus
@@ -57,5 +57,12 @@ def training_blocks(
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Blocks as Parquet, one folder per split."""
-    blocks.write.mode("errorifexists").partitionBy("split").parquet(path)
+    """Blocks as Parquet, one folder per split. `x` and `y` overlap, so their ids are kept once."""
+    chunk = F.concat(F.slice("x", 1, 1), F.col("y")).alias("chunk")
+    rows = blocks.select("split", "batch_id", "block_id", chunk)
+    rows.write.mode("errorifexists").partitionBy("split").parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    schema = "batch_id long, block_id long, chunk array<int>, split string"
+    return shift_targets(spark.read.schema(schema).parquet(path))

@@ -22,7 +22,7 @@ STATE_SCHEMA = T.StructType(
 
 
 class PackStream:
-    """Packs micro-batches of `doc_id, ids` into `lane, block_id, x, y` files under `path`.
+    """Packs micro-batches of `doc_id, ids` into `lane, block_id, chunk` files under `path`.
 
     Blocks and state of a micro-batch are written under its number and replaced when it is
     repeated, so a restart yields each block once.
@@ -55,7 +55,7 @@ class PackStream:
         first = carried.select("lane", "next_block")
         blocks = pack_placed(placed, self.block_size, ("lane",)).join(first, "lane", "left")
         numbered = blocks.withColumn("block_id", F.col("block_id") + F.coalesce("next_block", F.lit(0)))
-        shift_targets(numbered.drop("next_block")).write.mode("overwrite").parquet(self._blocks_path(batch))
+        numbered.drop("next_block").write.mode("overwrite").parquet(self._blocks_path(batch))
 
         tail = tail_of(placed, self.block_size, ("lane",)).join(first, "lane", "full")
         tail.select(
@@ -76,6 +76,6 @@ class PackStream:
         )
 
     def blocks(self, spark: SparkSession) -> DataFrame:
-        """All blocks written so far."""
-        schema = "lane int, block_id long, x array<int>, y array<int>"
-        return spark.read.schema(schema).parquet(f"{self.path}/blocks/*")
+        """All blocks written so far, as input and target."""
+        schema = "lane int, block_id long, chunk array<int>"
+        return shift_targets(spark.read.schema(schema).parquet(f"{self.path}/blocks/*"))
