@@ -41,16 +41,24 @@ def id_of(char: str) -> str:
 
 
 def id_text(coded: str) -> str:
-    return f"array_to_string(list_transform(string_split({coded}, ''), lambda c: unicode(c) - {IDS}), ',')"
+    # Splitting the empty text yields one empty piece, which is no id.
+    chars = f"list_filter(string_split({coded}, ''), lambda c: c <> '')"
+    return f"array_to_string(list_transform({chars}, lambda c: unicode(c) - {IDS}), ',')"
 
 
 def coded(text: str) -> str:
     return (
         f"array_to_string(list_transform(string_split({text}, ''), "
-        f"lambda c: CASE WHEN c = '' THEN '' ELSE chr(CAST({IDS} + {id_of('c')} AS INTEGER)) END), '')"
+        f"lambda c: CASE WHEN c = '' THEN '' WHEN c IN (chr(1), chr(2)) THEN chr({IDS} + ascii(c)) "
+        f"ELSE chr(CAST({IDS} + {id_of('c')} AS INTEGER)) END), '')"
     )
 
 
+def one_char_markers(text: str) -> str:
+    """Scope markers as the control characters 1 and 2, which no clean text holds."""
+    return f"replace(replace({text}, '<SCOPE_IN>', chr(1)), '<SCOPE_OUT>', chr(2))"
+
+
 PROSE = f"clean AS (SELECT doc_id, {joined(lines(sanitized('text')))} AS clean_text FROM documents)"
 ENDED = f"{PROSE}, ended AS (SELECT doc_id, clean_text || ' <|endoftext|>' AS clean_text FROM clean WHERE clean_text <> '')"
 UNITS = r"'[^\n]*\n|[^\n]+'"
@@ -115,14 +123,15 @@ def with_merges(text: str) -> str:
     return out
 
 
-def stream_sql(width: int, group: str = "") -> str:
-    """Every id with its position in its group's stream; `docs` must hold doc_id, ids and the group."""
+def stream_sql(width: int, group: str = "", text: str = "clean_text", token: str | None = None) -> str:
+    """Blocks of the ids of `docs`, one id per character of `text`, in document order per group."""
+    token = token or id_of("c")
     part = f"PARTITION BY {group} " if group else ""
     lead = f"{group}, " if group else ""
     return (
-        f"flat AS (SELECT {lead}doc_id, unnest(string_split(clean_text, '')) AS c, "
-        "unnest(range(len(clean_text))) AS place FROM docs), "
-        f"pos AS (SELECT {lead}CAST({id_of('c')} AS INTEGER) AS id, "
+        f"flat AS (SELECT {lead}doc_id, unnest(string_split({text}, '')) AS c, "
+        f"unnest(range(len({text}))) AS place FROM docs), "
+        f"pos AS (SELECT {lead}CAST({token} AS INTEGER) AS id, "
         f"row_number() OVER ({part}ORDER BY doc_id, place) - 1 AS p FROM flat), "
         f"blocks AS (SELECT {lead}p // {width} AS block_id, list(id ORDER BY p) AS chunk FROM pos "
         f"GROUP BY {lead}p // {width} HAVING count(*) = {width})"
@@ -270,6 +279,8 @@ def oracle() -> dict[str, str]:
         f"c AS (SELECT doc_id, string_split({with_merges('clean_text')}, '') AS c FROM ended), "
         f"flat AS (SELECT doc_id, unnest(range(len(c))) AS place, unicode(unnest(c)) - {IDS} AS id FROM c) "
         f"SELECT doc_id, string_agg(token, '|' ORDER BY place) AS pieces FROM flat JOIN v{M} USING (id) GROUP BY doc_id",
+        "encode_markers": f"WITH {TRAINED}, {CODE} SELECT doc_id, {id_text(with_merges(one_char_markers('clean_text')))} "
+        "AS ids FROM code WHERE content IS NOT NULL",
         "unk_tokens": f"WITH {BASE}, used AS (SELECT c AS ch, count(*) AS n FROM "
         "(SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c) "
         "SELECT ch, n, CAST(coalesce(id, 0) AS INTEGER) AS id FROM used LEFT JOIN base ON ch = token",
@@ -286,6 +297,10 @@ def oracle() -> dict[str, str]:
         "pack_lanes": laned,
         "split_train_val": f"WITH {SIDED}, {stream_sql(q.BLOCK + 1, 'split')} SELECT split, "
         f"block_id // {q.BATCH} AS batch_id, block_id, {X_Y} FROM blocks",
+        "training_blocks": f"WITH {TRAINED}, {ENDED.removeprefix(PROSE + ', ')}, {INDEXED}, docs AS (SELECT doc_id, "
+        f"{with_merges('clean_text')} AS coded, CASE WHEN doc_idx < {q.TAKE} THEN 'val' ELSE 'train' END AS split "
+        f"FROM ended JOIN idx USING (doc_id)), {stream_sql(q.BLOCK + 1, 'split', 'coded', f'unicode(c) - {IDS}')} "
+        f"SELECT split, block_id // {q.BATCH} AS batch_id, block_id, {X_Y} FROM blocks",
         "stream_clean": ended_rows,
         "stream_encode": encoded,
         "stream_pack": laned,

@@ -338,6 +338,12 @@ def encoded_code(spark, sf_dir):
     return ids.select("doc_id", as_text("ids").alias("ids"), F.size("ids").alias("n_ids"))
 
 
+def encoded_markers(spark, sf_dir):
+    """The documents' vocabulary on code: scope markers become their own ids."""
+    ids = encode_corpus(cleaned_code(spark, sf_dir), vocabulary(spark, sf_dir, SMALL_VOCAB))
+    return ids.select("doc_id", as_text("ids").alias("ids"))
+
+
 def unknown_chars(spark, sf_dir):
     raw = documents(spark, sf_dir)
     return unk_tokens(chars_of(raw, "content"), base_vocab(spark))
@@ -401,9 +407,9 @@ def split_sides(spark, sf_dir):
     return blocks.select("split", "batch_id", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
 
 
-def medium_blocks(spark, sf_dir):
+def learned_blocks(spark, sf_dir, size=SMALL_VOCAB):
     """Corpus to blocks with a learned vocabulary."""
-    vocab = vocabulary(spark, sf_dir, MEDIUM_VOCAB)
+    vocab = vocabulary(spark, sf_dir, size)
     blocks = training_blocks(documents(spark, sf_dir), vocab, BLOCK, BATCH, TAKE, 0.5, SEED, code=False)
     return blocks.select("split", "batch_id", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
 
@@ -562,6 +568,7 @@ QUERIES = {
     "encode_corpus": encoded_small,
     "encode_pieces": encoded_pieces,
     "encode_code": encoded_code,
+    "encode_markers": encoded_markers,
     "unk_tokens": unknown_chars,
     "decode_tokens": decoded_documents,
     "decode_code": decoded_code,
@@ -572,7 +579,8 @@ QUERIES = {
     "batch_blocks": batches,
     "pack_lanes": packed_lanes,
     "split_train_val": split_sides,
-    "training_blocks": medium_blocks,
+    "training_blocks": learned_blocks,
+    "training_blocks_400": partial(learned_blocks, size=MEDIUM_VOCAB),
     "stream_clean": streamed_clean,
     "stream_encode": streamed_encode,
     "stream_pack": streamed_pack,
