@@ -46,6 +46,12 @@ class PackStream:
         spark = batch_df.sparkSession
         lane = (F.col("doc_id") % self.n_lanes).cast("int").alias("lane")
         fresh = batch_df.select("doc_id", lane, "ids").persist()
+        try:
+            self._pack(spark, fresh, batch)
+        finally:
+            fresh.unpersist()
+
+    def _pack(self, spark: SparkSession, fresh: DataFrame, batch: int) -> None:
         carried = self._state(spark, batch - 1)
         low, high = order_bounds(fresh, "doc_id")
         # The open block of a lane comes before every document of this micro-batch.
@@ -63,7 +69,6 @@ class PackStream:
             (F.coalesce("next_block", F.lit(0)) + F.coalesce("n_blocks", F.lit(0))).alias("next_block"),
             F.coalesce("ids", F.array().cast("array<int>")).alias("ids"),
         ).coalesce(1).write.mode("overwrite").parquet(self._state_path(batch))
-        fresh.unpersist()
 
     def run(self, encoded: DataFrame, checkpoint: str) -> None:
         """Process all input there is, then stop."""
