@@ -6,7 +6,7 @@ import string
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The six ASCII white-space characters that end a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -42,7 +42,7 @@ def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
     return condition
 
 
-def numbers(spark: SparkSession, array: list[float], kind: str) -> Column:
+def numbers(array: list[float], kind: str) -> Column:
     """A literal array of any length: parsed once, when the plan is folded."""
     return F.from_json(F.lit("[" + ",".join(repr(x) for x in array) + "]"), f"array<{kind}>")
 

@@ -10,12 +10,13 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tokenloom.llm.common import bucket_of
+from tokenloom.llm.common import WORD, bucket_of
 from tokenloom.llm.decontamination import contamination
 from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
+from tokenloom.llm.mixing import group_key, id_hash, mix_sources
 from tokenloom.llm.quality_rules import quality_rules
-from tokenloom.session import ship_package
+from tokenloom.session import ship_package, stage_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,31 @@ def sha256(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def sized(docs: DataFrame, *columns: str) -> DataFrame:
+    """Words of each document (size) and the hash of its id (h), next to `columns`; staged."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return stage_table(docs.select(*columns, size.alias("size"), id_hash("doc_id").alias("h")), "sized")
+
+
+def op1_mixing(spark, sf_dir):
+    docs = sized(table(spark, sf_dir, "documents"), "doc_id", "source")
+    mixed, family, sizes = mix_sources(docs, "source", cap=3.0)
+    found = F.array(
+        *(
+            F.struct(F.lit(k).alias("key"), F.lit(n).cast("long").alias("size"), F.lit(t).alias("target"))
+            for k, n, t in zip(family.keys, sizes, family.targets, strict=True)
+        )
+    )
+    own = F.get(F.filter(found, lambda g: g["key"] == group_key("source")), F.lit(0))
+    return mixed.withColumn("own", own).select(
+        "doc_id",
+        "size",
+        F.col("own.size").alias("source_size"),
+        F.round("own.target", 6).alias("target"),
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
 def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train_languages(docs.where(bucket_of("doc_id", 5) != 0))
@@ -64,6 +90,7 @@ def op7_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op6_decontamination": op6_decontamination,
@@ -72,7 +99,62 @@ QUERIES = {
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
+_END = 1 << 48
+
+
+def _take(k: int) -> str:
+    """SQL of one rounding pass: by hash, documents that fit into what the pass before left."""
+    mine = "NOT taken AND h >= start AND size <= rest AND size > 0 AND rest > 0"
+    return f"""
+        c{k} AS (
+            SELECT source, h, rest, sum(size) OVER (PARTITION BY source ORDER BY h) AS c FROM p{k - 1} WHERE {mine}
+        ),
+        e{k} AS (
+            SELECT source, coalesce(max(c) FILTER (c <= rest), 0) AS got,
+                   coalesce(min(h) FILTER (c > rest), {_END}) AS edge
+            FROM c{k} GROUP BY source
+        ),
+        p{k} AS (
+            SELECT doc_id, p.source, size, h, base, taken OR ({mine} AND h < edge) AS taken,
+                   coalesce(edge, start) AS start, rest - coalesce(got, 0) AS rest
+            FROM p{k - 1} p LEFT JOIN e{k} e ON p.source IS NOT DISTINCT FROM e.source
+        ),"""
+
+
 ORACLE = {
+    "op1_mixing": rf"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                   CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS h
+            FROM documents
+        ),
+        s AS (
+            SELECT source, sum(size) AS n,
+                   [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+            FROM d GROUP BY source
+        ),
+        m AS (
+            SELECT *, 3.0 * n / w AS ratio,
+                   (sum(n) OVER () - coalesce(sum(3.0 * n) OVER (
+                       ORDER BY 3.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(w) OVER (ORDER BY 3.0 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mu
+            FROM s WHERE n > 0
+        ),
+        level AS (SELECT mu FROM m WHERE mu <= ratio ORDER BY ratio, source LIMIT 1),
+        t AS (
+            SELECT source, CAST(n AS BIGINT) AS n, CAST(least(3.0 * n, w * coalesce(mu, 0)) AS DOUBLE) AS target
+            FROM s LEFT JOIN level ON true
+        ),
+        r AS (SELECT *, CAST(CASE WHEN n > 0 THEN least(floor(target / n + 1e-9), 3) ELSE 0 END AS BIGINT) AS base FROM t),
+        p0 AS (
+            SELECT doc_id, d.source, size, h, base, false AS taken, 0::BIGINT AS start,
+                   greatest(CAST(round(target) AS BIGINT) - base * n, 0) AS rest
+            FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+        ),{_take(1)}{_take(2)}{_take(3)}
+        f AS (SELECT * FROM p3)
+        SELECT doc_id, size, n AS source_size, round(target, 6) AS target, size * (f.base + CAST(taken AS INT)) AS taken
+        FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+    """,
     "op3_line_dedup": f"""
         WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         line AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM cut),
