@@ -16,7 +16,8 @@ from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
 from tokenloom.llm.mixing import group_key, id_hash, mix_sources
 from tokenloom.llm.quality_rules import quality_rules
-from tokenloom.session import ship_package, stage_table
+from tokenloom.llm.token_store import read_store, write_store
+from tokenloom.session import scratch_path, ship_package, stage_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +90,32 @@ def op7_quality_rules(spark, sf_dir):
     return found.drop("text_hash", "threshold")
 
 
+#: Fixed values of the output contract.
+TOKENIZER_FILE = "word_bpe_49k.json"
+VOCAB_SIZE = 49_408
+END_ID = 1
+
+
+def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_output(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    write_store(table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID, VOCAB_SIZE)
+    found = read_store(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_output": op8_token_output,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
