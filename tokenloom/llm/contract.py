@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenloom.llm.common import WORD, bucket_of
 from tokenloom.llm.decontamination import contamination
+from tokenloom.llm.hmm_language_model import lm_scores
 from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
 from tokenloom.llm.mixing import group_key, id_hash, mix_sources
@@ -72,6 +73,11 @@ def op3_line_dedup(spark, sf_dir):
     )
 
 
+def op5_lm_scoring(spark, sf_dir):
+    found = lm_scores(table(spark, sf_dir, "documents"), bucket_of("doc_id", 7) != 2)
+    return found.withColumn("held_out", bucket_of("doc_id", 7) == 2)
+
+
 def op6_decontamination(spark, sf_dir):
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     n_hit = F.size("covered").cast("long")
@@ -113,6 +119,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_output": op8_token_output,
