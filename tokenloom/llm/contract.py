@@ -17,6 +17,7 @@ from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
 from tokenloom.llm.mixing import group_key, id_hash, mix_sources
 from tokenloom.llm.quality_rules import quality_rules
+from tokenloom.llm.suffix_dedup import drop_repeats
 from tokenloom.llm.token_store import read_store, write_store
 from tokenloom.session import scratch_path, ship_package, stage_table
 
@@ -73,6 +74,11 @@ def op3_line_dedup(spark, sf_dir):
     )
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    found = drop_repeats(table(spark, sf_dir, "documents"), span=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op5_lm_scoring(spark, sf_dir):
     found = lm_scores(table(spark, sf_dir, "documents"), bucket_of("doc_id", 7) != 2)
     return found.withColumn("held_out", bucket_of("doc_id", 7) == 2)
@@ -119,6 +125,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
