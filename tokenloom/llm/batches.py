@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tokenloom.llm.common import batch_of, kind_of
@@ -34,17 +35,18 @@ def batch_texts(docs: DataFrame) -> DataFrame:
     """Staged (batch, doc_ids, lengths, n_bytes, texts): consecutive rows of a partition.
 
     `texts` is the compressed UTF-8 of all its documents, `lengths` their bytes; null is empty.
-    A batch holds up to `BATCH_BYTES`, or one longer document.
+    A batch holds up to `BATCH_BYTES`, or one longer document. Rows are numbered: `batch` is the
+    number of its first row, and the others follow.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, texts, size, row = [], [], 0, TaskContext.get().partitionId() << 33
 
         def close():
             lengths = [len(t) for t in texts]
-            columns = {"doc_ids": [ids], "lengths": [lengths], "n_bytes": [size], "texts": [packed(b"".join(texts))]}
+            columns = {"batch": [row], "doc_ids": [ids], "lengths": [lengths], "n_bytes": [size]}
             types = {"doc_ids": pa.list_(own), "lengths": pa.list_(pa.int64()), "texts": pa.binary()}
-            return batch_of(columns, n_bytes=pa.int64(), **types)
+            return batch_of(columns | {"texts": [packed(b"".join(texts))]}, n_bytes=pa.int64(), **types)
 
         for batch in batches:
             own = batch.schema.field("doc_id").type
@@ -52,6 +54,7 @@ def batch_texts(docs: DataFrame) -> DataFrame:
                 raw = text.encode() if text else b""
                 if ids and size + len(raw) > BATCH_BYTES:
                     yield close()
+                    row += len(ids)
                     ids, texts, size = [], [], 0
                 ids.append(doc_id)
                 texts.append(raw)
@@ -59,9 +62,8 @@ def batch_texts(docs: DataFrame) -> DataFrame:
         if ids:
             yield close()
 
-    schema = f"doc_ids array<{kind_of(docs, 'doc_id')}>, lengths array<long>, n_bytes long, texts binary"
-    rows = docs.select("doc_id", "text").mapInArrow(pack, schema)
-    return stage_table(rows.withColumn("batch", F.monotonically_increasing_id()), "batches")
+    schema = f"batch long, doc_ids array<{kind_of(docs, 'doc_id')}>, lengths array<long>, n_bytes long, texts binary"
+    return stage_table(docs.select("doc_id", "text").mapInArrow(pack, schema), "batches")
 
 
 def with_answers(batches: DataFrame, answers: DataFrame) -> DataFrame:
@@ -83,14 +85,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def five_bytes(x: np.ndarray) -> bytes:
-    """The low 40 bits of each value."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def low_bytes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each value."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def from_five_bytes(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def from_low_bytes(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return wide.view("<u8").ravel()
 
 

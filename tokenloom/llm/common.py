@@ -5,12 +5,16 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The six ASCII white-space characters that end a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words whose hash a task remembers before it starts over.
+CACHED_WORDS = 300_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -56,3 +60,16 @@ def batch_of(columns: dict[str, object], **types: pa.DataType) -> pa.RecordBatch
     """An Arrow batch from lists, arrays and Arrow columns; `types` for those that can't be inferred."""
     arrays = [x if isinstance(x, pa.Array) else pa.array(x, types.get(name)) for name, x in columns.items()]
     return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
+class WordHashes(dict):
+    """word bytes -> 64-bit hash, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((self[w] for w in words), np.uint64, len(words))

@@ -17,6 +17,7 @@ from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
 from tokenloom.llm.mixing import group_key, id_hash, mix_sources
 from tokenloom.llm.quality_rules import quality_rules
+from tokenloom.llm.shingle_join import shingle_components
 from tokenloom.llm.suffix_dedup import drop_repeats
 from tokenloom.llm.token_store import read_store, write_store
 from tokenloom.session import scratch_path, ship_package, stage_table
@@ -102,6 +103,10 @@ def op7_quality_rules(spark, sf_dir):
     return found.drop("text_hash", "threshold")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return shingle_components(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 #: Fixed values of the output contract.
 TOKENIZER_FILE = "word_bpe_49k.json"
 VOCAB_SIZE = 49_408
@@ -130,6 +135,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_output": op8_token_output,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"

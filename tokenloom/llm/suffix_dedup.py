@@ -25,8 +25,8 @@ from tokenloom.llm.batches import (
     ask,
     batch_texts,
     bucket_slices,
-    five_bytes,
-    from_five_bytes,
+    from_low_bytes,
+    low_bytes,
     mixed,
     packed,
     unpacked,
@@ -37,6 +37,8 @@ from tokenloom.session import ship_package, stage_table
 
 #: Bytes of a hashed substring; a span of 50 has 31 of them.
 GRAM = 20
+#: Bytes of a key on the way; the bucket is the rest of it. A false match costs time only.
+KEY_BYTES = 5
 #: Text per bucket, as if all of it were shared.
 BUCKET_BYTES = 2 << 20
 #: Null ids come before all others.
@@ -211,7 +213,7 @@ def _send_keys(span: int, n_buckets: int):
                 order, rest, slices = bucket_slices(distinct, n_buckets)
                 several = several[order]
                 messages = [
-                    np.int64(b - a).tobytes() + five_bytes(rest[a:b]) + np.packbits(several[a:b]).tobytes()
+                    np.int64(b - a).tobytes() + low_bytes(rest[a:b], KEY_BYTES) + np.packbits(several[a:b]).tobytes()
                     for _, a, b in slices
                 ]
                 # A key seen once in two batches may be of one document id; that costs time, not results.
@@ -227,8 +229,8 @@ def _answer_keys(table: pa.Table) -> pa.Table:
     values, several, sizes = [], [], []
     for message in table["message"].to_pylist():
         n = int(np.frombuffer(message[:8], np.int64)[0])
-        values.append(from_five_bytes(message[8 : 8 + 5 * n]))
-        several.append(np.unpackbits(np.frombuffer(message[8 + 5 * n :], np.uint8), count=n))
+        values.append(from_low_bytes(message[8 : 8 + KEY_BYTES * n], KEY_BYTES))
+        several.append(np.unpackbits(np.frombuffer(message[8 + KEY_BYTES * n :], np.uint8), count=n))
         sizes.append(n)
     _, place = np.unique(np.concatenate(values), return_inverse=True)
     weight = np.bincount(place, 1 + np.concatenate(several).astype(float))
