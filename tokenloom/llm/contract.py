@@ -16,6 +16,7 @@ from tokenloom.llm.hmm_language_model import lm_scores
 from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
 from tokenloom.llm.mixing import group_key, id_hash, mix_sources
+from tokenloom.llm.pii import replace_pii
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.shingle_join import shingle_components
 from tokenloom.llm.suffix_dedup import drop_repeats
@@ -107,6 +108,14 @@ def op9_jaccard_join(spark, sf_dir):
     return shingle_components(table(spark, sf_dir, "documents"), size=5, percent=75)
 
 
+#: The query's key. A real run passes its own; who knows the key can undo the permutations.
+PII_KEY = b"surrogates of the registered query"
+
+
+def op10_pii(spark, sf_dir):
+    return replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 #: Fixed values of the output contract.
 TOKENIZER_FILE = "word_bpe_49k.json"
 VOCAB_SIZE = 49_408
@@ -136,6 +145,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_output": op8_token_output,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_pii": op10_pii,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
