@@ -33,7 +33,7 @@ def sha256(text) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def sized(docs: DataFrame, *columns: str) -> DataFrame:
+def sized(docs: DataFrame, *columns: str | F.Column) -> DataFrame:
     """Words of each document (size) and the hash of its id (h), next to `columns`; staged."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     return stage_table(docs.select(*columns, size.alias("size"), id_hash("doc_id").alias("h")), "sized")
@@ -105,7 +105,7 @@ def op7_quality_rules(spark, sf_dir):
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return shingle_components(table(spark, sf_dir, "documents"), size=5, percent=75)
+    return shingle_components(table(spark, sf_dir, "documents"), size=5, percent=75).drop("text_hash")
 
 
 #: The query's key. A real run passes its own; who knows the key can undo the permutations.

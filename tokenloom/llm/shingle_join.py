@@ -15,11 +15,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokenloom.llm.batches import (
@@ -33,7 +35,7 @@ from tokenloom.llm.batches import (
     unpacked,
     with_answers,
 )
-from tokenloom.llm.common import WordHashes, batch_of
+from tokenloom.llm.common import WordHashes, batch_of, text_hash
 from tokenloom.llm.graph import connected
 from tokenloom.session import ship_package, stage_table
 
@@ -44,6 +46,8 @@ BUCKET_BYTES = 2 << 20
 BLOCK_TOKENS = 1 << 20
 LEAF_DOCS = 16
 FANOUT = 4
+#: Fixed value: the seed of Spark's xxhash64.
+SPARK_SEED = 42
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,6 +63,11 @@ def shingles(words: list[bytes], hashed: WordHashes, size: int) -> np.ndarray:
     return np.unique(mixed(gram))
 
 
+def signed(value: int) -> int:
+    """The same 64 bits as a signed number."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _sets(row: dict, hashed: WordHashes, size: int) -> list[np.ndarray]:
     raw, at, out = unpacked(row["texts"]), 0, []
     for n in row["lengths"]:
@@ -68,14 +77,19 @@ def _sets(row: dict, hashed: WordHashes, size: int) -> list[np.ndarray]:
 
 
 def set_keys(batches: DataFrame, size: int) -> DataFrame:
-    """(row, batch, doc_id, n, s1, s2): the size of each document's set and a 128-bit hash of it."""
+    """(row, batch, doc_id, text_hash, n, s1, s2): the size of each document's set and 128 bits of its hash.
+
+    `text_hash` is Spark's xxhash64 of the text (of '' for null).
+    """
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHashes()
         for batch in rows:
             own = batch.schema.field("doc_ids").type.value_type
             for row in batch.to_pylist():
-                sets = _sets(row, hashed, size)
+                sets, raw = _sets(row, hashed, size), unpacked(row["texts"])
+                edges = [0, *itertools.accumulate(row["lengths"])]
+                own_hash = [signed(xxhash.xxh64_intdigest(raw[a:b], SPARK_SEED)) for a, b in itertools.pairwise(edges)]
                 sums = [
                     (int(s.sum(dtype=np.uint64).view(np.int64)), int(mixed(s ^ MULTIPLIER).sum(dtype=np.uint64).view(np.int64)))
                     for s in sets
@@ -85,15 +99,16 @@ def set_keys(batches: DataFrame, size: int) -> DataFrame:
                         "row": np.arange(len(sets)) + row["batch"],
                         "batch": np.full(len(sets), row["batch"]),
                         "doc_id": row["doc_ids"],
+                        "text_hash": own_hash,
                         "n": [len(s) for s in sets],
                         "s1": [a for a, _ in sums],
                         "s2": [b for _, b in sums],
                     },
-                    doc_id=own, n=pa.int64(), s1=pa.int64(), s2=pa.int64(),
+                    doc_id=own, text_hash=pa.int64(), n=pa.int64(), s1=pa.int64(), s2=pa.int64(),
                 )
 
     kind = batches.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"row long, batch long, doc_id {kind}, n long, s1 long, s2 long"
+    schema = f"row long, batch long, doc_id {kind}, text_hash long, n long, s1 long, s2 long"
     return stage_table(batches.select("batch", "doc_ids", "lengths", "texts").mapInArrow(measure, schema), "set-keys")
 
 
@@ -370,7 +385,7 @@ def _blocks(members: DataFrame, sizes: DataFrame, star: DataFrame, percent: int)
 
 
 def shingle_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id.
+    """One row per document row: doc_id, text_hash, n_shingles, component_id.
 
     Two documents are linked if 100 * common shingles >= `percent` * all shingles of both; the
     component is named by its smallest doc_id (null only if all of its ids are). Null and blank
@@ -396,7 +411,7 @@ def _named(keys: DataFrame, labels: DataFrame) -> DataFrame:
     )
     met = keys.join(named, ["s1", "s2", "n"], "left")
     own: Column = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return met.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return met.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def first_of_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -405,5 +420,8 @@ def first_of_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Da
     Rows whose id is null stay; rows that share the smallest id all stay.
     """
     found = shingle_components(docs, size, percent)
-    later = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti")
+    later = stage_table(
+        found.where(F.col("doc_id") > F.col("component_id")).select("doc_id", "text_hash").distinct(), "later-copies"
+    )
+    match = (docs["doc_id"] == later["doc_id"]) & (text_hash(docs["text"]) == later["text_hash"])
+    return docs.join(later, match, "left_anti")
