@@ -417,11 +417,10 @@ def _named(keys: DataFrame, labels: DataFrame) -> DataFrame:
 def first_of_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """`docs` with one document of each component: the one with the smallest id. All columns stay.
 
-    Rows whose id is null stay; rows that share the smallest id all stay.
+    Rows that share the smallest id all stay, and so do rows without an id whose group has no id.
     """
     found = shingle_components(docs, size, percent)
-    later = stage_table(
-        found.where(F.col("doc_id") > F.col("component_id")).select("doc_id", "text_hash").distinct(), "later-copies"
-    )
-    match = (docs["doc_id"] == later["doc_id"]) & (text_hash(docs["text"]) == later["text_hash"])
+    copy = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    later = stage_table(found.where(copy).select("doc_id", "text_hash").distinct(), "later-copies")
+    match = docs["doc_id"].eqNullSafe(later["doc_id"]) & (text_hash(docs["text"]) == later["text_hash"])
     return docs.join(later, match, "left_anti")
