@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.text import import_dropout, normalize_lines, sanitize_text, tidy_lines
 from tokenloom.operators.cleaning import clean_audit, clean_corpus, with_eos
 from tokenloom.operators.lexing import KINDS, lexemes
+from tokenloom.operators.segments import encoding_units, segment_corpus
 from tokenloom.sources.corpus import read_source_files
 
 # (source, dropout, cleaned)
@@ -201,3 +202,32 @@ def test_standard_library_keeps_its_programs(spark):
             off[row.doc_id] = got
     # The rest: a docstring whose line holds other strings, which go with it.
     assert len(off) <= 0.05 * len(sources), off
+
+
+@pytest.mark.parametrize(
+    ("source", "kinds"),
+    [
+        ("def f():\r    'd'\r    return 1\r", ["NEWLINE", "INDENT", "STRING", "NEWLINE", "NEWLINE", "DEDENT", "ENDMARKER"]),
+        ("# c\rx = 1", ["COMMENT", "NL", "NEWLINE", "ENDMARKER"]),
+        ("if a:\r\n  b\rc\n", ["NEWLINE", "INDENT", "NEWLINE", "DEDENT", "NEWLINE", "ENDMARKER"]),
+    ],
+)
+def test_every_line_end_counts(source, kinds):
+    found = list(lexemes(source))
+    assert "".join(text for _, text, _ in found) == source
+    assert [kind for kind, _, _ in found if kind != "CODE"] == kinds
+
+
+def test_docstrings_after_lone_carriage_returns_go(spark):
+    df = spark.createDataFrame([(1, "def f():\r    'd'\r    return 1\r")], "doc_id long, content string")
+    assert clean_corpus(df, 0.0).first().clean_text == "def f():\n<SCOPE_IN>pass\nreturn 1\n<SCOPE_OUT>"
+
+
+@pytest.mark.parametrize("mode", ["literal", "regex"])
+def test_long_mixed_lines_need_no_stack(spark, mode):
+    line = "a\U0001f600" * 40_000
+    df = spark.createDataFrame([(f"{line}\n<SCOPE_IN>{line}",)], "t string")
+    found = df.select(encoding_units(F.col("t"), split_mode=mode).alias("u")).first().u
+    assert found == ([line + "\n", "<SCOPE_IN>", line] if mode == "literal" else [line, "\n", "<SCOPE_IN>", line])
+    own = segment_corpus(df, "t", mode).count()
+    assert own == (2 if mode == "literal" else 5)

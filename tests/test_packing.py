@@ -3,7 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators.ordering import doc_index, prefix_sum, skip_docs, take_docs, with_split
+from tokenloom.operators.ordering import (
+    last_of_first,
+    prefix_sum,
+    skip_docs,
+    take_docs,
+    with_doc_id,
+    with_split,
+)
 from tokenloom.operators.packing import batch_blocks, doc_offsets, lanes, pack_blocks, shift_targets
 
 
@@ -63,7 +70,7 @@ def test_offsets_per_group(spark):
 
 def test_lanes_leave_one_remainder_each(spark):
     docs = random_docs(random.Random(4), 120, False)
-    dealt = lanes(doc_index(frame(spark, docs)), 3)
+    dealt = lanes(frame(spark, docs), 3)
     got = {(r.lane, r.block_id): r.chunk for r in pack_blocks(dealt, 9, ("lane",)).collect()}
     want = {}
     for lane in range(3):
@@ -93,3 +100,34 @@ def test_batches_in_order(spark):
     blocks = pack_blocks(frame(spark, [(0, list(range(50)))]), 4)
     ids = {r.block_id: r.batch_id for r in batch_blocks(blocks, 3).collect()}
     assert ids == {b: b // 3 for b in range(10)}
+
+
+def test_rows_without_a_place_are_refused(spark):
+    nulls = spark.createDataFrame([(1, [1]), (None, [2]), (3, [3])], "doc_id long, ids array<int>")
+    with pytest.raises(ValueError):
+        pack_blocks(nulls, 1)
+    with pytest.raises(Exception, match="has no doc_id"):
+        pack_blocks(nulls, 1, bounds=(1, 3)).collect()
+    with pytest.raises(ValueError):
+        take_docs(nulls, 1)
+    twice = spark.createDataFrame([(1, [1]), (1, [2])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="repeated"):
+        pack_blocks(twice, 1).collect()
+
+
+def test_doc_ids_from_any_key(spark):
+    keys = [(f"p{i % 7}", i) for i in range(300)]
+    random.Random(1).shuffle(keys)
+    df = spark.createDataFrame(keys, "path string, turn int").repartition(5)
+    got = {(r.path, r.turn): r.doc_id for r in with_doc_id(df, "path", "turn").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    assert with_doc_id(df.where("false"), "path").columns == ["path", "turn", "doc_id"]
+
+
+def test_the_nth_of_sparse_ids(spark):
+    rng = random.Random(9)
+    ids = sorted({rng.randint(-(2**62), 2**62) for _ in range(500)} | {0, 1, 2, 3})
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for n in (1, 7, 250, len(ids)):
+        assert sorted(r.doc_id for r in take_docs(df, n).collect()) == ids[:n]
+    assert last_of_first(df, len(ids) + 1) is None

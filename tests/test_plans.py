@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenloom.contract import queries as q
 from tokenloom.operators.cleaning import clean_corpus, clean_prose, with_eos
 from tokenloom.operators.ordering import take_docs
-from tokenloom.operators.packing import pack_blocks
+from tokenloom.operators.packing import doc_offsets, lanes, pack_blocks, tail_of
 from tokenloom.operators.segments import segment_corpus, segment_counts
 from tokenloom.session import shared_dir, stage_table
 from tokenloom.sources.corpus import scan_corpus
@@ -61,11 +61,11 @@ def test_scan_reads_two_columns_and_takes_the_filter(spark, sf_dir):
     assert "text:string" not in ids
 
 
-def test_taking_ranks_ids_only(spark, sf_dir):
+def test_taking_is_a_range_of_ids(spark, sf_dir):
     df = scan_corpus(spark, f"{sf_dir}/documents.parquet")
     plan = plan_of(take_docs(df, 50))
-    ranked = [line for line in plan.splitlines() if "TakeOrderedAndProject" in line]
-    assert ranked and all("text" not in line and "content" not in line for line in ranked)
+    assert "TakeOrderedAndProject" not in plan and "Window" not in plan
+    assert "LessThanOrEqual(doc_id,49)" in plan
 
 
 def test_nulls_are_dropped_before_python(spark, sf_dir):
@@ -90,16 +90,31 @@ def test_counting_combines_before_the_shuffle(spark, sf_dir):
 def test_packing_moves_the_ids_once(spark, sf_dir):
     encoded = q.char_encoded(spark, sf_dir)
     blocks = pack_blocks(encoded, 64)
-    blocks.write.format("noop").mode("overwrite").save()
+    for line in plan_of(blocks).splitlines():
+        if re.search(r"\bWindow \[", line):
+            assert "ids" not in line
     blocks.collect()
     final = plan_of(blocks).split("Initial Plan")[0]
-    moved = [line for line in final.splitlines() if re.search(r"Exchange hashpartitioning\(_k", line)]
-    payload = [line for line in moved if "ReusedExchange" not in line]
-    assert any("ReusedExchange" in line and "ids" in line for line in final.splitlines())
-    # One exchange carries documents, one the bucket totals.
-    assert len(payload) == 2
-    totals = [line for line in final.splitlines() if "FileScan" in line and "n_tokens:int" in line]
-    assert any("ids" not in line.split("ReadSchema")[1] for line in totals)
+    scans = [line for line in final.splitlines() if "FileScan" in line and "n_tokens:int" in line]
+    assert scans and all("ids" not in line.split("ReadSchema")[1] for line in scans)
+
+
+def test_windows_carry_no_ids(spark, sf_dir):
+    """A window's input columns show in the sort below it."""
+    plan = plan_of(pack_blocks(q.char_encoded(spark, sf_dir), 64)).splitlines()
+    for i, line in enumerate(plan):
+        if re.search(r"\bWindow \[", line):
+            below = next(x for x in plan[i + 1 :] if "Project [" in x or "HashAggregate" in x or "FileScan" in x)
+            assert not re.search(r"\bids#", below), below
+
+
+def test_the_stream_tail_moves_no_ids_by_lane(spark, sf_dir):
+    placed = stage_table(doc_offsets(lanes(q.char_encoded(spark, sf_dir), 3), ("lane",)), "placed")
+    plan = plan_of(tail_of(placed, 64, ("lane",)))
+    assert "BroadcastHashJoin [lane" in plan
+    moved = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(lane", line)]
+    # Partial lists of the open blocks alone: at most one block for each task and lane.
+    assert len(moved) <= 3
 
 
 def test_staged_tables_live_in_the_shared_folder(spark):

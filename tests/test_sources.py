@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from test_plans import plan_of
 
+from tokenloom.operators.ordering import with_doc_id
 from tokenloom.operators.training import train_bpe
 from tokenloom.operators.vocabulary import special_tokens
 from tokenloom.plans.tokenizer_build import build_tokenizer
@@ -39,8 +40,18 @@ def test_source_files_keep_their_text(spark, tmp_path):
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(text.encode())
     rows = {r.doc_id.rsplit("/", 1)[1]: r.content for r in read_source_files(spark, str(tmp_path)).collect()}
-    assert rows.pop("a.py") == texts["a.py"]
-    assert set(rows) <= {"b.py"}
+    assert rows == {"a.py": texts["a.py"], "b.py": ""}
+
+
+def test_a_folder_feeds_the_packer(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"m{i:02d}.py").write_text(f"def f{i}(x):\n    return x + {i}\n" if i % 5 else "")
+    files = with_doc_id(read_source_files(spark, str(tmp_path)).withColumnRenamed("doc_id", "path"), "path")
+    order = [r.path[-6:] for r in files.orderBy("doc_id").collect()]
+    assert order == [f"m{i:02d}.py" for i in range(30)]
+    corpus = files.select("doc_id", "content")
+    blocks = training_blocks(corpus, build_tokenizer(corpus, 30, 120), 16, 3, 10).collect()
+    assert {r.split for r in blocks} == {"train", "val"}
 
 
 def test_clean_text_keeps_order_and_empty_documents(spark, tmp_path):

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.sources.corpus import spread
+from tokenloom.sources.corpus import default_spread, spread
 
 
 @dataclass(frozen=True)
@@ -136,4 +136,4 @@ def column_sql(field: str) -> str:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return spread(part.selectExpr("p_partkey AS doc_id", f"{column_sql('source')} AS content"), "doc_id")
+    return spread(part.selectExpr("p_partkey AS doc_id", f"{column_sql('source')} AS content"), "doc_id", default_spread(spark))

@@ -147,8 +147,8 @@ ALL_DOCS = f"{ENDED}, docs AS (SELECT * FROM ended)"
 PACKED = f"{ALL_DOCS}, {stream_sql(q.BLOCK + 1)}"
 INDEXED = "idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM documents)"
 LANED = (
-    f"{ENDED}, docs AS (SELECT *, CAST((row_number() OVER (ORDER BY doc_id) - 1) % {q.LANES} AS INTEGER) AS lane "
-    f"FROM ended), {stream_sql(q.BLOCK + 1, 'lane')}"
+    f"{ENDED}, {INDEXED}, docs AS (SELECT ended.*, CAST(doc_idx % {q.LANES} AS INTEGER) AS lane "
+    f"FROM ended JOIN idx USING (doc_id)), {stream_sql(q.BLOCK + 1, 'lane')}"
 )
 SIDED = (
     f"{ENDED}, {INDEXED}, docs AS (SELECT ended.*, CASE WHEN doc_idx < {q.TAKE} THEN 'val' ELSE 'train' END AS split "
@@ -202,6 +202,7 @@ def oracle() -> dict[str, str]:
     vocab = f"WITH {TRAINED} {vocab_rows(M)}"
     encoded = f"WITH {TRAINED}, {ENDED.removeprefix(PROSE + ', ')} SELECT doc_id, {id_text(with_merges('clean_text'))} AS ids FROM ended"
     laned = f"WITH {LANED} SELECT lane, block_id, {X_Y} FROM blocks"
+    marker_or_char = f"CASE WHEN c IN (chr(1), chr(2)) THEN ascii(c) ELSE {id_of('c')} END"
     small_first = training(M, f"(SELECT * FROM documents ORDER BY doc_id LIMIT {q.TAKE})")
     return {
         "scan_corpus": "SELECT doc_id, text AS content FROM documents",
@@ -266,8 +267,7 @@ def oracle() -> dict[str, str]:
         f"(SELECT unicode(l) - {IDS} AS left_id, unicode(r) - {IDS} AS right_id FROM p0 "
         "ORDER BY n DESC, left_id, right_id LIMIT 20)) "
         f"SELECT token, CAST(id AS INTEGER) AS id FROM seen LEFT JOIN v{M} USING (token)",
-        "special_tokens": f"WITH {TRAINED} SELECT token, CAST(id AS INTEGER) AS id, id < 3 AS is_special, "
-        "(SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS corpus_chars "
+        "special_tokens": f"WITH {TRAINED} SELECT token, CAST(id AS INTEGER) AS id, id < 3 AS is_special "
         f"FROM v{M} WHERE starts_with(token, '<') AND ends_with(token, '>')",
         "split_specials": f"WITH {CODE}, cut AS (SELECT doc_id, list_filter(flatten(list_transform("
         f"string_split({MARKED}, chr(1)), lambda s: regexp_extract_all(s, {UNITS}))), lambda s: s <> '') AS units "
@@ -286,11 +286,26 @@ def oracle() -> dict[str, str]:
         "SELECT ch, n, CAST(coalesce(id, 0) AS INTEGER) AS id FROM used LEFT JOIN base ON ch = token",
         "decode_tokens": f"WITH {ENDED} SELECT doc_id, clean_text AS text FROM ended",
         "decode_code": f"WITH {CODE} SELECT doc_id, {BARE} AS text FROM code WHERE content IS NOT NULL",
-        "doc_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM documents WHERE lang = 'en'",
+        "doc_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM documents",
         "doc_offsets": f"WITH {ENDED} SELECT doc_id, CAST(length(clean_text) AS INTEGER) AS n_tokens, "
         "CAST(coalesce(sum(length(clean_text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
         "AS BIGINT) AS \"offset\" FROM ended",
         "pack_blocks": f"WITH {PACKED} SELECT block_id, {ids_out('chunk', 'chunk')} FROM blocks",
+        "doc_offsets_sparse": f"WITH {ENDED} SELECT doc_id * doc_id * 1000003 - 5000000 AS doc_id, "
+        "CAST(length(clean_text) AS INTEGER) AS n_tokens, "
+        "CAST(coalesce(sum(length(clean_text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+        "AS BIGINT) AS \"offset\" FROM ended",
+        "pack_blocks_sparse": f"WITH {PACKED} SELECT block_id, {ids_out('chunk', 'chunk')} FROM blocks",
+        "pack_conversations": f"WITH docs AS (SELECT doc_id, clean_text || ' <|endoftext|>' AS clean_text FROM "
+        f"(SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, {joined(lines(sanitized('text')))} AS clean_text "
+        f"FROM conversations) WHERE clean_text <> ''), {stream_sql(q.EVAL_BLOCK + 1)} "
+        f"SELECT block_id, {ids_out('chunk', 'chunk')} FROM blocks",
+        "pack_lanes_code": f"WITH {CODE}, docs AS (SELECT doc_id, lane, {one_char_markers('clean_text')} || "
+        f"' <|endoftext|>' AS clean_text FROM (SELECT *, CAST((row_number() OVER (ORDER BY doc_id) - 1) % {q.LANES} "
+        "AS INTEGER) AS lane FROM code) WHERE content IS NOT NULL AND clean_text <> ''), "
+        f"{stream_sql(q.EVAL_BLOCK + 1, 'lane', token=marker_or_char)} SELECT lane, block_id, {X_Y} FROM blocks",
+        "encode_eos_special": f"WITH {ENDED} SELECT doc_id, "
+        f"{id_text(coded('left(clean_text, length(clean_text) - 13)'))} || ',103' AS ids FROM ended",
         "shift_targets": f"WITH {PACKED} SELECT block_id, {X_Y} FROM blocks",
         "batch_blocks": f"WITH {PACKED} SELECT block_id // {q.BATCH} AS batch_id, count(*) AS examples, "
         "CAST(sum(list_sum(chunk)) AS BIGINT) AS id_sum FROM blocks GROUP BY 1",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tokenloom.contract.code_corpus import code_corpus
 from tokenloom.functions import lexemes as rules
-from tokenloom.functions.text import import_dropout, normalize_lines, sanitize_text
+from tokenloom.functions.text import END_OF_TEXT, import_dropout, normalize_lines, sanitize_text
 from tokenloom.operators.cleaning import (
     clean_audit,
     clean_corpus,
@@ -21,7 +21,7 @@ from tokenloom.operators.cleaning import (
 )
 from tokenloom.operators.encoding import decode_tokens, encode_corpus, token_pieces
 from tokenloom.operators.lexing import lex_documents
-from tokenloom.operators.ordering import doc_index, skip_docs, take_docs, with_split
+from tokenloom.operators.ordering import doc_index, skip_docs, take_docs, with_doc_id
 from tokenloom.operators.packing import batch_blocks, doc_offsets, lanes, pack_blocks, shift_targets
 from tokenloom.operators.pairs import apply_merge, best_pair, char_ids, coded, pair_counts
 from tokenloom.operators.scoring import heldout_loss, prune_beams, topk_exact, topk_renormalize
@@ -38,7 +38,7 @@ from tokenloom.sources.artefacts import (
     save_tokenizer,
     write_clean_text,
 )
-from tokenloom.sources.corpus import read_source_files, scan_corpus
+from tokenloom.sources.corpus import default_spread, read_source_files, scan_corpus
 from tokenloom.streaming.corpus_stream import corpus_stream, run_to_files, stream_clean, stream_encode
 from tokenloom.streaming.pack_stream import PackStream
 
@@ -59,7 +59,7 @@ def as_text(ids: str | Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_corpus(spark, f"{sf_dir}/documents.parquet")
+    return scan_corpus(spark, f"{sf_dir}/documents.parquet", partitions=default_spread(spark))
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,9 +301,7 @@ def looked_up(spark, sf_dir):
 
 
 def reserved_tokens(spark, sf_dir):
-    used = chars_of(documents(spark, sf_dir), "content").agg(F.sum("n").alias("corpus_chars"))
-    total = F.lit(used.first()["corpus_chars"]).cast("long")
-    return special_tokens(small_vocab(spark, sf_dir)).withColumn("corpus_chars", total)
+    return special_tokens(small_vocab(spark, sf_dir))
 
 
 def code_special_tokens(spark, sf_dir):
@@ -369,8 +367,7 @@ def offsets(spark, sf_dir):
 
 
 def indexed(spark, sf_dir):
-    en = scan_corpus(spark, f"{sf_dir}/documents.parquet", language="en")
-    return doc_index(en.select("doc_id"))
+    return doc_index(documents(spark, sf_dir).select("doc_id"))
 
 
 def packed(spark, sf_dir):
@@ -393,8 +390,8 @@ def batches(spark, sf_dir):
 
 
 def lane_blocks(spark, sf_dir):
-    index = doc_index(char_encoded(spark, sf_dir))
-    return shift_targets(pack_blocks(lanes(index, LANES), BLOCK, ("lane",)))
+    dealt = lanes(char_encoded(spark, sf_dir), LANES)
+    return shift_targets(pack_blocks(dealt, BLOCK, ("lane",)))
 
 
 def packed_lanes(spark, sf_dir):
@@ -402,6 +399,43 @@ def packed_lanes(spark, sf_dir):
     return blocks.select("lane", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
 
 
+def code_lanes(spark, sf_dir):
+    """Code has empty documents: lanes go by the number in the corpus, before those go."""
+    numbered = with_doc_id(code_corpus(spark, sf_dir).withColumnRenamed("doc_id", "own_id"), "own_id")
+    encoded = stage_table(encode_documents(numbered.select("doc_id", "content"), Vocabulary(), 0.0), "code-ids")
+    blocks = shift_targets(pack_blocks(lanes(encoded, LANES), EVAL_BLOCK, ("lane",)))
+    return blocks.select("lane", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
+
+
+def sparse_documents(spark, sf_dir):
+    """Ids over several buckets and levels, in the order of the documents."""
+    spread_id = F.col("doc_id") * F.col("doc_id") * 1_000_003 - 5_000_000
+    return char_encoded(spark, sf_dir).withColumn("doc_id", spread_id)
+
+
+def sparse_offsets(spark, sf_dir):
+    return doc_offsets(sparse_documents(spark, sf_dir).select("doc_id", "n_tokens"))
+
+
+def sparse_blocks(spark, sf_dir):
+    blocks = pack_blocks(sparse_documents(spark, sf_dir), BLOCK)
+    return blocks.select("block_id", as_text("chunk").alias("chunk"))
+
+
+def conversation_blocks(spark, sf_dir):
+    """A corpus without an integer id: turns in the order of (conv_id, turn)."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("content"))
+    numbered = with_doc_id(turns, "conv_id", "turn").select("doc_id", "content")
+    encoded = stage_table(encode_documents(numbered, Vocabulary(), 0.0, code=False), "turn-ids")
+    return pack_blocks(encoded, EVAL_BLOCK).select("block_id", as_text("chunk").alias("chunk"))
+
+
+def eos_special(spark, sf_dir):
+    """The end mark as one reserved id."""
+    ids = encode_corpus(ended(spark, sf_dir).select("doc_id", "clean_text"), Vocabulary().with_special(END_OF_TEXT))
+    return ids.select("doc_id", as_text("ids").alias("ids"))
+
+
 def split_sides(spark, sf_dir):
     blocks = training_blocks(documents(spark, sf_dir), Vocabulary(), BLOCK, BATCH, TAKE, 0.0, code=False)
     return blocks.select("split", "batch_id", "block_id", as_text("x").alias("x"), as_text("y").alias("y"))
@@ -567,6 +601,7 @@ QUERIES = {
     "encode_chars": encoded_chars,
     "encode_corpus": encoded_small,
     "encode_pieces": encoded_pieces,
+    "encode_eos_special": eos_special,
     "encode_code": encoded_code,
     "encode_markers": encoded_markers,
     "unk_tokens": unknown_chars,
@@ -577,7 +612,11 @@ QUERIES = {
     "pack_blocks": packed,
     "shift_targets": targets,
     "batch_blocks": batches,
+    "doc_offsets_sparse": sparse_offsets,
+    "pack_blocks_sparse": sparse_blocks,
+    "pack_conversations": conversation_blocks,
     "pack_lanes": packed_lanes,
+    "pack_lanes_code": code_lanes,
     "split_train_val": split_sides,
     "training_blocks": learned_blocks,
     "training_blocks_400": partial(learned_blocks, size=MEDIUM_VOCAB),

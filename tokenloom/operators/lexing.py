@@ -57,10 +57,11 @@ def lexemes(source: str):
     Kinds no rule asks about, and the blanks between tokens, come as stretches of `CODE`:
     they act on their neighbours like any single lexeme would, at a fraction of the rows.
     """
-    begins = list(itertools.accumulate(map(len, io.StringIO(source)), initial=0))
+    # Without newline translation a lone carriage return ends a line, as for the parser.
+    begins = list(itertools.accumulate(map(len, io.StringIO(source, newline="")), initial=0))
     last, size = len(begins) - 1, len(source)
     done, line = 0, 1
-    for kind, _, (row, col), (end_row, end_col), _ in tokenize.generate_tokens(io.StringIO(source).readline):
+    for kind, _, (row, col), (end_row, end_col), _ in tokenize.generate_tokens(io.StringIO(source, newline="").readline):
         if kind not in KINDS:
             continue
         start = min(begins[min(row - 1, last)] + col, size)
@@ -81,8 +82,10 @@ def _lex_all(texts):
         found, fine = [], text is not None
         if fine:
             try:
-                docs_here = docstring_lines(text)
                 found = list(lexemes(text))
+                # Docstrings are strings: without one there is nothing to parse for.
+                has_string = any(kind == "STRING" for kind, _, _ in found)
+                docs_here = docstring_lines(text) if has_string else []
             except Exception:  # any lexer error empties the document
                 fine, found, docs_here = False, [], []
         docs.append(docs_here if fine else [])

@@ -87,20 +87,27 @@ def batch_blocks(blocks: DataFrame, batch_size: int) -> DataFrame:
     return blocks.withColumn("batch_id", _whole(F.col("block_id"), batch_size))
 
 
-def lanes(indexed: DataFrame, n_lanes: int) -> DataFrame:
-    """Deal documents round robin by `doc_idx`; each lane packs on its own."""
-    return indexed.withColumn("lane", (F.col("doc_idx") % n_lanes).cast("int"))
+def lane_of(order: str, n_lanes: int) -> Column:
+    """The lane of a document: its number in the corpus, before empty documents go, modulo lanes."""
+    return F.pmod(F.col(order), F.lit(n_lanes)).cast("int")
+
+
+def lanes(docs: DataFrame, n_lanes: int, order: str = "doc_id") -> DataFrame:
+    """Deal documents round robin; each lane packs on its own. `order` is dense (`with_doc_id`)."""
+    return docs.withColumn("lane", lane_of(order, n_lanes))
 
 
 def tail_of(placed: DataFrame, block_size: int, groups: tuple[str, ...]) -> DataFrame:
     """Per group: how many whole blocks it has, and the ids after the last of them.
 
-    Only documents that reach into the open block contribute, cut to their part of it.
+    Only documents that reach into the open block contribute, cut to their part of it. For few
+    groups: their totals are broadcast (lanes are a parameter).
     """
     width, keys = block_size + 1, list(groups)
     ends = placed.groupBy(*keys).agg(F.sum(F.size("ids").cast("long")).alias("total"))
     open_at = F.col("total") - F.col("total") % width
-    reaching = placed.where(F.size("ids") > 0).join(ends, keys).where(F.col("offset") + F.size("ids") > open_at)
+    # One row per group: the totals go to the documents, and only those of an open block move.
+    reaching = placed.where(F.size("ids") > 0).join(F.broadcast(ends), keys).where(F.col("offset") + F.size("ids") > open_at)
     skip = F.greatest(open_at - F.col("offset"), F.lit(0)).cast("int")
     parts = reaching.select(
         *keys, F.struct(F.col("offset"), F.slice("ids", skip + 1, F.size("ids") - skip).alias("piece")).alias("part")

@@ -13,7 +13,8 @@ SPECIAL_TOKENS = (UNKNOWN, "<SCOPE_IN>", "<SCOPE_OUT>")
 LINE_UNITS = r"[^\n]*\n|[^\n]+"
 _SCOPES = "|".join(re.escape(t) for t in SPECIAL_TOKENS[1:])
 # Scope markers and newlines alone; everything between them in one piece.
-ISOLATED_UNITS = rf"{_SCOPES}|\n|(?:(?!{_SCOPES})[^\n])+"
+# Possessive, here and below: nothing is ever given back, so long lines need no stack.
+ISOLATED_UNITS = rf"{_SCOPES}|\n|(?:(?!{_SCOPES})[^\n])++"
 
 
 def unit_pattern(split_mode: str) -> str:
@@ -34,8 +35,8 @@ def encoding_units(text: Column, specials=SPECIAL_TOKENS, split_mode: str = "lit
     # Of two reserved tokens starting at one place the longer wins.
     names = "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True))
     between = {
-        "literal": rf"(?:(?!{names})[^\n])*\n|(?:(?!{names})[^\n])+",
-        "regex": rf"\n|(?:(?!{names})[^\n])+",
+        "literal": rf"(?:(?!{names})[^\n])*+\n|(?:(?!{names})[^\n])++",
+        "regex": rf"\n|(?:(?!{names})[^\n])++",
     }[split_mode]
     return F.regexp_extract_all(text, F.lit(f"{names}|{between}"), F.lit(0))
 

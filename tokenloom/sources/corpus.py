@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CORPUS_SCHEMA = T.StructType(
@@ -9,17 +11,17 @@ CORPUS_SCHEMA = T.StructType(
 )
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a corpus that comes in few splits.
+def spread(scan: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Deal a corpus of few splits out to `partitions`; a large corpus has splits enough.
 
-    Only a plain scan with fewer splits than cores is moved: at most a split per core, less
-    than the Python work on it costs. A large corpus has splits enough and is left alone.
     Filters and column choices still pass through to the scan.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= 2 * cores:
-        return scan
-    return scan.repartition(2 * cores, key)
+    return scan if partitions is None else scan.repartition(partitions, key)
+
+
+def default_spread(spark: SparkSession) -> int:
+    """Partitions for a small corpus: two for each core."""
+    return 2 * spark.sparkContext.defaultParallelism
 
 
 def scan_corpus(
@@ -29,11 +31,13 @@ def scan_corpus(
     doc_id: str = "doc_id",
     text: str = "text",
     language_column: str = "lang",
+    partitions: int | None = None,
 ) -> DataFrame:
     """`doc_id, content` of a Parquet corpus.
 
     The language filter reaches the scan: it prunes folders of a corpus partitioned by
-    language, and row groups of any other. Only the two columns are read.
+    language, and row groups of any other. Only the two columns are read. `partitions` deals a
+    corpus of few splits out to more cores; leave it out for a large one.
     """
     fields = [T.StructField(doc_id, T.LongType()), T.StructField(text, T.StringType())]
     if language is not None:
@@ -42,10 +46,35 @@ def scan_corpus(
     if language is not None:
         rows = rows.where(F.col(language_column) == language)
     corpus = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("content"))
-    return spread(corpus, "doc_id")
+    return spread(corpus, "doc_id", partitions)
+
+
+def _empty_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Locations of the files without a byte, written as the text reader writes them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    found, files = [], top.getFileSystem(conf).listFiles(top, True)
+    while files.hasNext():
+        status = files.next()
+        if status.getLen() == 0:
+            place = status.getPath().toUri().toString()
+            below = place.rsplit(top.getName() + "/", 1)[-1].split("/")
+            hidden = any(part.startswith(("_", ".")) for part in below)
+            if not hidden and fnmatch.fnmatchcase(below[-1], pattern):
+                # The text reader leaves out an empty authority.
+                found.append(place.replace(":///", ":/", 1))
+    return found
 
 
 def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
-    """One row per file below `path`: its location as `doc_id`, its whole text as `content`."""
+    """One row per file below `path`: its location as `doc_id`, its whole text as `content`.
+
+    Spark's readers pass over files without a byte; those are listed and added. For folders of
+    source files: every file is listed on the driver. `with_doc_id` numbers the rows for packing.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    return files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content"))
+    rows = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content"))
+    empty = _empty_files(spark, path, pattern)
+    if not empty:
+        return rows
+    return rows.unionByName(spark.createDataFrame([(p, "") for p in empty], "doc_id string, content string"))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tokenloom.operators.ordering import order_bounds
-from tokenloom.operators.packing import doc_offsets, pack_placed, shift_targets, tail_of
+from tokenloom.operators.packing import doc_offsets, lanes, pack_placed, shift_targets, tail_of
+from tokenloom.sources.artefacts import is_complete
 
 STATE_SCHEMA = T.StructType(
     [
@@ -25,7 +26,7 @@ class PackStream:
     """Packs micro-batches of `doc_id, ids` into `lane, block_id, chunk` files under `path`.
 
     Blocks and state of a micro-batch are written under its number and replaced when it is
-    repeated, so a restart yields each block once.
+    repeated, so a restart yields each block once. A path belongs to one checkpoint.
     """
 
     def __init__(self, path: str, block_size: int, n_lanes: int):
@@ -44,8 +45,9 @@ class PackStream:
 
     def handle(self, batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
-        lane = (F.col("doc_id") % self.n_lanes).cast("int").alias("lane")
-        fresh = batch_df.select("doc_id", lane, "ids").persist()
+        if batch == 0 and is_complete(spark, self._state_path(1)):
+            raise ValueError(f"{self.path} holds another run's blocks; give a new checkpoint a new path")
+        fresh = lanes(batch_df.select("doc_id", "ids"), self.n_lanes).persist()
         try:
             self._pack(spark, fresh, batch)
         finally:
@@ -56,7 +58,13 @@ class PackStream:
         low, high = order_bounds(fresh, "doc_id")
         # The open block of a lane comes before every document of this micro-batch.
         rest = carried.select(F.lit(low - 1).cast("long").alias("doc_id"), "lane", "ids")
-        placed = doc_offsets(fresh.unionByName(rest), ("lane",), bounds=(low - 1, high))
+        placed = doc_offsets(fresh.unionByName(rest), ("lane",), bounds=(low - 1, high)).persist()
+        try:
+            self._write(placed, carried, batch)
+        finally:
+            placed.unpersist()
+
+    def _write(self, placed: DataFrame, carried: DataFrame, batch: int) -> None:
         # At most one row per lane.
         first = carried.select("lane", "next_block")
         blocks = pack_placed(placed, self.block_size, ("lane",)).join(first, "lane", "left")
