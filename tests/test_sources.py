@@ -1,18 +1,23 @@
 import pytest
 from pyspark.errors import AnalysisException
 from test_plans import plan_of
+from tokenizers import Tokenizer
 
 from tokenloom.operators.ordering import with_doc_id
+from tokenloom.operators.encoding import encode_corpus
+from tokenloom.operators.segments import segment_corpus
 from tokenloom.operators.training import train_bpe
 from tokenloom.operators.vocabulary import special_tokens
 from tokenloom.plans.tokenizer_build import build_tokenizer
 from tokenloom.plans.training_blocks import read_blocks, training_blocks, write_blocks
 from tokenloom.sources.artefacts import (
+    from_exchange,
     is_complete,
     load_tokenizer,
     read_clean_text,
     reuse_clean_corpus,
     save_tokenizer,
+    to_exchange,
     write_clean_text,
 )
 from tokenloom.sources.corpus import read_source_files, scan_corpus
@@ -95,6 +100,20 @@ def test_tokenizer_round_trip(spark, tmp_path):
         save_tokenizer(vocab, spark, str(tmp_path / "t"))
 
 
+@pytest.mark.parametrize("mode", ["literal", "regex"])
+def test_exchange_with_the_public_library(spark, mode):
+    text = "<SCOPE_IN>for i in range(10):\n    print(i)\nfor j in range(10):\n<SCOPE_OUT> done"
+    df = spark.createDataFrame([(1, text)], "doc_id long, clean_text string")
+    vocab = train_bpe(segment_corpus(df, split_mode=mode), 118).with_special("<|endoftext|>")
+    written = to_exchange(vocab, mode)
+    library = Tokenizer.from_str(written)
+    own = encode_corpus(df, vocab, split_mode=mode).first().ids
+    assert list(own) == library.encode(text).ids and library.token_to_id("<|endoftext|>") == vocab.eos_id
+    assert from_exchange(written) == vocab == from_exchange(library.to_str())
+    with pytest.raises(ValueError):
+        from_exchange(written.replace('"~": 102', '"~": 900'))
+
+
 def test_both_plans_end_to_end(spark, tmp_path):
     source = "import os\n\ndef f{0}(x):\n    return x + {0}\n"
     rows = [(i, source.format(i)) for i in range(60)]
