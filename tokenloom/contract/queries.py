@@ -46,6 +46,7 @@ TAKE = 300
 SMALL_MERGES = 16
 SMALL_VOCAB = 103 + SMALL_MERGES
 MEDIUM_VOCAB = 400
+BENCHMARK_MERGES = 150
 BLOCK = 512
 EVAL_BLOCK = 128
 EVAL_BATCHES = 20
@@ -282,6 +283,14 @@ def medium_merges(spark, sf_dir):
     return vocabulary(spark, sf_dir, MEDIUM_VOCAB).merge_table(spark)
 
 
+def benchmark_merges(spark, sf_dir):
+    """Merges under a budget so small that frontiers are cut; lineage is cut every second round."""
+    items = scan_corpus(spark, f"{sf_dir}/benchmark.parquet", doc_id="item_id", partitions=default_spread(spark))
+    units = segment_corpus(clean_prose(items))
+    vocab = train_bpe(units, 103 + BENCHMARK_MERGES, run_budget=400, checkpoint_every=2)
+    return vocab.merge_table(spark)
+
+
 def code_vocab(spark, sf_dir):
     return vocabulary(spark, sf_dir, MEDIUM_VOCAB, "code").vocab_table(spark)
 
@@ -592,6 +601,7 @@ QUERIES = {
     "train_bpe": small_vocab,
     "train_bpe_merges": small_merges,
     "train_bpe_400": medium_merges,
+    "train_bpe_benchmark": benchmark_merges,
     "train_bpe_code": code_vocab,
     "build_tokenizer": built_tokenizer,
     "vocab_lookup": looked_up,
