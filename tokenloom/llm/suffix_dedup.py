@@ -33,7 +33,7 @@ from tokenloom.llm.batches import (
     with_answers,
 )
 from tokenloom.llm.common import batch_of
-from tokenloom.session import ship_package, stage_table
+from tokenloom.session import ship_package
 
 #: Bytes of a hashed substring; a span of 50 has 31 of them.
 GRAM = 20
@@ -248,8 +248,30 @@ def _triples(*columns: np.ndarray) -> bytes:
     return np.stack([np.asarray(c, np.int64) for c in columns], 1).astype("<i8").tobytes()
 
 
+def _copies(pieces: Iterator[bytes], owners: list[int]) -> list[bool]:
+    """For pieces in the order of their documents: whether an earlier document has the same piece."""
+    first: dict[bytes, int] = {}
+    return [first.setdefault(p, owner) < owner for p, owner in zip(pieces, owners, strict=True)]
+
+
+def _message(owner: np.ndarray, doc: np.ndarray, start: np.ndarray, covered: np.ndarray, text: bytes) -> bytes:
+    """Fragments column by column, which compresses better than row by row."""
+    columns = (owner.astype("<i8"), doc.astype("<i4"), start.astype("<i4"), covered.astype("<i4"))
+    return packed(b"".join([np.int64(len(owner)).tobytes(), *(c.tobytes() for c in columns), text]))
+
+
+def _read_message(message: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = unpacked(message)
+    n, at, columns = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
+    for kind in ("<i8", "<i4", "<i4", "<i4"):
+        size = n * np.dtype(kind).itemsize
+        columns.append(np.frombuffer(raw[at : at + size], kind).astype(np.int64))
+        at += size
+    return columns, raw[at:]
+
+
 def _send_fragments(span: int, key_buckets: int, n_buckets: int):
-    """Fragments of shared keys to their buckets; to bucket -1 the repeats already known."""
+    """Fragments of shared keys to their buckets; to a bucket of the batch's own the repeats known already."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,26 +280,21 @@ def _send_fragments(span: int, key_buckets: int, n_buckets: int):
                 doc, start, covered, key = fragments(raw, lengths, span)
                 chosen = np.flatnonzero(np.isin(key, _shared_keys(key, row["answers"], key_buckets)))
                 chosen = chosen[np.argsort(ids[doc[chosen]], kind="stable")]
-                whole, carriers, known, sent = raw.tobytes(), {}, [], []
-                for i in chosen.tolist():
-                    piece = whole[start[i] : start[i] + covered[i] + span - 1]
-                    owner = int(ids[doc[i]])
-                    if carriers.setdefault(piece, owner) < owner:
-                        known.append(i)
-                    else:
-                        sent.append(i)
+                whole, end = raw.tobytes(), start + covered + span - 1
+                pieces = (whole[start[i] : end[i]] for i in chosen.tolist())
+                known = np.array(_copies(pieces, ids[doc[chosen]].tolist()), bool)
+                gone, sent = chosen[known], chosen[~known]
                 first = np.cumsum(lengths) - lengths
-                rows = [(-1, _triples(doc[known], start[known] - first[doc[known]], covered[known]))]
-                sent = np.array(sent, np.int64)
+                rows = [(-1 - row["batch"], _triples(doc[gone], start[gone] - first[doc[gone]], covered[gone]))]
                 bucket = (key[sent] % np.uint64(n_buckets)).astype(np.int64)
                 by_bucket = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))
                 for a, b in zip(edges, edges[1:], strict=False):
                     some = sent[by_bucket[a:b]]
-                    head = np.stack([ids[doc[some]], doc[some], start[some] - first[doc[some]], covered[some]], 1)
-                    text = b"".join(whole[start[i] : start[i] + covered[i] + span - 1] for i in some.tolist())
-                    message = np.int64(len(some)).tobytes() + head.astype("<i8").tobytes() + text
-                    rows.append((int(bucket[by_bucket[a]]), packed(message)))
+                    text = b"".join(whole[start[i] : end[i]] for i in some.tolist())
+                    inside = start[some] - first[doc[some]]
+                    message = _message(ids[doc[some]], doc[some], inside, covered[some], text)
+                    rows.append((int(bucket[by_bucket[a]]), message))
                 yield batch_of(
                     {"batch": [row["batch"]] * len(rows), "bucket": [r[0] for r in rows], "message": [r[1] for r in rows]},
                     batch=pa.int64(), bucket=pa.int64(), message=pa.binary(),
@@ -288,55 +305,56 @@ def _send_fragments(span: int, key_buckets: int, n_buckets: int):
 
 def _answer_fragments(span: int):
     def answer(table: pa.Table) -> pa.Table:
-        heads, texts, sizes = [], [], []
-        for message in table["message"].to_pylist():
-            raw = unpacked(message)
-            n = int(np.frombuffer(raw[:8], np.int64)[0])
-            heads.append(np.frombuffer(raw[8 : 8 + 32 * n], "<i8").reshape(-1, 4))
-            texts.append(raw[8 + 32 * n :])
-            sizes.append(n)
-        head, raw = np.concatenate(heads), np.frombuffer(b"".join(texts), np.uint8)
-        covered = head[:, 3]
-        first = np.cumsum(covered + span - 1) - (covered + span - 1)
-        fragment = np.repeat(np.arange(len(head)), covered)
-        inside = np.arange(len(fragment)) - np.repeat(np.cumsum(covered) - covered, covered)
-        later = later_starts(raw, first[fragment] + inside, head[fragment, 0], span)
+        if table["bucket"][0].as_py() < 0:
+            return table.rename_columns(["batch", "bucket", "answer"])
+        heads, texts = zip(*map(_read_message, table["message"].to_pylist()), strict=True)
+        owner, doc, start, covered = (np.concatenate(c) for c in zip(*heads, strict=True))
+        sender = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads])
+        text = b"".join(texts)
+        size = covered + span - 1
+        first = np.cumsum(size) - size
+        # Copies of a whole fragment are known without sorting; one of each goes on.
+        order = np.argsort(owner, kind="stable")
+        pieces = (text[first[i] : first[i] + size[i]] for i in order.tolist())
+        copy = np.zeros(len(owner), bool)
+        copy[order] = _copies(pieces, owner[order].tolist())
+        kept = np.flatnonzero(~copy)
+        raw = np.frombuffer(b"".join(text[first[i] : first[i] + size[i]] for i in kept.tolist()), np.uint8)
+        at = np.cumsum(size[kept]) - size[kept]
+        fragment = np.repeat(np.arange(len(kept)), covered[kept])
+        inside = np.arange(len(fragment)) - np.repeat(np.cumsum(covered[kept]) - covered[kept], covered[kept])
+        later = np.flatnonzero(later_starts(raw, at[fragment] + inside, owner[kept][fragment], span))
         # Runs of repeated starts inside one fragment.
-        at = np.flatnonzero(later)
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) > 1) | (np.diff(fragment[at]) > 0)
+        new = np.ones(len(later), bool)
+        new[1:] = (np.diff(later) > 1) | (np.diff(fragment[later]) > 0)
         run = np.flatnonzero(new)
-        length = np.diff(np.append(run, len(at)))
-        begin = at[run]
-        found = np.stack([head[fragment[begin], 1], head[fragment[begin], 2] + inside[begin], length], 1)
-        sender = np.repeat(np.arange(len(sizes)), sizes)[fragment[begin]]
-        answers = [found[sender == k].astype("<i8").tobytes() for k in range(len(sizes))]
-        return pa.table(
-            {"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())}
-        )
+        begin = later[run]
+        own = kept[fragment[begin]]
+        gone = np.flatnonzero(copy)
+        whose = np.concatenate([own, gone])
+        begins = np.concatenate([start[own] + inside[begin], start[gone]])
+        lengths = np.concatenate([np.diff(np.append(run, len(later))), covered[gone]])
+        found = np.stack([doc[whose], begins, lengths], 1).astype("<i8")
+        by_sender = np.argsort(sender[whose], kind="stable")
+        parts = np.split(found[by_sender], np.cumsum(np.bincount(sender[whose], minlength=len(heads)))[:-1])
+        answers = pa.array([p.tobytes() for p in parts], pa.binary())
+        return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": answers})
 
     return answer
 
 
 def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(batches, answers): the staged batches, and for each the (document, start, starts) found."""
+    """(batches, answers): the staged batches, and for each the (document, start, starts) found.
+
+    The known repeats of a batch pass through a bucket of their own, so nothing is computed twice.
+    """
     ship_package(docs.sparkSession)
     batches = batch_texts(docs)
     total = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_buckets = max(1, total // BUCKET_BYTES)
     keys = ask(batches, _send_keys(span, n_buckets), _answer_keys)
     with_keys = with_answers(batches, keys)
-    sent = with_keys.mapInArrow(
-        _send_fragments(span, n_buckets, n_buckets), "batch long, bucket long, message binary"
-    )
-    sent = stage_table(sent, "fragments")
-    known = sent.where("bucket < 0").select("batch", "bucket", F.col("message").alias("answer"))
-    found = (
-        sent.where("bucket >= 0")
-        .groupBy("bucket")
-        .applyInArrow(_answer_fragments(span), "batch long, bucket long, answer binary")
-    )
-    return batches, known.unionByName(found)
+    return batches, ask(with_keys, _send_fragments(span, n_buckets, n_buckets), _answer_fragments(span))
 
 
 def drop_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
