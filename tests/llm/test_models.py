@@ -141,8 +141,9 @@ def test_words_of_a_class_share_its_probability(docs):
     lexicon = hmm.read_lexicon(hmm.count_words(docs))
     table = hmm.Symbols(lexicon)
     words = {w for r in helpers.rows() for w in hmm.tokens_of(r[1])}
-    slots = [table[w] for w in words]
-    symbol, _, _, _, inner = table.table()
+    table.add(words)
+    slots = [table.slots[w] for w in words]
+    symbol, _, _, _, inner = table.columns
     mass = collections.Counter()
     for slot in slots:
         if symbol[slot] < hmm.CLASSES:

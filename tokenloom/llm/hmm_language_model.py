@@ -14,6 +14,7 @@ tokens) meet their documents in a join.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,41 +115,40 @@ def read_lexicon(counts: DataFrame) -> Lexicon:
     )
 
 
-class Symbols(dict):
-    """word -> slot; the slots' symbol, log10(count + 1), hash, and whether the word is rare."""
+class Symbols:
+    """Slots of the words seen, and per slot: symbol, log10(count + 1), hash, rareness, inner log.
+
+    The inner log is log10 of a word's probability within its class, as far as the head tells.
+    """
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.reset()
 
     def reset(self):
-        self.clear()
-        self.columns: list[tuple[int, float, int, bool, float]] = []
-        self.arrays: tuple[np.ndarray, ...] = ()
-
-    def __missing__(self, word: bytes) -> int:
-        lex, h = self.lexicon, word_hash(word)
-        at = int(np.searchsorted(lex.hashes, h))
-        found = at < len(lex.hashes) and lex.hashes[at] == h
-        symbol = int(lex.symbols[at]) if found else -1
-        inner = 0.0
-        if symbol < 0:
-            symbol = word_class(word)
-            inner = -float(lex.class_log[symbol])
-        log_count = float(np.log10(lex.counts[at] + 1)) if found else 0.0
-        if found and inner:
-            inner += log_count
-        slot = self[word] = len(self.columns)
-        self.columns.append((symbol, log_count, h, not found, inner))
-        return slot
-
-    def table(self) -> tuple[np.ndarray, ...]:
-        if not self.arrays or len(self.arrays[0]) < len(self.columns):
-            symbol, log_count, h, rare, inner = zip(*self.columns, strict=True)
-            self.arrays = (
-                np.array(symbol, np.uint16), np.array(log_count), np.array(h, np.int64), np.array(rare), np.array(inner),
-            )
-        return self.arrays
+        self.slots: dict[bytes, int] = {}
+        self.columns = (np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))
+
+    def add(self, words: set[bytes]) -> None:
+        lex = self.lexicon
+        new = [w for w in words if w not in self.slots]
+        if not new:
+            return
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64).view(np.int64)
+        at = np.searchsorted(lex.hashes, h)
+        found = at < len(lex.hashes)
+        found[found] = lex.hashes[at[found]] == h[found]
+        log_count = np.zeros(len(new))
+        log_count[found] = np.log10(lex.counts[at[found]] + 1)
+        symbol = np.full(len(new), -1)
+        symbol[found] = lex.symbols[at[found]]
+        member = np.flatnonzero(symbol < 0)
+        symbol[member] = [word_class(new[i]) for i in member.tolist()]
+        inner = np.zeros(len(new))
+        inner[member] = log_count[member] - lex.class_log[symbol[member]]
+        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
+        more = (symbol.astype(np.uint16), log_count, h, ~found, inner)
+        self.columns = tuple(np.concatenate(c) for c in zip(self.columns, more, strict=True))
 
 
 def encode_symbols(docs: DataFrame, lexicon: Lexicon, training: Column) -> DataFrame:
@@ -157,17 +157,17 @@ def encode_symbols(docs: DataFrame, lexicon: Lexicon, training: Column) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Symbols(shared.value)
+        table = Symbols(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                if len(slots) > FLUSH_WORDS:
-                    slots.reset()
-                found = []
-                for text in batch["text"].to_pylist():
-                    words = tokens_of(text)
-                    found.append(np.fromiter((slots[w] for w in words), np.int32, len(words)))
-                symbol, log_count, h, rare, inner = slots.table()
+                if len(table.slots) > FLUSH_WORDS:
+                    table.reset()
+                texts = [tokens_of(text) for text in batch["text"].to_pylist()]
+                table.add(set(itertools.chain.from_iterable(texts)))
+                look = table.slots.__getitem__
+                found = [np.fromiter(map(look, words), np.int32, len(words)) for words in texts]
+                symbol, log_count, h, rare, inner = table.columns
                 rows = {k: [] for k in ("symbols", "n_tokens", "n_head", "log_counts", "inner", "rare")}
                 for s in found:
                     out = rare[s]
@@ -219,7 +219,8 @@ def time_major(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
 
 def forward(model: HiddenMarkov, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled forward probabilities and the scale of every token (their logs sum to the likelihood)."""
-    alpha, scale = model.emit[symbols], np.empty(len(symbols))
+    alpha = model.emit[symbols]
+    scale = np.empty(len(symbols), alpha.dtype)
     alpha[: offsets[1]] *= model.start
     for t in range(len(offsets) - 1):
         low, high = offsets[t], offsets[t + 1]
@@ -252,7 +253,7 @@ def expected_counts(model: HiddenMarkov, sequences: list[np.ndarray]) -> tuple[n
     gamma = alpha * beta
     states = gamma.shape[1]
     emit = np.stack([np.bincount(symbols, gamma[:, k], len(model.emit)) for k in range(states)], 1)
-    return gamma[: offsets[1]].sum(0), move, emit, float(np.log10(scale).sum())
+    return gamma[: offsets[1]].sum(0), move, emit, float(np.log10(scale).sum(dtype=float))
 
 
 def grouped(rows: Iterator[tuple[object, np.ndarray]]) -> Iterator[list[tuple[object, np.ndarray]]]:
@@ -297,11 +298,15 @@ def first_model(lexicon: Lexicon, states: int, seed: int) -> HiddenMarkov:
 
 
 def baum_welch(coded: DataFrame, lexicon: Lexicon, states: int, steps: int, seed: int) -> tuple[HiddenMarkov, list[float]]:
-    """The trained model and the training log10 likelihood before each step."""
+    """The trained model and the training log10 likelihood before each step.
+
+    Expected counts are computed in single precision, their sums and the model in double.
+    """
     model, history = first_model(lexicon, states, seed), []
     cells = states * (lexicon.n_symbols + states + 1) + 1
     for _ in range(steps):
-        shared = coded.sparkSession.sparkContext.broadcast(model)
+        single = HiddenMarkov(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+        shared = coded.sparkSession.sparkContext.broadcast(single)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(cells)
