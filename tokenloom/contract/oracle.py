@@ -261,7 +261,6 @@ def oracle() -> dict[str, str]:
         "apply_merge": f"WITH {training(1)} SELECT coded, n FROM s1",
         "train_bpe": vocab,
         "train_bpe_merges": f"WITH {TRAINED} {merge_rows(M)}",
-        "train_bpe_400": f"WITH {training(q.MEDIUM_VOCAB - 103)} {merge_rows(q.MEDIUM_VOCAB - 103)}",
         "train_bpe_benchmark": f"WITH {training(q.BENCHMARK_MERGES, BENCHMARK)} {merge_rows(q.BENCHMARK_MERGES)}",
         "build_tokenizer": f"WITH {small_first} {merge_rows(M)}",
         "vocab_lookup": f"WITH {TRAINED}, {ENDED.removeprefix(PROSE + ', ')}, seen AS (SELECT DISTINCT c AS token FROM "
