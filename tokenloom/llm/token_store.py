@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,11 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 8192
 DICT_BYTES = 32 << 10
 LEVEL = 3
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
+ENCODE_TEXTS = 64
+JOINED_PIECES = 100
+#: A control character: a byte of its own in UTF-8, which no other character contains.
+MARK = "\x01"
 #: A longer piece between spaces is not remembered.
 CACHED_CHARS = 48
 
@@ -49,57 +55,76 @@ class PieceEncoder:
     PROBE = "A b\n\nc d's 12 3! x"
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallelism; the library's own threads would only compete with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        whole = self._ids([self.PROBE])[0]
-        parts = itertools.chain.from_iterable(self._ids(self.PROBE.split()))
-        self.by_piece = list(whole) == list(parts)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        alone = np.frombuffer(self._ids([MARK])[0], "<u4")
+        self.mark = int(alone[0]) if len(alone) == 1 else None
+        self.by_piece = self._ids([self.PROBE]) == [b"".join(self._ids(self.PROBE.split()))]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids; few texts at a time, since the library's results are large."""
+        found = []
+        for at in range(0, len(texts), ENCODE_TEXTS):
+            some = self.tokenizer.encode_batch_fast(texts[at : at + ENCODE_TEXTS], add_special_tokens=False)
+            found += [np.array(e.ids, "<u4").tobytes() for e in some]
+        return found
 
-    def _ids(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """As `_ids`, for many pieces in one text: a mark that no piece holds stands between them."""
+        if self.mark is None or any(MARK in p for p in pieces):
+            return self._ids(pieces)
+        groups = [pieces[at : at + JOINED_PIECES] for at in range(0, len(pieces), JOINED_PIECES)]
+        found = []
+        for group, raw in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups]), strict=True):
+            ids = np.frombuffer(raw, "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) != len(group) - 1:
+                found += self._ids(group)
+                continue
+            found += [raw[4 * low : 4 * high] for low, high in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+        return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
-            return [np.array(ids, np.uint32) for ids in self._ids(texts)]
+            return self._ids(texts)
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set(itertools.chain.from_iterable(cut)) - self.known.keys())
-        own = dict(zip(new, self._ids(new), strict=True))
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-            missing = list(set(itertools.chain.from_iterable(cut)) - own.keys())
-            own |= zip(missing, self._ids(missing), strict=True)
-        known = self.known
-        look = own if not known else _Either(own, known)
-        found = [
-            np.fromiter(itertools.chain.from_iterable([look[w] for w in words]), np.uint32) for words in cut
-        ]
-        known.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_CHARS)
+        distinct = set(itertools.chain.from_iterable(cut))
+        if len(self.known) + len(distinct) > CACHED_PIECES:
+            # What was asked for since the last change survives the next one.
+            self.known, self.older = {}, self.known
+        missing = [w for w in distinct if w not in self.known]
+        self.known.update((w, self.older[w]) for w in missing if w in self.older)
+        new = [w for w in missing if w not in self.known]
+        self.known.update(zip(new, self._piece_ids(new), strict=True))
+        look = self.known.__getitem__
+        found = [b"".join(map(look, words)) for words in cut]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
         return found
 
 
-class _Either(dict):
-    """Looks into the second mapping for what the first lacks."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
+@cache
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker: what it has seen serves the next task."""
+    return PieceEncoder(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, batch_docs: int = 256) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, batch_docs: int = 64) -> DataFrame:
     """(doc_id, ids as little-endian uint32 bytes); the end id closes each document, null is empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_path)
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, batch_docs):
                 batch = whole.slice(at, batch_docs)
                 texts = [t or "" for t in batch["text"].to_pylist()]
-                ids = [np.append(x, np.uint32(end_id)).astype("<u4").tobytes() for x in encoder.encode(texts)]
+                ids = [x + end for x in encoder.encode(texts)]
                 yield batch_of({"doc_id": batch["doc_id"], "ids": ids}, ids=pa.binary())
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind_of(docs, 'doc_id')}, ids binary")
@@ -246,7 +271,8 @@ def read_store(spark: SparkSession, path: str, first: int | None = None, last: i
     if first is not None:
         wanted = wanted.where(F.col("last_doc") >= first)
     if last is not None:
-        wanted = wanted.where(F.col("first_doc") <= last)
+        # A shard that begins with documents without an id may hold others too.
+        wanted = wanted.where(F.col("first_doc").isNull() | (F.col("first_doc") <= last))
     kind = wanted.schema["first_doc"].dataType.simpleString()
     expected = codec.dict_hash
 
