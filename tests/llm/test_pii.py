@@ -52,6 +52,17 @@ def test_no_two_share_an_image():
     assert len({surrogates.replace("ip", h) for h in hosts}) == 400
 
 
+def test_every_address_has_an_image():
+    surrogates = Surrogates(b"k")
+    hosts = [f"{100 + i % 156}.{255 - i % 7}.{100 + i // 156}.{200 + i % 56}" for i in range(3000)]
+    images = [surrogates.replace("ip", h) for h in hosts]
+    assert len(set(images)) == len(set(hosts)) and all(octets(h) for h in images)
+    assert all([len(p) for p in a.split(".")] == [len(p) for p in b.split(".")] for a, b in zip(hosts, images, strict=True))
+    # All addresses of one shape: the image is that shape again, each once.
+    shape = [f"{a}.{b}.7.{c}" for a in range(10) for b in range(10, 100) for c in range(10)]
+    assert len({surrogates.replace("ip", h) for h in shape}) == len(shape)
+
+
 def test_names_stay_people():
     text = "Dr. Anna Weber met Herr Schmidt. Anna paid; Mrs Weber and Schmidt left. Иван Волков saw Мария Орлова. Paul Meyer"
     new, kinds = anonymise(text, Surrogates(b"k"))

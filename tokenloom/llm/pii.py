@@ -5,8 +5,9 @@ stay digits, separators stay), its script and letter case, and, for names, the g
 name. The same entity gets the same replacement everywhere, without a table that would have to be
 shared:
 - formats (phones, cards, addresses, keys) go through a keyed permutation of all strings of their
-  format, so different entities never get one replacement; where a format has rules (card check
-  digit, private ranges), the permutation walks on until they hold;
+  format, so different entities never get one replacement; the octets of an address are permuted
+  among those of their width, and where a format has a check digit, the permutation walks on until
+  it holds;
 - names come from bounded lists, so two names in one document may meet; then the later one in the
   document's order moves on to a free entry. Parts of a name stand for the whole: "Anna Weber",
   "Anna" and "Weber" stay one person.
@@ -62,8 +63,8 @@ class Permutation:
         data = label + bytes([round_no]) + value.to_bytes((value.bit_length() + 8) // 8, "big")
         return int.from_bytes(hmac.digest(self.key, data, sha256), "big") % below
 
-    def apply(self, kind: str, places: list[tuple[str, str]], times: int = 1) -> list[str]:
-        """`places`: (character, its alphabet). Returns the characters that take their place."""
+    def apply(self, kind: str, places: list[tuple[str, str | list[str]]], times: int = 1) -> list[str]:
+        """`places`: (character or part, its alphabet). Returns those that take their place."""
         radix = [len(alphabet) for _, alphabet in places]
         if not radix or max(radix) == 1:
             return [c for c, _ in places]
@@ -114,11 +115,12 @@ def alphabet_of(c: str, hexadecimal: bool = False) -> str | None:
 def permute(permutation: Permutation, kind: str, text: str, movable: Callable[[int, str], str | None], accept=lambda s: True) -> str:
     """`text` with its movable characters permuted; walks on until `accept` holds.
 
-    `accept` must hold for `text` itself: then the walk is a permutation of the accepted strings.
+    `accept` must hold for `text` itself: then the walk is a permutation of the accepted strings and
+    ends, at the latest where it comes back to `text`.
     """
     at = [(i, a) for i, c in enumerate(text) if (a := movable(i, c))]
     current = text
-    for _ in range(10_000):
+    while True:
         moved = permutation.apply(kind, [(current[i], a) for i, a in at])
         chars = list(current)
         for (i, _), c in zip(at, moved, strict=True):
@@ -126,7 +128,6 @@ def permute(permutation: Permutation, kind: str, text: str, movable: Callable[[i
         current = "".join(chars)
         if accept(current):
             return current
-    raise RuntimeError(f"no acceptable replacement of a {kind}")
 
 
 def luhn(text: str) -> bool:
@@ -140,6 +141,10 @@ def octets(text: str) -> bool:
     return all(str(int(p)) == p and int(p) < 256 for p in parts)
 
 
+#: The octets of one, two and three digits.
+OCTETS = {1: [str(i) for i in range(10)], 2: [str(i) for i in range(10, 100)], 3: [str(i) for i in range(100, 256)]}
+
+
 @dataclass(frozen=True)
 class Entity:
     start: int
@@ -226,7 +231,7 @@ class Surrogates:
         return self._plain(kind, text)
 
     def _ip(self, kind: str, text: str) -> str:
-        return permute(self.permutation, kind, text, lambda i, c: DIGITS if c in DIGITS else None, octets)
+        return ".".join(self.permutation.apply(kind, [(part, OCTETS[len(part)]) for part in text.split(".")]))
 
     def _card(self, kind: str, text: str) -> str:
         # The first digit tells the network. Valid numbers stay valid, others stay invalid.
