@@ -62,6 +62,47 @@ def test_repeats_go(monkeypatch, spark, span, batch):
     assert sum(f[2] for f in found) > 1000
 
 
+def phrases(n):
+    """A phrase and rulers between texts of their own; some of it repeated in one document."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij ", k=rng.randint(20, 60)))
+    texts = [f"{word()} all rights reserved worldwide {word()}\n{'-' * rng.randint(30, 90)}{word()}" for _ in range(n)]
+    texts += [texts[3] * 3, "-" * 4000, texts[5] + texts[3], texts[5]]
+    return [(None if i == 40 else i // 2 if i % 50 == 1 else i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot_bytes", [0, 3000])
+def test_hot_minimisers_lose_no_repeat(monkeypatch, spark, hot_bytes):
+    monkeypatch.setattr(batches, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
+    data = phrases(150)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.drop_repeats(docs, 50, hot_bytes).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got]
+    assert collections.Counter(found) == collections.Counter(plain_removal(data, 50))
+
+
+def test_no_bucket_holds_all_uses_of_a_phrase(monkeypatch, spark):
+    monkeypatch.setattr(batches, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
+    ask, largest = suffix_dedup.ask, []
+
+    def measured(asked, send, answer, *more):
+        sent = asked.mapInArrow(send, "batch long, bucket long, message binary").where("bucket >= 0").collect()
+        sizes = collections.Counter()
+        for row in sent:
+            # Key messages are not packed; fragments and digests are.
+            sizes[row.bucket] += len(batches.unpacked(row.message)) if largest else 0
+        largest.append(max(sizes.values()))
+        return ask(asked, send, answer, *more)
+
+    monkeypatch.setattr(suffix_dedup, "ask", measured)
+    docs = spark.createDataFrame(phrases(1500), "doc_id long, text string").repartition(3)
+    suffix_dedup.drop_repeats(docs, 50, **({"hot_bytes": 3000} if hasattr(suffix_dedup, "HOT_BYTES") else {})).count()
+    # A bucket of every use holds 1,500 fragments with 34 to 80 bytes of text each.
+    assert largest[1] < 30_000, largest
+
+
 def test_nothing_to_remove(empty, spark):
     assert suffix_dedup.drop_repeats(empty).count() == 0
     alone = suffix_dedup.drop_repeats(helpers.frame(spark, helpers.rows()[:1])).first()

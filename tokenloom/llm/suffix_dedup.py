@@ -10,7 +10,10 @@ fragment of text, and equal strings meet in one bucket.
    later documents' copies are known to be repeats, so a group of copies never fills a bucket.
 3. A bucket sorts its suffixes with the difference-cover algorithm: sort the triples at two of three
    positions, recurse on their names, merge the other suffixes in, then compare neighbours' prefixes.
-4. The repeats found go back to their documents.
+4. Starts of a hot minimiser (a phrase that many documents surround with their own text) would fill
+   one bucket. They go by the digest of their `span` bytes instead: a batch sends each digest once
+   with its smallest id, so no bucket grows with the number of documents that share a string.
+5. The repeats found go back to their documents.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tokenloom.llm.batches import (
@@ -41,6 +45,13 @@ GRAM = 20
 KEY_BYTES = 5
 #: Text per bucket, as if all of it were shared.
 BUCKET_BYTES = 2 << 20
+#: Fragments of a minimiser above so many bytes are hot.
+HOT_BYTES = BUCKET_BYTES // 4
+#: A batch names the bytes of a minimiser's fragments only above this; below, they count as this many.
+NAMED_BYTES = 256
+DIGEST_BYTES = 16
+#: Buckets of digests begin here; the places of a batch's digests pass below the negative.
+HOT_BUCKET = 1 << 62
 #: Null ids come before all others.
 NO_ID = np.iinfo(np.int64).min
 
@@ -186,16 +197,29 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.array(row["lengths"], np.int64), ids
 
 
-def _shared_keys(keys: np.ndarray, answers, n_buckets: int) -> np.ndarray:
-    """The keys whose bucket answered that another document has them."""
+def _shared_keys(keys: np.ndarray, answers, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys whose bucket answered that another document has them, and the hot ones of these."""
     distinct = np.unique(keys)
     order, _, slices = bucket_slices(distinct, n_buckets)
-    shared = np.zeros(len(distinct), bool)
+    shared, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     by_bucket = {a["bucket"]: a["answer"] for a in answers or ()}
     for bucket, low, high in slices:
-        bits = np.frombuffer(by_bucket[bucket], np.uint8)
-        shared[order[low:high]] = np.unpackbits(bits, count=high - low).astype(bool)
-    return distinct[shared]
+        answer, n = by_bucket[bucket], high - low
+        bits = np.frombuffer(answer, np.uint8, (n + 7) // 8)
+        shared[order[low:high]] = np.unpackbits(bits, count=n).astype(bool)
+        hot[order[low:high][np.frombuffer(answer, "<i4", offset=(n + 7) // 8)]] = True
+    return distinct[shared], distinct[hot]
+
+
+def _distinct_bytes(raw: np.ndarray, start: np.ndarray, covered: np.ndarray, place: np.ndarray, span: int) -> np.ndarray:
+    """About the bytes of different fragments for each place: equal ends and lengths count once."""
+    windows = _gram_hashes(raw, span)
+    ends = mixed(windows[start]) + windows[start + covered - 1] + covered.astype(np.uint64)
+    order = np.lexsort((ends, place))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(place[order]) != 0) | (ends[order][1:] != ends[order][:-1])
+    one = order[new]
+    return np.bincount(place[one], covered[one] + span - 1).astype(np.int64)
 
 
 def _send_keys(span: int, n_buckets: int):
@@ -203,17 +227,21 @@ def _send_keys(span: int, n_buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 raw, lengths, ids = _open(row)
-                doc, _, _, key = fragments(raw, lengths, span)
+                doc, start, covered, key = fragments(raw, lengths, span)
                 distinct, place = np.unique(key, return_inverse=True)
+                size = _distinct_bytes(raw, start, covered, place, span) if len(key) else place
                 owner = ids[doc]
                 low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), NO_ID)
                 np.minimum.at(low, place, owner)
                 np.maximum.at(high, place, owner)
                 several = low < high
                 order, rest, slices = bucket_slices(distinct, n_buckets)
-                several = several[order]
+                several, size = several[order], size[order]
                 messages = [
-                    np.int64(b - a).tobytes() + low_bytes(rest[a:b], KEY_BYTES) + np.packbits(several[a:b]).tobytes()
+                    np.int64(b - a).tobytes()
+                    + low_bytes(rest[a:b], KEY_BYTES)
+                    + np.packbits(several[a:b]).tobytes()
+                    + _named_sizes(size[a:b])
                     for _, a, b in slices
                 ]
                 # A key seen once in two batches may be of one document id; that costs time, not results.
@@ -225,23 +253,39 @@ def _send_keys(span: int, n_buckets: int):
     return send
 
 
-def _answer_keys(table: pa.Table) -> pa.Table:
-    values, several, sizes = [], [], []
-    for message in table["message"].to_pylist():
-        n = int(np.frombuffer(message[:8], np.int64)[0])
-        values.append(from_low_bytes(message[8 : 8 + KEY_BYTES * n], KEY_BYTES))
-        several.append(np.unpackbits(np.frombuffer(message[8 + KEY_BYTES * n :], np.uint8), count=n))
-        sizes.append(n)
-    _, place = np.unique(np.concatenate(values), return_inverse=True)
-    weight = np.bincount(place, 1 + np.concatenate(several).astype(float))
-    shared = np.split(weight[place] >= 2, np.cumsum(sizes)[:-1])
-    return pa.table(
-        {
-            "batch": table["batch"],
-            "bucket": table["bucket"],
-            "answer": pa.array([np.packbits(x).tobytes() for x in shared], pa.binary()),
-        }
-    )
+def _named_sizes(size: np.ndarray) -> bytes:
+    """(place, bytes) of the places with more than `NAMED_BYTES`."""
+    at = np.flatnonzero(size > NAMED_BYTES)
+    return np.stack([at, size[at]], 1).astype("<i8").tobytes()
+
+
+def _answer_keys(hot_bytes: int):
+    """Bits of the shared keys, then the places of the hot ones."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        values, several, bytes_of, sizes = [], [], [], []
+        for message in table["message"].to_pylist():
+            n = int(np.frombuffer(message[:8], np.int64)[0])
+            flags = 8 + KEY_BYTES * n
+            named = flags + (n + 7) // 8
+            values.append(from_low_bytes(message[8:flags], KEY_BYTES))
+            several.append(np.unpackbits(np.frombuffer(message[flags:named], np.uint8), count=n))
+            size, found = np.full(n, NAMED_BYTES), np.frombuffer(message[named:], "<i8").reshape(-1, 2)
+            size[found[:, 0]] = found[:, 1]
+            bytes_of.append(size)
+            sizes.append(n)
+        _, place = np.unique(np.concatenate(values), return_inverse=True)
+        weight = np.bincount(place, 1 + np.concatenate(several).astype(float))
+        total = np.bincount(place, np.concatenate(bytes_of).astype(float))
+        edges = np.cumsum(sizes)[:-1]
+        shared, hot = weight[place] >= 2, (weight[place] >= 2) & (total[place] > hot_bytes)
+        answers = [
+            np.packbits(x).tobytes() + np.flatnonzero(y).astype("<i4").tobytes()
+            for x, y in zip(np.split(shared, edges), np.split(hot, edges), strict=True)
+        ]
+        return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
+
+    return answer
 
 
 def _triples(*columns: np.ndarray) -> bytes:
@@ -254,6 +298,66 @@ def _copies(pieces: Iterator[bytes], owners: list[int]) -> list[bool]:
     return [first.setdefault(p, owner) < owner for p, owner in zip(pieces, owners, strict=True)]
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, starts) of the runs of single starts."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(start) != 1)
+    first = np.flatnonzero(new)
+    return doc[first], start[first], np.diff(np.append(first, len(doc)))
+
+
+def _single_starts(start: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, start) of each start that the fragments cover."""
+    fragment = np.repeat(np.arange(len(start)), covered)
+    inside = np.arange(len(fragment)) - np.repeat(np.cumsum(covered) - covered, covered)
+    return fragment, start[fragment] + inside
+
+
+def _digests(whole: bytes, at: np.ndarray, span: int) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each start's string, digests of the strings by number)."""
+    seen: dict[bytes, int] = {}
+    found = (xxhash.xxh3_128_digest(whole[i : i + span]) for i in at.tolist())
+    place = np.fromiter((seen.setdefault(d, len(seen)) for d in found), np.int64, len(at))
+    return place, list(seen)
+
+
+def _digest_messages(digests: list[bytes], owner: np.ndarray, n_buckets: int) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray]:
+    """(messages, bucket and place in its message of each digest)."""
+    if not digests:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+    bucket = (wide[:, 0] % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    place, messages = np.zeros(len(order), np.int64), []
+    for a, b in zip(edges, edges[1:], strict=False):
+        some = order[a:b]
+        place[some] = np.arange(b - a)
+        text = wide[some].tobytes() + owner[some].astype("<i8").tobytes()
+        messages.append((HOT_BUCKET + int(bucket[some[0]]), packed(text)))
+    return messages, bucket, place
+
+
+def _answer_digests(table: pa.Table) -> pa.Table:
+    """For each digest of each batch: whether another batch has it with a smaller id."""
+    digests, owners = [], []
+    for message in table["message"].to_pylist():
+        raw = unpacked(message)
+        n = len(raw) // (DIGEST_BYTES + 8)
+        digests.append(np.frombuffer(raw[: DIGEST_BYTES * n], "<u8").reshape(-1, 2))
+        owners.append(np.frombuffer(raw[DIGEST_BYTES * n :], "<i8"))
+    sizes, digest, owner = [len(o) for o in owners], np.concatenate(digests), np.concatenate(owners)
+    order = np.lexsort((owner, digest[:, 1], digest[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(digest[order].view(np.int64), axis=0) != 0).any(1)
+    later = np.zeros(len(order), bool)
+    later[order] = owner[order] > owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    answers = [np.packbits(x).tobytes() for x in np.split(later, np.cumsum(sizes)[:-1])]
+    return pa.table({"batch": table["batch"], "bucket": table["bucket"], "answer": pa.array(answers, pa.binary())})
+
+
 def _message(owner: np.ndarray, doc: np.ndarray, start: np.ndarray, covered: np.ndarray, text: bytes) -> bytes:
     """Fragments column by column, which compresses better than row by row."""
     columns = (owner.astype("<i8"), doc.astype("<i4"), start.astype("<i4"), covered.astype("<i4"))
@@ -271,21 +375,40 @@ def _read_message(message: bytes) -> tuple[list[np.ndarray], bytes]:
 
 
 def _send_fragments(span: int, key_buckets: int, n_buckets: int):
-    """Fragments of shared keys to their buckets; to a bucket of the batch's own the repeats known already."""
+    """Fragments of shared keys to their buckets, digests of hot ones to theirs.
+
+    To buckets of the batch's own: the repeats known already, and the places of the digests sent.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 raw, lengths, ids = _open(row)
                 doc, start, covered, key = fragments(raw, lengths, span)
-                chosen = np.flatnonzero(np.isin(key, _shared_keys(key, row["answers"], key_buckets)))
+                shared, hot = _shared_keys(key, row["answers"], key_buckets)
+                chosen = np.flatnonzero(np.isin(key, shared))
                 chosen = chosen[np.argsort(ids[doc[chosen]], kind="stable")]
+                is_hot = np.isin(key[chosen], hot)
+                crowded, chosen = chosen[is_hot], chosen[~is_hot]
                 whole, end = raw.tobytes(), start + covered + span - 1
                 pieces = (whole[start[i] : end[i]] for i in chosen.tolist())
                 known = np.array(_copies(pieces, ids[doc[chosen]].tolist()), bool)
                 gone, sent = chosen[known], chosen[~known]
                 first = np.cumsum(lengths) - lengths
-                rows = [(-1 - row["batch"], _triples(doc[gone], start[gone] - first[doc[gone]], covered[gone]))]
+                fragment, at = _single_starts(start[crowded], covered[crowded])
+                number, digests = _digests(whole, at, span)
+                at_doc = doc[crowded][fragment]
+                # Starts are in the order of their ids: the first of a string has its smallest.
+                least = ids[at_doc][np.unique(number, return_index=True)[1]]
+                inside, later = at - first[at_doc], ids[at_doc] > least[number]
+                known_runs = _triples(*_runs(at_doc[later], inside[later]))
+                repeats = _triples(doc[gone], start[gone] - first[doc[gone]], covered[gone]) + known_runs
+                rows, to, place = _digest_messages(digests, least, n_buckets)
+                if len(digests):
+                    open_ = ~later
+                    where = (at_doc[open_], inside[open_], to[number[open_]], place[number[open_]])
+                    rows.append((-HOT_BUCKET - row["batch"], packed(_triples(*where))))
+                rows.append((-1 - row["batch"], repeats))
                 bucket = (key[sent] % np.uint64(n_buckets)).astype(np.int64)
                 by_bucket = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))
@@ -307,6 +430,8 @@ def _answer_fragments(span: int):
     def answer(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table.rename_columns(["batch", "bucket", "answer"])
+        if table["bucket"][0].as_py() >= HOT_BUCKET:
+            return _answer_digests(table)
         heads, texts = zip(*map(_read_message, table["message"].to_pylist()), strict=True)
         owner, doc, start, covered = (np.concatenate(c) for c in zip(*heads, strict=True))
         sender = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads])
@@ -343,8 +468,27 @@ def _answer_fragments(span: int):
     return answer
 
 
-def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(batches, answers): the staged batches, and for each the (document, start, starts) found.
+def _found(answers) -> np.ndarray:
+    """(document, start, starts) of the repeats that a batch was told of."""
+    runs, later, places = [], {}, []
+    for a in answers or ():
+        if a["bucket"] >= HOT_BUCKET:
+            later[a["bucket"] - HOT_BUCKET] = np.unpackbits(np.frombuffer(a["answer"], np.uint8))
+        elif a["bucket"] <= -HOT_BUCKET:
+            places.append(np.frombuffer(unpacked(a["answer"]), "<i8").reshape(-1, 4))
+        else:
+            runs.append(np.frombuffer(a["answer"], "<i8").reshape(-1, 3))
+    for rows in places:
+        rows = rows[np.argsort(rows[:, 2], kind="stable")]
+        edges = np.flatnonzero(np.diff(rows[:, 2], prepend=-1, append=-1))
+        bits = [later[int(rows[a, 2])][rows[a:b, 3]] for a, b in zip(edges, edges[1:], strict=False)]
+        own = rows[np.concatenate(bits) == 1] if bits else rows
+        runs.append(np.stack(_runs(own[:, 0], own[:, 1]), 1))
+    return np.concatenate([np.zeros((0, 3), np.int64), *runs])
+
+
+def repeated_spans(docs: DataFrame, span: int = 50, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(batches, answers): the staged batches, and for each what `_found` reads.
 
     The known repeats of a batch pass through a bucket of their own, so nothing is computed twice.
     """
@@ -352,26 +496,26 @@ def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFram
     batches = batch_texts(docs)
     total = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_buckets = max(1, total // BUCKET_BYTES)
-    keys = ask(batches, _send_keys(span, n_buckets), _answer_keys)
+    keys = ask(batches, _send_keys(span, n_buckets), _answer_keys(hot_bytes))
     with_keys = with_answers(batches, keys)
     return batches, ask(with_keys, _send_fragments(span, n_buckets, n_buckets), _answer_fragments(span))
 
 
-def drop_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
+def drop_repeats(docs: DataFrame, span: int = 50, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     A byte goes if a `span`-byte string that covers it also starts in a document with a smaller id.
     Null and empty texts have no bytes. Rows with one id are not earlier than each other; null ids
-    come first. `kept` may cut a character, so it is binary.
+    come first. `kept` may cut a character, so it is binary. `hot_bytes` moves work only.
     """
-    batches, answers = repeated_spans(docs, span)
+    batches, answers = repeated_spans(docs, span, hot_bytes)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             own = batch.schema.field("doc_ids").type.value_type
             for row in batch.to_pylist():
                 raw, lengths, _ = _open(row)
-                found = np.frombuffer(b"".join(a["answer"] for a in row["answers"] or ()), "<i8").reshape(-1, 3)
+                found = _found(row["answers"])
                 first = np.cumsum(lengths) - lengths
                 edges = np.zeros(len(raw) + 1, np.int32)
                 begin = first[found[:, 0]] + found[:, 1]
