@@ -46,6 +46,34 @@ def test_sources_meet_their_targets(spark):
     assert mixing.expand_copies(mixed).count() == sum(r.copies for r in got)
 
 
+def test_any_number_of_sources(spark):
+    rng = random.Random(9)
+    names = [None, *(f"site{i}.org" for i in range(5000))]
+    data = [(i, rng.choice([0, 1, 5, 40, 300]), names[i % len(names)], rng.getrandbits(48)) for i in range(11_000)]
+    docs = spark.createDataFrame(data, "doc_id long, size long, source string, h long")
+    got = mixing.mix_groups(docs).collect()
+    sizes = collections.Counter()
+    for _, size, source, _ in data:
+        sizes[source] += size
+    order = [*sorted(names[1:]), None]
+    shares = mixing.share_out([sizes[n] for n in order], mixing.cycled_weights(len(order)))
+    want = dict(zip(order, shares, strict=True))
+    assert len(got) == len(data) and all(r.group_size == sizes[r.source] for r in got)
+    assert all(math.isclose(r.target, want[r.source], abs_tol=1e-6) for r in got)
+    assert all(r.rate == pytest.approx(r.target / r.group_size if r.group_size else 0) and 0 <= r.copies <= 3 for r in got)
+
+
+def test_one_table_or_the_dual_problem(spark):
+    docs, _ = sample(spark)
+    ready = sized(docs, "doc_id", "source")
+    dual, family, sizes = mixing.mix_sources(ready, "source")
+    table = mixing.mix_groups(ready, "source").collect()
+    assert {r.doc_id: r.copies for r in dual.collect()} == {r.doc_id: r.copies for r in table}
+    found = {("~" if r.source is None else "=" + r.source): (r.group_size, round(r.target, 6)) for r in table}
+    assert found == {k: (n, round(t, 6)) for k, n, t in zip(family.keys, sizes, family.targets, strict=True)}
+    assert mixing.mix_groups(ready.limit(0), "source").count() == 0
+
+
 def test_newton_solves_two_families(spark):
     cells = [("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50), ("c", "y", 70)]
     table = spark.createDataFrame(cells, "s string, l string, tokens long")

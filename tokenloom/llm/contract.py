@@ -15,7 +15,7 @@ from tokenloom.llm.decontamination import contamination
 from tokenloom.llm.hmm_language_model import lm_scores
 from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
-from tokenloom.llm.mixing import group_key, id_hash, mix_sources
+from tokenloom.llm.mixing import id_hash, mix_groups
 from tokenloom.llm.pii import replace_pii
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.shingle_join import shingle_components
@@ -41,19 +41,11 @@ def sized(docs: DataFrame, *columns: str | F.Column) -> DataFrame:
 
 def op1_mixing(spark, sf_dir):
     docs = sized(table(spark, sf_dir, "documents"), "doc_id", "source")
-    mixed, family, sizes = mix_sources(docs, "source", cap=3.0)
-    found = F.array(
-        *(
-            F.struct(F.lit(k).alias("key"), F.lit(n).cast("long").alias("size"), F.lit(t).alias("target"))
-            for k, n, t in zip(family.keys, sizes, family.targets, strict=True)
-        )
-    )
-    own = F.get(F.filter(found, lambda g: g["key"] == group_key("source")), F.lit(0))
-    return mixed.withColumn("own", own).select(
+    return mix_groups(docs, "source", cap=3.0).select(
         "doc_id",
         "size",
-        F.col("own.size").alias("source_size"),
-        F.round("own.target", 6).alias("target"),
+        F.col("group_size").alias("source_size"),
+        F.round("target", 6).alias("target"),
         (F.col("size") * F.col("copies")).alias("taken"),
     )
 
