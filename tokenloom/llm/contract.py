@@ -1,6 +1,6 @@
-"""The registered queries of the ten operators, with their SQL twins.
+"""The registered queries of the operators, with their SQL twins.
 
-Each query runs its operator over the whole `documents` table with the operator's own parameters
+Each query runs its operator over the whole `documents` or `embeddings` table with the operator's own parameters
 and derives the digest columns from its outputs.
 """
 
@@ -20,6 +20,7 @@ from tokenloom.llm.pii import replace_pii
 from tokenloom.llm.quality_rules import quality_rules
 from tokenloom.llm.shingle_join import shingle_components
 from tokenloom.llm.suffix_dedup import drop_repeats
+from tokenloom.llm.token_alignment import align_documents, with_link_counts
 from tokenloom.llm.token_store import read_store, write_store
 from tokenloom.session import scratch_path, ship_package, stage_table
 
@@ -127,6 +128,14 @@ def op8_token_output(spark, sf_dir):
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    aligned = align_documents(table(spark, sf_dir, "documents"), *paths)
+    hashed = F.when(F.col("groups") == "", "").otherwise(sha256(F.col("groups")))
+    staged = stage_table(aligned.withColumn("groups_sha256", hashed).drop("groups"), "aligned")
+    return with_link_counts(staged, *paths)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -138,6 +147,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
