@@ -10,8 +10,10 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tokenloom.llm.adaptive_scan import nearest_neighbours
 from tokenloom.llm.common import WORD, bucket_of
 from tokenloom.llm.decontamination import contamination
+from tokenloom.llm.hard_negatives import hard_negatives
 from tokenloom.llm.hmm_language_model import lm_scores
 from tokenloom.llm.language_id import identify_languages, train_languages
 from tokenloom.llm.line_dedup import kept_lines, line_keep_bitmaps
@@ -22,6 +24,7 @@ from tokenloom.llm.shingle_join import shingle_components
 from tokenloom.llm.suffix_dedup import drop_repeats
 from tokenloom.llm.token_alignment import align_documents, with_link_counts
 from tokenloom.llm.token_store import read_store, write_store
+from tokenloom.llm.vector_grid import finite
 from tokenloom.session import scratch_path, ship_package, stage_table
 
 
@@ -136,6 +139,22 @@ def op11_token_alignment(spark, sf_dir):
     return with_link_counts(staged, *paths)
 
 
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(finite("embedding"))
+    label = F.col("label").cast("long")
+    vectors = rows.select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"),
+    )
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_adaptive_scan(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest_neighbours(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -148,6 +167,8 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
     "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_adaptive_scan": op13_adaptive_scan,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
@@ -251,4 +272,33 @@ ORACLE = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN matched USING (doc_id)
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pair AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+                   CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ),
+        positive AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score,
+                   row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS positive_rank
+            FROM pair WHERE alike
+        ),
+        negative AS (
+            SELECT p.*, n.other_id AS negative_id, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS rank
+            FROM positive p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.alike
+             AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+            WHERE positive_rank <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(positive_rank AS INT) AS positive_rank, CAST(rank AS INT) AS rank,
+               negative_id, positive_score, negative_score
+        FROM negative WHERE rank <= 10
+    """,
 }
