@@ -168,20 +168,24 @@ def encode_symbols(docs: DataFrame, lexicon: Lexicon, training: Column) -> DataF
                 look = table.slots.__getitem__
                 found = [np.fromiter(map(look, words), np.int32, len(words)) for words in texts]
                 symbol, log_count, h, rare, inner = table.columns
-                rows = {k: [] for k in ("symbols", "n_tokens", "n_head", "log_counts", "inner", "rare")}
+                rows = {k: [] for k in ("symbols", "n_tokens", "n_head", "log_counts", "inner")}
+                rare_words = []
                 for s in found:
                     out = rare[s]
-                    hs, ns = np.unique(h[s[out]], return_counts=True)
+                    rare_words.append(np.unique(h[s[out]], return_counts=True))
                     rows["symbols"].append(symbol[s].tobytes())
                     rows["n_tokens"].append(len(s))
                     rows["n_head"].append(len(s) - int(out.sum()))
                     rows["log_counts"].append(float(log_count[s].sum()))
                     rows["inner"].append(float(inner[s].sum()))
-                    rows["rare"].append([{"h": a, "n": b} for a, b in zip(hs.tolist(), ns.tolist(), strict=True)])
+                hashes, times = (np.concatenate(c) for c in zip(*rare_words, strict=True))
+                ends = np.cumsum([0, *(len(x) for x, _ in rare_words)]).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(times, pa.int64())], ["h", "n"])
                 yield batch_of(
-                    {"doc_id": batch["doc_id"], "training": batch["training"]} | rows,
-                    symbols=pa.binary(), n_tokens=pa.int64(), n_head=pa.int64(), log_counts=pa.float64(),
-                    inner=pa.float64(), rare=pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])),
+                    {"doc_id": batch["doc_id"], "training": batch["training"]}
+                    | rows
+                    | {"rare": pa.ListArray.from_arrays(pa.array(ends), pairs)},
+                    symbols=pa.binary(), n_tokens=pa.int64(), n_head=pa.int64(), log_counts=pa.float64(), inner=pa.float64(),
                 )
 
     schema = (

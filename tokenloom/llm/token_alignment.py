@@ -18,6 +18,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenloom.llm.common import batch_of, kind_of
 from tokenloom.session import ship_package
 
-#: Pieces of text remembered by a worker, and the longest of them.
-CACHED_PIECES = 120_000
+#: Pieces of text remembered by a worker, twice over at most, and the longest of them.
+CACHED_PIECES = 150_000
 CACHED_CHARS = 48
-#: Pieces and documents handled at once.
-ENCODE_TEXTS = 256
+#: New pieces in one text; texts encoded and documents handled at once.
+JOINED_PIECES = 100
+ENCODE_TEXTS = 64
 BATCH_DOCS = 64
 #: Fixed value: the mark that stands for a space in the pieces of tokenizer B.
 SPACE_MARK = "▁"
@@ -61,17 +63,20 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         alphabet = byte_alphabet()
         special = {i for i, token in self.a.get_added_tokens_decoder().items() if token.special}
-        self.a_bytes = {
-            i: token.encode() if i in special else bytes(alphabet[c] for c in token)
-            for token, i in self.a.get_vocab(with_added_tokens=True).items()
-        }
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = token.encode() if i in special else bytes(alphabet[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_MARK, " ").encode()
             for i, p in enumerate(pieces)
         ]
         self.n_b = len(pieces)
+        self.a_length, self.b_length = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.decimal = list(map(str, range(max(len(self.a_bytes), self.n_b))))
         self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
         # No token of either may reach over a cut; A's pattern is tried on a probe, B's pieces are looked through.
         crossing = any(re.search(rf"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
         probe = " A b\n\nc d's 12 3! x<|endoftext|> é中 it's\t q"
@@ -85,28 +90,58 @@ class Aligner:
         for at in range(0, len(texts), ENCODE_TEXTS):
             some = texts[at : at + ENCODE_TEXTS]
             ours = self.a.encode_batch_fast(some, add_special_tokens=False)
-            theirs = self.b.encode([t[1:] for t in some], num_threads=1)
-            found += [(x.ids, y) for x, y in zip(ours, theirs, strict=True)]
+            # One text at a time: a list would start a pool of threads.
+            found += [(x.ids, self.b.encode(t[1:])) for x, t in zip(ours, some, strict=True)]
         return found
 
-    def _groups(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, str, bytes] | None:
-        """(ids of A, ids of B, groups as text, linked pairs); None if the tokens do not spell the text."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == text.encode():
+    def _groups(self, text: str, a: list[int], b: list[int], parts: list[int]) -> list[tuple[int, int, str, bytes]] | None:
+        """(ids of A, ids of B, groups as text, linked pairs) of each part of a text; None if the tokens do not spell it.
+
+        `parts` are the byte ends of the parts, which both tokenizers must have.
+        """
+        spelled = text.encode()
+        if b"".join([self.a_bytes[i] for i in a]) != spelled or b"".join([self.b_bytes[i] for i in b]) != spelled:
             return None
-        ends_a = dict(zip(itertools.accumulate(map(len, a_bytes)), itertools.count(1)))
-        ends_b = dict(zip(itertools.accumulate(map(len, b_bytes)), itertools.count(1)))
+        ends_a = dict(zip(itertools.accumulate([self.a_length[i] for i in a]), itertools.count(1)))
+        ends_b = dict(zip(itertools.accumulate([self.b_length[i] for i in b]), itertools.count(1)))
+        names_a, names_b = [self.decimal[i] for i in a], [self.decimal[i] for i in b]
         at_a = at_b = 0
-        groups, links = [], []
+        found, groups, links, before = [], [], array("Q"), (0, 0)
+        part = iter(parts)
+        part_end = next(part, None)
         for end in sorted(ends_a.keys() & ends_b.keys()):
             to_a, to_b = ends_a[end], ends_b[end]
-            groups.append(",".join(map(str, a[at_a:to_a])) + "|" + ",".join(map(str, b[at_b:to_b])))
+            groups.append(",".join(names_a[at_a:to_a]) + "|" + ",".join(names_b[at_b:to_b]))
             links.append(a[to_a - 1] * self.n_b + b[to_b - 1])
             at_a, at_b = to_a, to_b
-        return len(a), len(b), ";".join(groups), np.array(links, "<u8").tobytes()
+            if end == part_end:
+                found.append((to_a - before[0], to_b - before[1], ";".join(groups), links.tobytes()))
+                groups, links, before = [], array("Q"), (to_a, to_b)
+                part_end = next(part, None)
+        return found if len(found) == len(parts) else None
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the groups of new pieces into `known`.
+
+        Pieces with a single space before and none behind stand side by side in one text, which is cut
+        between them again.
+        """
+        plain = [p for p in pieces if not (p[1:2].isspace() or p[-1].isspace())]
+        texts = [plain[at : at + JOINED_PIECES] for at in range(0, len(plain), JOINED_PIECES)]
+        alone = [p for p in pieces if p[1:2].isspace() or p[-1].isspace()]
+        for some, joined in zip(texts, map("".join, texts), strict=True):
+            ends = list(itertools.accumulate(len(p.encode()) for p in some))
+            found = self._groups(joined, *self._both([joined])[0], ends)
+            if found is None:
+                alone += some
+            else:
+                self.known.update(zip(some, found, strict=True))
+        for p in alone:
+            self.known[p] = self._whole(p)
 
     def _whole(self, text: str) -> tuple[int, int, str, bytes] | None:
-        return self._groups(text, *self._both([text])[0])
+        found = self._groups(text, *self._both([text])[0], [len(text.encode())])
+        return found and found[0]
 
     def align(self, texts: list[str | None]) -> list[tuple[int, int, str, bytes]]:
         """For each text what `_groups` has; zeros where it has nothing.
@@ -120,11 +155,13 @@ class Aligner:
         cut = [CUT.split(t) if t else [] for t in spaced]
         distinct = set(itertools.chain.from_iterable(cut))
         if len(self.known) + len(distinct) > CACHED_PIECES:
-            self.known = {}
-        known = self.known
-        new = [p for p in distinct if p not in known]
-        for p, (a, b) in zip(new, self._both(new), strict=True):
-            known[p] = self._groups(p, a, b)
+            # What was asked for since the last change survives the next one.
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [p for p in distinct if p not in known]
+        known.update((p, older[p]) for p in missing if p in older)
+        new = [p for p in missing if p not in known]
+        self._learn(new)
         found = []
         for text, pieces in zip(spaced, cut, strict=True):
             parts = [known[p] for p in pieces]
@@ -152,8 +189,8 @@ def most_pairs(byte_path: str, piece_path: str) -> int:
     aligner = aligner_of(byte_path, piece_path)
     n = 0
     for ours, theirs, first in (
-        (list(aligner.a_bytes.values()), aligner.b_bytes, 0),
-        (aligner.b_bytes, list(aligner.a_bytes.values()), 1),
+        (aligner.a_bytes, aligner.b_bytes, 0),
+        (aligner.b_bytes, aligner.a_bytes, 1),
     ):
         times: dict[bytes, int] = {}
         for token in theirs:
