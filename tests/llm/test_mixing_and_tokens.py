@@ -155,10 +155,10 @@ def test_shards_share_one_dictionary(spark, sf_dir, monkeypatch):
         token_store.load_codec(spark, broken)
 
 
-def test_pieces_equal_whole_texts(monkeypatch):
-    monkeypatch.setattr(token_store, "CACHED_PIECES", 40)
+def test_pieces_equal_whole_texts():
     encoder = token_store.PieceEncoder(tokenizer_path())
-    assert encoder.by_piece and encoder.mark is not None
+    encoder.pieces.most = encoder.runs.most = 8000
+    assert encoder.by_piece and encoder.by_run and encoder.mark is not None
     rng = random.Random(2)
     chars = "abcXYZ'stllve \n\t\r\x01\x0b12,.!<|>éÀ́ΣςİßЖ  \U0001f600中"
     texts = ["".join(rng.choices(chars, k=rng.randint(0, 60))) for _ in range(600)] + ["<|endoftext|> a<|startoftext|>b"]

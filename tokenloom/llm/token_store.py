@@ -15,8 +15,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tokenloom.llm.common import batch_of, kind_of
-from tokenloom.session import ship_package
+from tokenloom.session import ship_package, stage_table
 
 #: Payload bytes after which a shard is closed.
 SHARD_BYTES = 1 << 20
@@ -36,23 +37,65 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 8192
 DICT_BYTES = 32 << 10
 LEVEL = 3
-CACHED_PIECES = 300_000
+#: What a worker remembers of pieces and of runs: so many bytes each, twice over at most.
+CACHED_BYTES = 32 << 20
+#: Bytes of an entry besides its characters and ids: two objects and their place in the table.
+ENTRY_BYTES = 190
 ENCODE_TEXTS = 64
 JOINED_PIECES = 100
 #: A control character: a byte of its own in UTF-8, which no other character contains.
 MARK = "\x01"
 #: A longer piece between spaces is not remembered.
 CACHED_CHARS = 48
+#: Runs of letters, and of what stands between them, in ASCII and Latin-1.
+RUNS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Fixed value: how vocabularies of this kind spell the end of a word.
+WORD_END = "</w>"
+#: Frames in a part of the ordered shuffle.
+PART_BYTES = 16 << 20
+
+
+class Remembered:
+    """text -> ids, bounded by bytes: when full, what was asked for since the last time is kept once more."""
+
+    def __init__(self, most: int = CACHED_BYTES):
+        self.most, self.size = most, 0
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def unknown(self, texts: Iterable[str]) -> list[str]:
+        """Those of `texts` that must be learned, each once."""
+        if self.size > self.most:
+            self.known, self.older, self.size = {}, self.known, 0
+        known, older = self.known, self.older
+        missing = {t for t in texts if t not in known}
+        if older:
+            back = [t for t in missing if t in older]
+            self.learn(back, [older[t] for t in back])
+            missing.difference_update(back)
+        return list(missing)
+
+    def learn(self, texts: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(texts, ids, strict=True))
+        self.size += sum(map(len, texts)) + sum(map(len, ids)) + ENTRY_BYTES * len(texts)
+
+    def forget(self, texts: Iterable[str]) -> None:
+        for t in texts:
+            ids = self.known.pop(t, b"")
+            self.size -= len(t) + len(ids) + ENTRY_BYTES
 
 
 class PieceEncoder:
-    """Ids of whole texts with a `tokenizers` file, space-separated pieces encoded once.
+    """Ids of whole texts with a `tokenizers` file, each piece between spaces encoded once.
 
     Valid for tokenizers whose pre-tokenizer never joins characters across an ASCII space or line
-    end and drops both, which the class checks on a probe; others are encoded text by text.
+    end and drops both, which the class checks on a probe; others are encoded text by text. If the
+    probe shows too that letters never join other characters and that case plays no part, a new
+    piece is put together from its runs of letters and non-letters.
     """
 
     PROBE = "A b\n\nc d's 12 3! x"
+    RUN_PROBE = "Ab,cD12e ...\xc9t\xe9-x\xb5 \xaa\xba&&\xdf7\xf8 q_r \xd7s\xf7T"
 
     def __init__(self, path: str):
         # Spark's tasks are the parallelism; the library's own threads would only compete with them.
@@ -60,11 +103,20 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces, self.runs = Remembered(), Remembered()
         alone = np.frombuffer(self._ids([MARK])[0], "<u4")
         self.mark = int(alone[0]) if len(alone) == 1 else None
         self.by_piece = self._ids([self.PROBE]) == [b"".join(self._ids(self.PROBE.split()))]
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What `_plain` leaves to the library: an apostrophe may join what follows, an added token is no run.
+        self.joining = re.compile("|".join(["'", *added]))
+        words = self.RUN_PROBE.split()
+        self.by_run = self.by_piece and all(
+            self._ids([w]) == [b"".join(self._ids([r.lower() for r in RUNS.findall(w)]))] for w in words
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids; few texts at a time, since the library's results are large."""
@@ -74,38 +126,59 @@ class PieceEncoder:
             found += [np.array(e.ids, "<u4").tobytes() for e in some]
         return found
 
+    def _apart(self, pieces: list[str], between: str, ends) -> list[bytes]:
+        """As `_ids`, for many pieces in one text, which is cut again where `ends` says (from, to)."""
+        groups = [pieces[at : at + JOINED_PIECES] for at in range(0, len(pieces), JOINED_PIECES)]
+        found = []
+        for group, raw in zip(groups, self._ids([between.join(g) for g in groups]), strict=True):
+            cuts = ends(np.frombuffer(raw, "<u4"))
+            found += [raw[4 * low : 4 * high] for low, high in cuts] if len(cuts) == len(group) else self._ids(group)
+        return found
+
+    def _between_marks(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        marks = np.flatnonzero(ids == self.mark).tolist()
+        return list(zip([0, *(m + 1 for m in marks)], [*marks, len(ids)], strict=True))
+
+    def _words(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        return list(zip([0, *ends], ends, strict=False)) if ends and ends[-1] == len(ids) else []
+
     def _piece_ids(self, pieces: list[str]) -> list[bytes]:
-        """As `_ids`, for many pieces in one text: a mark that no piece holds stands between them."""
+        """As `_ids`, for pieces without white space; a mark that no piece holds stands between them."""
         if self.mark is None or any(MARK in p for p in pieces):
             return self._ids(pieces)
-        groups = [pieces[at : at + JOINED_PIECES] for at in range(0, len(pieces), JOINED_PIECES)]
-        found = []
-        for group, raw in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups]), strict=True):
-            ids = np.frombuffer(raw, "<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            if len(ends) != len(group) - 1:
-                found += self._ids(group)
-                continue
-            found += [raw[4 * low : 4 * high] for low, high in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+        return self._apart(pieces, f" {MARK} ", self._between_marks)
+
+    def _run_ids(self, pieces: list[str]) -> list[bytes]:
+        """As `_piece_ids`, from remembered runs; a run of letters is one word to the tokenizer."""
+        cut = [RUNS.findall(p.lower()) for p in pieces]
+        new = self.runs.unknown(itertools.chain.from_iterable(cut))
+        letters = [r for r in new if r.isalpha()]
+        others = [r for r in new if not r.isalpha()]
+        self.runs.learn(letters, self._apart(letters, " ", self._words))
+        self.runs.learn(others, self._piece_ids(others))
+        look = self.runs.known.__getitem__
+        found = [b"".join(map(look, runs)) for runs in cut]
+        self.runs.forget(r for r in new if len(r) > CACHED_CHARS)
         return found
 
+    def _plain(self, piece: str) -> bool:
+        """Made of runs; beyond Latin-1 characters may combine."""
+        return self.by_run and (piece.isascii() or max(piece) <= "\xff") and not self.joining.search(piece)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        distinct = set(itertools.chain.from_iterable(cut))
-        if len(self.known) + len(distinct) > CACHED_PIECES:
-            # What was asked for since the last change survives the next one.
-            self.known, self.older = {}, self.known
-        missing = [w for w in distinct if w not in self.known]
-        self.known.update((w, self.older[w]) for w in missing if w in self.older)
-        new = [w for w in missing if w not in self.known]
-        self.known.update(zip(new, self._piece_ids(new), strict=True))
-        look = self.known.__getitem__
+        new = self.pieces.unknown(itertools.chain.from_iterable(cut))
+        plain, others = [], []
+        for p in new:
+            (plain if self._plain(p) else others).append(p)
+        self.pieces.learn(plain, self._run_ids(plain))
+        self.pieces.learn(others, self._piece_ids(others))
+        look = self.pieces.known.__getitem__
         found = [b"".join(map(look, words)) for words in cut]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del self.known[w]
+        self.pieces.forget(p for p in new if len(p) > CACHED_CHARS)
         return found
 
 
@@ -115,17 +188,21 @@ def encoder_of(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, batch_docs: int = 64):
+    """(batch of up to `batch_docs` documents, their ids as little-endian uint32 bytes, ended by the end id)."""
+    encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+    for whole in batches:
+        for at in range(0, whole.num_rows, batch_docs):
+            batch = whole.slice(at, batch_docs)
+            yield batch, [x + end for x in encoder.encode([t or "" for t in batch["text"].to_pylist()])]
+
+
 def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, batch_docs: int = 64) -> DataFrame:
     """(doc_id, ids as little-endian uint32 bytes); the end id closes each document, null is empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, batch_docs):
-                batch = whole.slice(at, batch_docs)
-                texts = [t or "" for t in batch["text"].to_pylist()]
-                ids = [x + end for x in encoder.encode(texts)]
-                yield batch_of({"doc_id": batch["doc_id"], "ids": ids}, ids=pa.binary())
+        for batch, ids in encoded(batches, tokenizer_path, end_id, batch_docs):
+            yield batch_of({"doc_id": batch["doc_id"], "ids": ids}, ids=pa.binary())
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind_of(docs, 'doc_id')}, ids binary")
 
@@ -194,8 +271,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vo
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = codec.writer()
-        for batch in batches:
-            ids = batch["ids"].to_pylist()
+        for batch, ids in encoded(batches, tokenizer_path, end_id):
             counts, crcs = [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]
             frames = [pack(x) for x in ids]
             columns = {"doc_id": batch["doc_id"], "n": counts, "crc": crcs, "frame": frames}
@@ -228,10 +304,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vo
         i32 = pa.int32()
         return [i32, i32, pa.string(), own, own, long, long, pa.list_(own), pa.list_(long), pa.list_(long), pa.binary()]
 
-    frames = encode_texts(docs, tokenizer_path, end_id).mapInArrow(
-        compress, f"doc_id {kind}, n long, crc long, frame binary"
-    )
-    ordered = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "crc", "n")
+    # Staged, so that the range shuffle's sample of ids does not encode the texts a second time.
+    frames = docs.select("doc_id", "text").mapInArrow(compress, f"doc_id {kind}, n long, crc long, frame binary")
+    frames = stage_table(frames, "frames")
+    size = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
+    # Rows of one id, or without one, spread over parts by what they hold.
+    ordered = frames.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", "crc", "n")
+    ordered = ordered.sortWithinPartitions("doc_id", "crc", "n")
     ordered.drop("crc").mapInArrow(shards, SHARD.format(kind=kind)).write.parquet(f"{path}/shards")
     # One row per part of the range shuffle.
     totals = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
@@ -279,7 +358,8 @@ def read_store(spark: SparkSession, path: str, first: int | None = None, last: i
     def open_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = codec.reader()
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 if row["dict_hash"] != expected:
                     raise ValueError("a shard was written with another dictionary")
                 start, out = row["start"], []
