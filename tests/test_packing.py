@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.operators import ordering
 from tokenloom.operators.ordering import (
     last_of_first,
     prefix_sum,
@@ -107,7 +108,7 @@ def test_rows_without_a_place_are_refused(spark):
     with pytest.raises(ValueError):
         pack_blocks(nulls, 1)
     with pytest.raises(Exception, match="has no doc_id"):
-        pack_blocks(nulls, 1, bounds=(1, 3)).collect()
+        pack_blocks(nulls, 1, cuts=[]).collect()
     with pytest.raises(ValueError):
         take_docs(nulls, 1)
     twice = spark.createDataFrame([(1, [1]), (1, [2])], "doc_id long, ids array<int>")
@@ -131,3 +132,33 @@ def test_the_nth_of_sparse_ids(spark):
     for n in (1, 7, 250, len(ids)):
         assert sorted(r.doc_id for r in take_docs(df, n).collect()) == ids[:n]
     assert last_of_first(df, len(ids) + 1) is None
+
+
+@pytest.mark.parametrize("spread", ["dense", "sparse", "clustered"])
+def test_ranges_follow_any_distribution(spark, monkeypatch, spread):
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 100)
+    rng = random.Random(6)
+    ids = {
+        "dense": list(range(3000)),
+        "sparse": sorted({rng.randint(-(2**63), 2**63 - 1) for _ in range(3000)}),
+        "clustered": [*range(2900), *(2**62 + 7 * i for i in range(50)), 2**63 - 1],
+    }[spread]
+    df = spark.createDataFrame([(i, f"g{i % 2}") for i in ids], "doc_id long, g string").repartition(6)
+    cuts = ordering.range_cuts(df, "doc_id")
+    assert len(cuts) >= 25
+    sizes = df.groupBy(ordering._range_of(F.col("doc_id"), cuts).alias("r")).count().collect()
+    assert max(r["count"] for r in sizes) <= 200 and {r.r for r in sizes} <= set(range(len(cuts) + 1))
+    got = {r.doc_id: r.doc_idx for r in ordering.doc_index(df).collect()}
+    assert got == {i: at for at, i in enumerate(ids)}
+    per_group = {r.doc_id: r.before for r in prefix_sum(df, "doc_id", F.lit(2), "before", ("g",)).collect()}
+    for g in (0, 1):
+        assert [per_group[i] for i in ids if i % 2 == g] == [2 * at for at in range(sum(i % 2 == g for i in ids))]
+
+
+def test_few_exchanges_for_any_ids(spark):
+    rng = random.Random(6)
+    ids = [(rng.randint(-(2**63), 2**63 - 1), [1, 2]) for _ in range(20_000)]
+    df = spark.createDataFrame(ids, "doc_id long, ids array<int>")
+    plan = doc_offsets(df)._jdf.queryExecution().sparkPlan().toString()
+    planned = doc_offsets(df)._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("Exchange ") <= 4, plan

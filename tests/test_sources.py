@@ -132,3 +132,20 @@ def test_both_plans_end_to_end(spark, tmp_path):
     for side, low, high in (("val", 0, 10), ("train", 10, 60)):
         total = sum(r.n_tokens for r in tokens.where(f"doc_id >= {low} AND doc_id < {high}").collect())
         assert len([r for r in rows if r.split == side]) == total // 17
+
+
+def test_source_files_by_glob_file_and_folder(spark, tmp_path):
+    for name, text in {"a/x.py": "1\n", "a/empty.py": "", "b/a/x.py": "", "b/_h/y.py": "", "b/.z.py": "", "c.py": "3"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+
+    def names(path):
+        rows = read_source_files(spark, f"file://{tmp_path}/{path}").collect()
+        return sorted((r.doc_id.split(tmp_path.name + "/")[1], r.content) for r in rows)
+
+    everything = [("a/empty.py", ""), ("a/x.py", "1\n"), ("b/a/x.py", ""), ("c.py", "3")]
+    assert names("") == everything
+    assert names("[ab]") == everything[:3]
+    assert names("a") == everything[:2]
+    assert names("c.py") == everything[3:]
+    assert names("a/*.py") == everything[:2]

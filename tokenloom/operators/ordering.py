@@ -1,8 +1,8 @@
 """Positions in document order without gathering the table in one task.
 
-Running totals go level by level: an order value's high bits name its bucket, so a bucket
-holds at most 2**RADIX_BITS rows whatever the distribution of the ids, and bucket totals are
-themselves summed the same way one level up.
+Running totals are a two-pass scan over ranges of the order value: quantiles cut the rows into
+ranges of much the same size whatever the distribution of the ids, one pass sums each range, the
+other adds up within a range, and what the ranges before hold is added in place.
 """
 
 from __future__ import annotations
@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tokenloom.session import stage_table
 
+#: Search for the n-th document: bits of the order value settled by one count.
 RADIX_BITS = 12
+#: Rows in a range, and the most ranges; beyond their product ranges grow, and their windows spill.
+RANGE_ROWS = 1 << 13
+MAX_RANGES = 1 << 16
 #: Place of a row within its partition, as `monotonically_increasing_id` lays it out.
 PLACE_BITS = 33
 
@@ -47,8 +51,35 @@ def order_bounds(df: DataFrame, order: str) -> tuple[int, int]:
     return (0, 0) if low is None else (low, high)
 
 
-def _before(keys: list[str], bucket: str, order: str, value: str) -> Column:
-    window = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def range_cuts(df: DataFrame, order: str) -> list[int]:
+    """Ascending order values that cut `df` into ranges of about `RANGE_ROWS` rows; one column is read.
+
+    The cuts are approximate quantiles, so they follow the distribution. Refuses rows without an
+    order value.
+    """
+    n, missing = df.agg(F.count(order), F.count_if(F.col(order).isNull())).first()
+    if missing:
+        raise ValueError(f"{missing} rows have no {order}; see with_doc_id")
+    ranges = min(MAX_RANGES, -(-n // RANGE_ROWS))
+    if ranges < 2:
+        return []
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.agg(F.percentile_approx(F.col(order).cast("long"), shares, 20 * ranges)).first()[0]
+    return sorted(set(found))
+
+
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many cuts lie below the value: a binary search, one step for each bit."""
+    if not cuts:
+        return F.lit(0)
+    table = F.from_json(F.lit(str(cuts)), "array<bigint>")
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
+    fits = lambda at, step: (at + step <= len(cuts)) & (F.get(table, at + step - 1) < value)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def _before(keys: list[str], order: str, value: str) -> Column:
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(window), F.lit(0))
 
 
@@ -58,60 +89,34 @@ def prefix_sum(
     value: Column,
     out: str,
     groups: tuple[str, ...] = (),
-    bounds: tuple[int, int] | None = None,
+    cuts: list[int] | None = None,
 ) -> DataFrame:
     """Add `out`: the sum of `value` over all rows of the group before this one.
 
     `order` must be a unique integer within its group: a null or repeated one fails the job, since
-    no place in the order can be told. Only order values and counts go through windows; what else a
-    row holds is joined to its place afterwards. `df` is read once per branch, so pass it staged if
-    it is costly.
+    no place in the order can be told. Rows move once, to their range, and get their place there;
+    the ranges' totals, a row for each group and range, meet them by the same key. `df` is read
+    once for the totals and once for the rows, so pass it staged if it is costly.
     """
-    low, high = bounds or order_bounds(df, order)
-    keys = list(groups)
-    # Shift before subtracting: the difference of two ids may not fit in 64 bits.
-    floor, span = low >> RADIX_BITS, (high >> RADIX_BITS) - (low >> RADIX_BITS)
+    cuts = range_cuts(df, order) if cuts is None else cuts
+    keys = [*groups, "_range"]
     missing = F.raise_error(F.lit(f"a row has no {order}")).cast("long")
     known = F.coalesce(F.col(order).cast("long"), missing)
-    bucket = F.shiftright(known, RADIX_BITS) - F.lit(floor)
-
-    totals = [
-        df.select(*keys, bucket.alias("_k"), value.cast("long").alias("_v"))
-        .groupBy(*keys, "_k")
-        .agg(F.sum("_v").alias("_v"))
-    ]
-    while span >> (RADIX_BITS * len(totals)):
-        totals.append(
-            totals[-1]
-            .select(*keys, F.shiftright("_k", RADIX_BITS).alias("_k"), "_v")
-            .groupBy(*keys, "_k")
-            .agg(F.sum("_v").alias("_v"))
-        )
-    base = None
-    for level in reversed(totals):
-        level = level.withColumn("_p", F.shiftright("_k", RADIX_BITS))
-        level = level.withColumn("_b", _before(keys, "_p", "_k", "_v"))
-        if base is not None:
-            above = base.withColumnsRenamed({"_k": "_p", "_b": "_a"})
-            level = level.join(above, [*keys, "_p"]).withColumn("_b", F.col("_b") + F.col("_a"))
-        base = level.select(*keys, "_k", "_b")
-    slim = df.select(*keys, order, bucket.alias("_k"), value.cast("long").alias("_v"))
-    before = F.lag(order).over(Window.partitionBy(*keys, "_k").orderBy(order))
+    ranged = df.withColumn("_range", _range_of(known, cuts)).withColumn("_value", value.cast("long"))
+
+    totals = ranged.groupBy(*keys).agg(F.sum("_value").alias("_value"))
+    # As many rows in a window as there are ranges.
+    base = totals.withColumn("_base", _before(list(groups) or [F.lit(0)], "_range", "_value"))
+    last = F.lag(order).over(Window.partitionBy(*keys).orderBy(order))
     repeated = F.raise_error(F.lit(f"{order} is repeated")).cast("long")
-    ranked = slim.select(
-        *keys,
-        order,
-        "_k",
-        F.when(before == F.col(order), repeated).otherwise(_before(keys, "_k", order, "_v")).alias("_r"),
-    )
-    places = ranked.join(base, [*keys, "_k"]).select(*keys, order, (F.col("_r") + F.col("_b")).alias(out))
-    rest = [c for c in df.columns if c not in (*keys, order)]
-    return (df.join(places, [*keys, order]) if rest else places).select(*df.columns, out)
-
-
-def doc_index(df: DataFrame, order: str = "doc_id", bounds=None) -> DataFrame:
+    within = F.when(known == last, repeated).otherwise(_before(keys, order, "_value"))
+    placed = ranged.withColumn("_within", within).join(base.drop("_value"), keys)
+    return placed.withColumn(out, F.col("_within") + F.col("_base")).select(*df.columns, out)
+
+
+def doc_index(df: DataFrame, order: str = "doc_id", cuts: list[int] | None = None) -> DataFrame:
     """Add the dense 0-based `doc_idx`."""
-    return prefix_sum(df, order, F.lit(1), "doc_idx", bounds=bounds)
+    return prefix_sum(df, order, F.lit(1), "doc_idx", cuts=cuts)
 
 
 def last_of_first(df: DataFrame, n: int, order: str = "doc_id") -> int | None:

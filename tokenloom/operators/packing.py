@@ -8,14 +8,14 @@ from tokenloom.operators.ordering import prefix_sum
 
 
 def doc_offsets(
-    encoded: DataFrame, groups: tuple[str, ...] = (), order: str = "doc_id", bounds=None
+    encoded: DataFrame, groups: tuple[str, ...] = (), order: str = "doc_id", cuts: list[int] | None = None
 ) -> DataFrame:
     """Add `offset`: tokens of the group before this document.
 
     Where the counts are stored as `n_tokens`, the pass that sums them skips the ids.
     """
     count = F.col("n_tokens") if "n_tokens" in encoded.columns else F.size("ids")
-    return prefix_sum(encoded, order, count, "offset", groups, bounds)
+    return prefix_sum(encoded, order, count, "offset", groups, cuts)
 
 
 def _whole(value: Column, width: int) -> Column:
@@ -67,10 +67,10 @@ def pack_placed(placed: DataFrame, block_size: int, groups: tuple[str, ...] = ()
 
 
 def pack_blocks(
-    encoded: DataFrame, block_size: int, groups: tuple[str, ...] = (), order: str = "doc_id", bounds=None
+    encoded: DataFrame, block_size: int, groups: tuple[str, ...] = (), order: str = "doc_id", cuts: list[int] | None = None
 ) -> DataFrame:
     """Concatenate ids in document order per group and cut non-overlapping blocks."""
-    return pack_placed(doc_offsets(encoded, groups, order, bounds), block_size, groups)
+    return pack_placed(doc_offsets(encoded, groups, order, cuts), block_size, groups)
 
 
 def shift_targets(blocks: DataFrame) -> DataFrame:

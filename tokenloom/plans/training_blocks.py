@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenloom.operators.cleaning import clean_corpus, clean_prose, with_eos
 from tokenloom.operators.encoding import encode_corpus
-from tokenloom.operators.ordering import order_bounds, with_split
+from tokenloom.operators.ordering import with_split
 from tokenloom.operators.packing import batch_blocks, pack_blocks, shift_targets
 from tokenloom.operators.vocabulary import Vocabulary
 from tokenloom.session import stage_table
@@ -52,7 +52,7 @@ def training_blocks(
         encode_documents(corpus, vocab, dropout_chance, seed, split_mode, code), "encoded", encoded_path
     )
     sided = with_split(encoded, n_val, corpus)
-    blocks = pack_blocks(sided, block_size, ("split",), bounds=order_bounds(corpus, "doc_id"))
+    blocks = pack_blocks(sided, block_size, ("split",))
     return batch_blocks(shift_targets(blocks), batch_size)
 
 

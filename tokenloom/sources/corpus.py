@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -49,25 +50,37 @@ def scan_corpus(
     return spread(corpus, "doc_id", partitions)
 
 
+#: How Hadoop prints the status of a file or folder.
+_STATUS = re.compile(r"path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?")
+
+
 def _empty_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
-    """Locations of the files without a byte, written as the text reader writes them."""
+    """Locations of the files without a byte, written as the text reader writes them.
+
+    `path` is a file, a folder or a glob. A folder is listed by one call to the file system.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    found, files = [], top.getFileSystem(conf).listFiles(top, True)
-    while files.hasNext():
-        status = files.next()
-        if status.getLen() == 0:
-            place = status.getPath().toUri().toString()
-            below = place.rsplit(top.getName() + "/", 1)[-1].split("/")
-            hidden = any(part.startswith(("_", ".")) for part in below)
-            if not hidden and fnmatch.fnmatchcase(below[-1], pattern):
+    place = jvm.org.apache.hadoop.fs.Path
+    top = place(path)
+    fs = top.getFileSystem(conf)
+    show = jvm.org.apache.commons.lang3.ArrayUtils.toString
+    matches = fs.globStatus(top)
+    pending, found = [show(matches)] if matches is not None else [], []
+    while pending:
+        for name, folder, length in _STATUS.findall(pending.pop()):
+            last = name.rsplit("/", 1)[-1]
+            if last.startswith(("_", ".")):
+                continue
+            if folder == "true":
+                pending.append(show(fs.listStatus(place(name))))
+            elif length == "0" and fnmatch.fnmatchcase(last, pattern):
                 # The text reader leaves out an empty authority.
-                found.append(place.replace(":///", ":/", 1))
+                found.append(place(name).toUri().toString().replace(":///", ":/", 1))
     return found
 
 
 def read_source_files(spark: SparkSession, path: str, pattern: str = "*.py") -> DataFrame:
-    """One row per file below `path`: its location as `doc_id`, its whole text as `content`.
+    """One row per file below `path` (a file, a folder, or a glob of either): its location as `doc_id`, its whole text as `content`.
 
     Spark's readers pass over files without a byte; those are listed and added. For folders of
     source files: every file is listed on the driver. `with_doc_id` numbers the rows for packing.
