@@ -64,16 +64,25 @@ def test_packing_goes_on_after_a_restart(spark, tmp_path):
     assert stream_rows(packer, spark) == batch_form(spark, rows)
 
 
-def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
-    docs = [(i, [i] * (i % 50)) for i in range(60)]
-    packer = PackStream(str(tmp_path), BLOCK, LANES)
-    first = spark.createDataFrame(docs[:30], "doc_id long, ids array<int>")
-    second = spark.createDataFrame(docs[30:], "doc_id long, ids array<int>")
-    packer.handle(first, 0)
-    packer.handle(second, 1)
-    before = stream_rows(packer, spark)
-    packer.handle(second, 1)
-    assert stream_rows(packer, spark) == before
+def test_a_failed_micro_batch_is_repeated_once(spark, tmp_path):
+    rows = texts(40)
+    arrive(spark, rows[:15], str(tmp_path / "in"))
+    arrive(spark, rows[15:], str(tmp_path / "in"))
+
+    def stream():
+        cleaned = stream_clean(corpus_stream(spark, str(tmp_path / "in"), 1), 0.0, code=False)
+        return stream_encode(cleaned, Vocabulary())
+
+    packer = PackStream(str(tmp_path / "out"), BLOCK, LANES)
+    broken = stream().withColumn("doc_id", F.when(F.col("doc_id") >= 30, F.raise_error(F.lit("lost"))).otherwise(F.col("doc_id")))
+    with pytest.raises(Exception, match="lost"):
+        packer.run(broken, str(tmp_path / "cp"))
+    assert 0 < len(stream_rows(packer, spark)) < len(batch_form(spark, rows))
+    packer.run(stream(), str(tmp_path / "cp"))
+    assert stream_rows(packer, spark) == batch_form(spark, rows)
+    packer.run(stream(), str(tmp_path / "cp"))
+    assert stream_rows(packer, spark) == batch_form(spark, rows)
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"blocks"}
 
 
 def test_clean_stream_equals_batch(spark, tmp_path):

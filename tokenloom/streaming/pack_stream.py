@@ -1,88 +1,81 @@
-"""Packing a stream of encoded documents, with the open block carried between micro-batches.
+"""Packing a stream of encoded documents, with the open block of each lane in Spark's state store.
 
-All documents of a lane in one stateful task would put a whole stream through a few tasks.
-Here every micro-batch is packed like a batch table, spread over the cluster; only the
-remainder of each lane (less than one block) is state.
+Documents go to their lane; a stateful operator appends a micro-batch's documents to the lane's open
+block, in document order, and emits every block that is full. The state of a lane is less than one
+block, kept in RocksDB and versioned with the checkpoint; the file sink's log makes each block appear
+once, whatever is repeated after a failure. A lane is one task's work in a micro-batch, so a large
+stream takes as many lanes as it has cores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Iterator
 
-from tokenloom.operators.ordering import order_bounds
-from tokenloom.operators.packing import doc_offsets, lanes, pack_placed, shift_targets, tail_of
-from tokenloom.sources.artefacts import is_complete
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("lane", T.IntegerType()),
-        T.StructField("next_block", T.LongType()),
-        T.StructField("ids", T.ArrayType(T.IntegerType())),
-    ]
-)
+from tokenloom.operators.packing import lanes, shift_targets
+
+BLOCK_SCHEMA = "lane int, block_id long, chunk array<int>"
+STATE_SCHEMA = "next_block long, ids array<int>"
+#: Blocks handed over at once.
+EMIT_BLOCKS = 4096
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LanePacker(StatefulProcessor):
+    """Full blocks of `width` ids from the documents of one lane, micro-batch by micro-batch."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open_block", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        next_block, carried = self.open.get() if self.open.exists() else (0, [])
+        docs = pd.concat([r[["doc_id", "ids"]] for r in rows]).sort_values("doc_id", kind="stable")
+        stream = np.concatenate([np.asarray(carried, np.int32), *(np.asarray(x, np.int32) for x in docs["ids"])])
+        full = len(stream) // self.width
+        blocks = stream[: full * self.width].reshape(full, self.width)
+        for at in range(0, full, EMIT_BLOCKS):
+            some = blocks[at : at + EMIT_BLOCKS]
+            numbers = np.arange(next_block + at, next_block + at + len(some))
+            yield pd.DataFrame({"lane": np.int32(key[0]), "block_id": numbers, "chunk": list(some)})
+        self.open.update((int(next_block) + full, stream[full * self.width :].tolist()))
+
+    def close(self) -> None:
+        pass
 
 
 class PackStream:
-    """Packs micro-batches of `doc_id, ids` into `lane, block_id, chunk` files under `path`.
+    """Packs a stream of `doc_id, ids` into `lane, block_id, chunk` files under `path`.
 
-    Blocks and state of a micro-batch are written under its number and replaced when it is
-    repeated, so a restart yields each block once. A path belongs to one checkpoint.
+    Documents must arrive in order between micro-batches; inside one they are sorted. `doc_id` is
+    dense, so that lanes are dealt round robin.
     """
 
     def __init__(self, path: str, block_size: int, n_lanes: int):
         self.path, self.block_size, self.n_lanes = path, block_size, n_lanes
 
-    def _blocks_path(self, batch: int) -> str:
-        return f"{self.path}/blocks/batch={batch:010d}"
-
-    def _state_path(self, batch: int) -> str:
-        return f"{self.path}/state/batch={batch:010d}"
-
-    def _state(self, spark: SparkSession, batch: int) -> DataFrame:
-        if batch < 0:
-            return spark.createDataFrame([], STATE_SCHEMA)
-        return spark.read.schema(STATE_SCHEMA).parquet(self._state_path(batch))
-
-    def handle(self, batch_df: DataFrame, batch: int) -> None:
-        spark = batch_df.sparkSession
-        if batch == 0 and is_complete(spark, self._state_path(1)):
-            raise ValueError(f"{self.path} holds another run's blocks; give a new checkpoint a new path")
-        fresh = lanes(batch_df.select("doc_id", "ids"), self.n_lanes).persist()
-        try:
-            self._pack(spark, fresh, batch)
-        finally:
-            fresh.unpersist()
-
-    def _pack(self, spark: SparkSession, fresh: DataFrame, batch: int) -> None:
-        carried = self._state(spark, batch - 1)
-        low, high = order_bounds(fresh, "doc_id")
-        # The open block of a lane comes before every document of this micro-batch.
-        rest = carried.select(F.lit(low - 1).cast("long").alias("doc_id"), "lane", "ids")
-        placed = doc_offsets(fresh.unionByName(rest), ("lane",), bounds=(low - 1, high)).persist()
-        try:
-            self._write(placed, carried, batch)
-        finally:
-            placed.unpersist()
-
-    def _write(self, placed: DataFrame, carried: DataFrame, batch: int) -> None:
-        # At most one row per lane.
-        first = carried.select("lane", "next_block")
-        blocks = pack_placed(placed, self.block_size, ("lane",)).join(first, "lane", "left")
-        numbered = blocks.withColumn("block_id", F.col("block_id") + F.coalesce("next_block", F.lit(0)))
-        numbered.drop("next_block").write.mode("overwrite").parquet(self._blocks_path(batch))
-
-        tail = tail_of(placed, self.block_size, ("lane",)).join(first, "lane", "full")
-        tail.select(
-            "lane",
-            (F.coalesce("next_block", F.lit(0)) + F.coalesce("n_blocks", F.lit(0))).alias("next_block"),
-            F.coalesce("ids", F.array().cast("array<int>")).alias("ids"),
-        ).coalesce(1).write.mode("overwrite").parquet(self._state_path(batch))
+    def packed(self, encoded: DataFrame) -> DataFrame:
+        """The stream of full blocks."""
+        dealt = lanes(encoded.select("doc_id", "ids"), self.n_lanes)
+        return dealt.groupBy("lane").transformWithStateInPandas(
+            LanePacker(self.block_size + 1), outputStructType=BLOCK_SCHEMA, outputMode="Append", timeMode="None"
+        )
 
     def run(self, encoded: DataFrame, checkpoint: str) -> None:
         """Process all input there is, then stop."""
+        encoded.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
         (
-            encoded.writeStream.foreachBatch(self.handle)
+            self.packed(encoded)
+            .writeStream.format("parquet")
+            .option("path", f"{self.path}/blocks")
             .option("checkpointLocation", checkpoint)
+            .outputMode("append")
             .trigger(availableNow=True)
             .start()
             .awaitTermination()
@@ -90,5 +83,4 @@ class PackStream:
 
     def blocks(self, spark: SparkSession) -> DataFrame:
         """All blocks written so far, as input and target."""
-        schema = "lane int, block_id long, chunk array<int>"
-        return shift_targets(spark.read.schema(schema).parquet(f"{self.path}/blocks/*"))
+        return shift_targets(spark.read.schema(BLOCK_SCHEMA).parquet(f"{self.path}/blocks"))
