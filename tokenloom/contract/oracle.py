@@ -324,6 +324,22 @@ def oracle() -> dict[str, str]:
         "topk_renormalize": f"WITH {eval_sql()}, kept AS (SELECT * FROM scores QUALIFY rank() OVER "
         "(PARTITION BY ctx ORDER BY score DESC) <= 10), w AS (SELECT *, exp(score / 0.8) AS w FROM kept) "
         "SELECT ctx, next_id, round(score, 6) AS score, round(w / sum(w) OVER (PARTITION BY ctx), 6) AS prob FROM w",
+        "sample_next": f"WITH {eval_sql()}, kept AS (SELECT * FROM scores QUALIFY rank() OVER "
+        "(PARTITION BY ctx ORDER BY score DESC) <= 10), w AS (SELECT *, exp(score / 0.8) AS w FROM kept), "
+        "p AS (SELECT ctx, next_id, score, w / sum(w) OVER (PARTITION BY ctx) AS prob, unnest(range(3)) AS draw FROM w), "
+        "u AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', '0', CAST(ctx AS VARCHAR), CAST(draw AS VARCHAR), "
+        "CAST(next_id AS VARCHAR))), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM p) "
+        "SELECT ctx, CAST(draw AS INTEGER) AS draw, next_id, round(prob, 6) AS prob FROM u "
+        "QUALIFY row_number() OVER (PARTITION BY ctx, draw ORDER BY score / 0.8 - ln(-ln(u)) DESC, next_id) = 1",
+        "heal_prompts": r"WITH l AS (SELECT doc_id, text, least(length(text), length(regexp_extract(text, "
+        r"'^[\x09-\x0d\x20-\x7e]*')), "
+        + ", ".join(
+            f"CASE WHEN instr(text, '{s}') > 0 THEN instr(text, '{s}') + {len(s) - 2} ELSE length(text) END"
+            for s in ("<UNK>", "<SCOPE_IN>", "<SCOPE_OUT>")
+        )
+        + r") AS k FROM documents WHERE text IS NOT NULL), c AS (SELECT *, CASE WHEN regexp_full_match(substr(text, k + 1), "
+        r"'[\x09-\x0d\x20-\x7e]') THEN k - 1 ELSE k END AS cut FROM l) "
+        "SELECT doc_id, CAST(cut AS INTEGER) AS n_healed, md5(substr(text, cut + 1)) AS tail_md5 FROM c",
         "topk_exact": f"WITH {eval_sql()} SELECT ctx, next_id, round(score, 6) AS score, "
         "CAST(row_number() OVER (PARTITION BY ctx ORDER BY score DESC, next_id) AS INTEGER) AS place FROM scores "
         "QUALIFY place <= 5",

@@ -21,6 +21,7 @@ from tokenloom.operators.cleaning import (
 )
 from tokenloom.operators.encoding import decode_tokens, encode_corpus, token_pieces
 from tokenloom.operators.lexing import lex_documents
+from tokenloom.operators.generation import beam_search, draw_next, heal_prompts
 from tokenloom.operators.ordering import doc_index, skip_docs, take_docs, with_doc_id
 from tokenloom.operators.packing import batch_blocks, doc_offsets, lanes, pack_blocks, shift_targets
 from tokenloom.operators.pairs import apply_merge, best_pair, char_ids, coded, pair_counts
@@ -549,6 +550,29 @@ def best_beams(spark, sf_dir):
     return prune_beams(joined, 5)
 
 
+def drawn_next(spark, sf_dir):
+    """Three draws after every id."""
+    return draw_next(scores_of(spark, sf_dir), 10, 0.8, 0, 3).withColumn("prob", F.round("prob", 6))
+
+
+def searched_lines(spark, sf_dir):
+    """The most probable line after every id, by the bigram scores of all blocks."""
+    blocks = eval_blocks(spark, sf_dir).withColumn("split", F.lit("train"))
+    scores = stage_table(bigram_scores(blocks).select("ctx", "next_id", "score"), "line-scores")
+    prompts = scores.select("ctx").distinct().select(F.col("ctx").alias("prompt"), "ctx")
+    ids = Vocabulary().ids()
+    blanks = tuple(ids[c] for c in " \t\n\r\x0b\x0c")
+    found = beam_search(prompts, scores, ids["\n"], width=5, max_steps=20, blank_ids=blanks)
+    return found.select("prompt", as_text("ids").alias("ids"), F.round("logp", 6).alias("logp"))
+
+
+def healed_prompts(spark, sf_dir):
+    """Documents as they come, with characters the vocabulary lacks."""
+    docs = documents(spark, sf_dir).where("content IS NOT NULL")
+    healed = heal_prompts(docs, Vocabulary(), "content")
+    return healed.select("doc_id", F.length("healed").alias("n_healed"), F.md5(F.col("tail").cast("binary")).alias("tail_md5"))
+
+
 def loss(spark, sf_dir):
     blocks = eval_blocks(spark, sf_dir)
     scores = stage_table(bigram_scores(blocks), "scores")
@@ -565,6 +589,9 @@ def loss(spark, sf_dir):
 
 QUERIES = {
     "scan_corpus": documents,
+    "sample_next": drawn_next,
+    "beam_search": searched_lines,
+    "heal_prompts": healed_prompts,
     "scan_language": scan_language,
     "take_docs": take_first,
     "skip_docs": skip_first,
