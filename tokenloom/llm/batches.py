@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tokenloom.llm.common import batch_of, kind_of
+from tokenloom.llm.common import batch_of, kind_of, tidy
 from tokenloom.session import stage_table
 
 BATCH_BYTES = 2 << 20
@@ -63,7 +63,7 @@ def batch_texts(docs: DataFrame) -> DataFrame:
             yield close()
 
     schema = f"batch long, doc_ids array<{kind_of(docs, 'doc_id')}>, lengths array<long>, n_bytes long, texts binary"
-    return stage_table(docs.select("doc_id", "text").mapInArrow(pack, schema), "batches")
+    return stage_table(docs.select("doc_id", "text").mapInArrow(tidy(pack), schema), "batches")
 
 
 def with_answers(batches: DataFrame, answers: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from tokenloom.llm.batches import (
     unpacked,
     with_answers,
 )
-from tokenloom.llm.common import WordHashes, batch_of, text_hash
+from tokenloom.llm.common import WordHashes, batch_of, text_hash, tidy
 from tokenloom.llm.graph import connected
 from tokenloom.session import ship_package, stage_table
 
@@ -109,7 +109,7 @@ def set_keys(batches: DataFrame, size: int) -> DataFrame:
 
     kind = batches.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"row long, batch long, doc_id {kind}, text_hash long, n long, s1 long, s2 long"
-    return stage_table(batches.select("batch", "doc_ids", "lengths", "texts").mapInArrow(measure, schema), "set-keys")
+    return stage_table(batches.select("batch", "doc_ids", "lengths", "texts").mapInArrow(tidy(measure), schema), "set-keys")
 
 
 def _distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def candidates(batches: DataFrame, keys: DataFrame, n_buckets: int, size: int, p
                 yield batch_of(out, row=pa.int64(), n=pa.int64(), probes=long, tokens=long)
 
     return stage_table(
-        met.mapInArrow(probe, "row long, n long, probes array<long>, tokens array<long>"), "candidates"
+        met.mapInArrow(tidy(probe), "row long, n long, probes array<long>, tokens array<long>"), "candidates"
     )
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tokenloom.llm.common import batch_of, kind_of
+from tokenloom.llm.common import batch_of, kind_of, tidy
 from tokenloom.session import ship_package
 
 #: Pieces of text remembered by a worker, twice over at most, and the longest of them.
@@ -223,7 +223,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str) -> DataFra
                 yield batch_of(columns, groups=pa.string(), **kinds)
 
     schema = f"doc_id {kind_of(docs, 'doc_id')}, n_a long, n_b long, n_groups long, groups string, pairs binary, times binary"
-    return docs.select("doc_id", "text").mapInArrow(align, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(align), schema)
 
 
 def link_counts(aligned: DataFrame, n_b: int) -> DataFrame:

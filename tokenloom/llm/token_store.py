@@ -27,7 +27,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tokenloom.llm.common import batch_of, kind_of
+from tokenloom.llm.common import batch_of, kind_of, tidy
 from tokenloom.session import ship_package, stage_table
 
 #: Payload bytes after which a shard is closed.
@@ -305,13 +305,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vo
         return [i32, i32, pa.string(), own, own, long, long, pa.list_(own), pa.list_(long), pa.list_(long), pa.binary()]
 
     # Staged, so that the range shuffle's sample of ids does not encode the texts a second time.
-    frames = docs.select("doc_id", "text").mapInArrow(compress, f"doc_id {kind}, n long, crc long, frame binary")
+    frames = docs.select("doc_id", "text").mapInArrow(tidy(compress), f"doc_id {kind}, n long, crc long, frame binary")
     frames = stage_table(frames, "frames")
     size = frames.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
     # Rows of one id, or without one, spread over parts by what they hold.
     ordered = frames.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", "crc", "n")
     ordered = ordered.sortWithinPartitions("doc_id", "crc", "n")
-    ordered.drop("crc").mapInArrow(shards, SHARD.format(kind=kind)).write.parquet(f"{path}/shards")
+    ordered.drop("crc").mapInArrow(tidy(shards), SHARD.format(kind=kind)).write.parquet(f"{path}/shards")
     # One row per part of the range shuffle.
     totals = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts = list(itertools.accumulate([0, *(r["n"] for r in totals)]))
@@ -379,4 +379,4 @@ def read_store(spark: SparkSession, path: str, first: int | None = None, last: i
                     )
 
     met = wanted.drop("first_doc", "last_doc").join(index, ["part", "seq"])
-    return met.mapInArrow(open_shards, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return met.mapInArrow(tidy(open_shards), f"doc_id {kind}, start long, n_tokens long, ids binary")
