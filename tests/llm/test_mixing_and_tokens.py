@@ -60,7 +60,7 @@ def test_any_number_of_sources(spark):
     want = dict(zip(order, shares, strict=True))
     assert len(got) == len(data) and all(r.group_size == sizes[r.source] for r in got)
     assert all(math.isclose(r.target, want[r.source], abs_tol=1e-6) for r in got)
-    assert all(r.rate == pytest.approx(r.target / r.group_size if r.group_size else 0) and 0 <= r.copies <= 3 for r in got)
+    assert all(r.rate == pytest.approx(r.target / r.group_size if r.group_size else 0, rel=1e-9) and 0 <= r.copies <= 3 for r in got)
 
 
 def test_one_table_or_the_dual_problem(spark):
@@ -90,6 +90,47 @@ def test_newton_solves_two_families(spark):
             assert math.isclose(taken[key], target, rel_tol=1e-6)
 
 
+def test_the_query_runs_newton_steps(spark, monkeypatch):
+    steps = []
+    taken_step = mixing._step
+    monkeypatch.setattr(mixing, "_step", lambda *a: steps.append(1) or taken_step(*a))
+    rows = [("a", 1000, 3000.0), ("b", 1000, 2900.0), ("c", 10**12, 5.0), ("d", 0, 0.0), ("e", 7, 0.0), ("f", 90, 90.0)]
+    groups = spark.createDataFrame(rows, "_key0 string, tokens long, target double")
+    for r in mixing.solve_duals(groups).collect():
+        assert r.rate <= 3.0 and r.rate * r.tokens == pytest.approx(r.target, rel=1e-11)
+    assert 20 < len(steps) < 60
+    steps.clear()
+    docs, _ = sample(spark)
+    mixing.mix_groups(sized(docs, "doc_id", "source"), "source").count()
+    assert 3 < len(steps) < 20
+    assert mixing.solve_duals(groups.limit(0)).count() == 0
+
+
+def test_two_families_of_many_groups(spark, monkeypatch):
+    rng = random.Random(4)
+    data = [(i, rng.randint(1, 60), f"s{i % 40}", rng.choice(["x", "y", None]), rng.getrandbits(48)) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, size long, s string, l string, h long")
+    by_s, by_l = collections.Counter(), collections.Counter()
+    for _, size, s, lang, _ in data:
+        # Targets that some mix meets: those of known tilts.
+        rate = (0.3 + (int(s[1:]) % 5) / 4) * {"x": 0.5, "y": 1.5, None: 1.0}[lang]
+        by_s["=" + s] += size * rate
+        by_l["~" if lang is None else "=" + lang] += size * rate
+    families = [mixing.Family("s", list(by_s), list(by_s.values())), mixing.Family("l", list(by_l), list(by_l.values()))]
+    monkeypatch.setattr(mixing, "MAX_GROUPS", 10)
+    got = mixing.mix_copies(docs, families).collect()
+    assert len(got) == len(data) and all(0 <= r.copies <= 3 for r in got)
+    for family, counts in zip(families, (by_s, by_l), strict=True):
+        tilted, taken = collections.Counter(), collections.Counter()
+        for r in got:
+            value = r[family.column]
+            key = "~" if value is None else "=" + value
+            tilted[key] += r.size * r.rate
+            taken[key] += r.size * r.copies
+        assert all(tilted[k] == pytest.approx(n, rel=1e-4) for k, n in counts.items())
+        assert all(abs(taken[k] - n) <= 0.15 * n + 60 for k, n in counts.items())
+
+
 def test_zero_targets_and_joins(spark, monkeypatch):
     docs, _ = sample(spark)
     monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)

@@ -2,9 +2,10 @@
 
 Among all mixes that meet the token targets, the one closest to the corpus (least relative entropy
 of taken to available tokens, no document above `cap` times) gives each document the rate
-min(cap, exp(sum of the duals of its groups)). The duals maximise a concave function; Newton steps
-find them, each one a Spark aggregation over the cells of the group columns. Of one family the rate
-is target over tokens, so its groups stay a table of any length.
+min(cap, exp(sum of the duals of its groups)). The duals minimise a convex function; Newton steps
+find them, each one a Spark job over the cells of the group columns. Duals, slopes and curvatures of
+any number of groups stay in tables; the driver sees the largest relative error only. Several small
+families take joint steps instead (`balance`), which need fewer of them.
 
 Rates become whole copies without bias by size: in each cell documents go by a hash of their id,
 and those below a threshold get one copy more. The threshold is found digit by digit (sums per
@@ -28,7 +29,7 @@ DIGIT_BITS = 16
 DIGITS = 3
 #: What one pass leaves of a target is offered to the documents that fit into the rest.
 PASSES = 3
-#: Bound of the dual problem of several families: groups of all of them together.
+#: Several families of up to so many groups together take joint Newton steps; more go family by family.
 MAX_GROUPS = 4096
 #: Cells up to this number are broadcast; more are joined.
 BROADCAST_CELLS = 65_536
@@ -180,6 +181,75 @@ def balance(
     return duals
 
 
+def _step(dual: Column, taken: Column, curve: Column, target: Column, bound: Column) -> Column:
+    """The dual after one Newton step; no further than `bound`, beyond which its group is all at the cap."""
+    moved = dual + F.greatest((target - taken) / curve, F.lit(-1.5))
+    return F.when(target > 0, F.least(moved, bound)).otherwise(dual)
+
+
+def _start(target: Column) -> Column:
+    """Duals begin at the untilted mix; a group with target 0 gets one whose rate is 0."""
+    return F.when(target > 0, F.lit(0.0)).otherwise(F.lit(-800.0))
+
+
+def _worst(target: Column, taken: Column) -> Column:
+    return F.max(F.when(target > 0, F.abs(taken - target) / target))
+
+
+def solve_duals(groups: DataFrame, cap: float = 3.0, tolerance: float = 1e-12, max_steps: int = 200) -> DataFrame:
+    """`groups` (tokens and target, one family) with dual and rate, staged; any number of rows.
+
+    The dual of one family splits into its groups, so its curvature is diagonal and a Newton step is
+    one projection. Steps from above the solution never cross it, and the cap bounds those from below:
+    each step is a descent. A group with a small rate needs about one step for each power of e.
+    """
+    target, top = F.col("target"), F.lit(math.log(cap))
+    taken = F.col("tokens") * F.least(F.exp("dual"), F.lit(float(cap)))
+    state = stage_table(groups.withColumn("dual", _start(target)), "duals")
+    for _ in range(max_steps):
+        worst = state.agg(_worst(target, taken)).first()[0]
+        if worst is None or worst <= tolerance:
+            break
+        state = stage_table(state.withColumn("dual", _step(F.col("dual"), taken, taken, target, top)), "duals")
+    return state.withColumn("rate", F.least(F.exp("dual"), F.lit(float(cap))))
+
+
+def solve_families(
+    cells: DataFrame, targets: list[DataFrame], cap: float = 3.0, tolerance: float = 1e-6, max_steps: int = 200
+) -> DataFrame:
+    """`cells` (_key0, _key1, ..., tokens) with rate; `targets[i]` has _key{i} and target, of any length.
+
+    Family by family: with the other duals held, the curvature is diagonal, so a step sums taken
+    tokens and curvature per group and moves each dual by itself. Targets no mix can meet are approached.
+    """
+    keys, top = [f"_key{i}" for i in range(len(targets))], math.log(cap)
+    duals = [f"_dual{i}" for i in range(len(targets))]
+    state = stage_table(cells.select(*keys, "tokens", *(F.lit(0.0).alias(d) for d in duals)), "duals")
+    eta = sum((F.col(d) for d in duals), F.lit(0.0))
+    taken = F.col("tokens") * F.least(F.exp(eta), F.lit(float(cap)))
+    wanted = [stage_table(t.select(k, "target"), "targets") for t, k in zip(targets, keys, strict=True)]
+    for _ in range(max_steps):
+        errors = []
+        for key, dual, goal in zip(keys, duals, wanted, strict=True):
+            # A cell at the cap counts with its curvature from below.
+            free = F.sum(F.when(eta <= top + 1e-9, taken))
+            sums = state.where("tokens > 0").groupBy(key).agg(
+                F.sum(taken).alias("taken"), F.coalesce(free, F.sum(taken)).alias("curve"),
+                F.first(dual).alias("dual"), (F.lit(top) - F.min(eta - F.col(dual))).alias("bound"),
+            )
+            met = stage_table(sums.join(goal, key), "slopes")
+            errors.append(met.agg(_worst(F.col("target"), F.col("taken"))).first()[0] or 0.0)
+            step = _step(F.col("dual"), F.col("taken"), F.greatest("curve", F.lit(1e-300)), F.col("target"), F.col("bound"))
+            step = F.when(F.col("target") > 0, step).otherwise(F.lit(-800.0))
+            moved = met.select(key, step.alias("moved"))
+            state = stage_table(
+                state.join(_small(moved), key, "left").withColumn(dual, F.coalesce("moved", dual)).drop("moved"), "duals"
+            )
+        if max(errors) <= tolerance:
+            break
+    return state.select(*keys, "tokens", F.least(F.exp(eta), F.lit(float(cap))).alias("rate"))
+
+
 def _thresholds(docs: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
     """`cells` with `rules`: per pass the hashes from..below and the largest size that get one more copy.
 
@@ -246,9 +316,17 @@ def mix_copies(docs: DataFrame, families: list[Family], cap: float = 3.0) -> Dat
     keyed = docs.withColumns({k: group_key(c) for k, c in zip(keys, columns, strict=True)})
     sums = keyed.groupBy(*keys).agg(F.first(F.struct(*columns)).alias("own"), F.sum("size").alias("tokens"))
     cells = stage_table(sums.select(*keys, "own.*", "tokens"), "cell-sizes")
-    duals = balance(cells, families, cap)
-    rate = F.least(F.exp(_tilt(duals, F.col("at"))), F.lit(float(cap)))
-    rated = _indexed(cells, families).withColumn("rate", rate)
+    if sum(len(f.keys) for f in families) <= MAX_GROUPS:
+        duals = balance(cells, families, cap)
+        rate = F.least(F.exp(_tilt(duals, F.col("at"))), F.lit(float(cap)))
+        rated = _indexed(cells, families).withColumn("rate", rate)
+    else:
+        spark = docs.sparkSession
+        tables = [
+            spark.createDataFrame(list(zip(f.keys, map(float, f.targets), strict=True)), f"{k} string, target double")
+            for f, k in zip(families, keys, strict=True)
+        ]
+        rated = solve_families(cells, tables, cap)
     rated = rated.withColumn("wanted", F.col("rate") * F.col("tokens"))
     return _whole_copies(docs, keyed, keys, rated, cap)
 
@@ -311,8 +389,9 @@ def group_targets(docs: DataFrame, column: str, cap: float = 3.0, cycle: tuple[f
 def mix_groups(docs: DataFrame, column: str = "source", cap: float = 3.0, cycle: tuple[float, ...] = CYCLE) -> DataFrame:
     """`docs` (see `mix_copies`) with rate, copies, and its group's group_size and target; any number of groups."""
     targets = group_targets(docs, column, cap, cycle)
-    rate = F.when(F.col("group_size") > 0, F.col("target") / F.col("group_size")).otherwise(F.lit(0.0))
-    rated = targets.withColumns({"tokens": F.col("group_size"), "wanted": F.col("target"), "rate": F.least(rate, F.lit(float(cap)))})
+    rated = solve_duals(targets.withColumn("tokens", F.col("group_size")), cap)
+    # The tilted tokens are the target but for a rounding error, which must not move a half to the other side.
+    rated = rated.withColumn("wanted", F.round(F.col("rate") * F.col("tokens"), 6))
     keyed = docs.withColumn("_key0", group_key(column))
     return _whole_copies(docs, keyed, ["_key0"], rated, cap, "group_size", "target")
 
