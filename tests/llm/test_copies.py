@@ -169,6 +169,9 @@ def test_components(monkeypatch, spark, percent, block):
 def test_one_of_each_group_stays(spark, docs, empty):
     kept = shingle_join.first_of_components(docs)
     want = [r for r, (i, _, c) in zip(helpers.rows(), plain_components(helpers.rows(), 75), strict=True) if i == c]
+    # The table holds one row twice; a repeated text stays once.
+    assert len(set(want)) < len(want)
+    want = [*{r for r in want if r[1] and r[1].split()}, *(r for r in want if not (r[1] and r[1].split()))]
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
     assert shingle_join.first_of_components(empty).count() == 0

@@ -415,12 +415,22 @@ def _named(keys: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def first_of_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """`docs` with one document of each component: the one with the smallest id. All columns stay.
+    """`docs` with one row of each component: one with the smallest id. All columns stay.
 
-    Rows that share the smallest id all stay, and so do rows without an id whose group has no id.
+    Of rows that repeat this id and text one stays. Where no row of a component has an id, one row of
+    each different text stays. Blank texts belong to no component: their rows all stay.
     """
-    found = shingle_components(docs, size, percent)
+    found = shingle_components(docs, size, percent).where("n_shingles > 0")
     copy = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    later = stage_table(found.where(copy).select("doc_id", "text_hash").distinct(), "later-copies")
-    match = docs["doc_id"].eqNullSafe(later["doc_id"]) & (text_hash(docs["text"]) == later["text_hash"])
-    return docs.join(later, match, "left_anti")
+    # Partial sums absorb a text with a third of all rows.
+    texts = found.groupBy("doc_id", "text_hash").agg(F.max(copy).alias("copy"), F.count(F.lit(1)).alias("n"))
+    marked = stage_table(texts.where("copy OR n > 1"), "later-copies")
+    match = docs["doc_id"].eqNullSafe(marked["doc_id"]) & (text_hash(docs["text"]) == marked["text_hash"])
+    rest = docs.join(marked, match, "left_anti")
+    repeated = marked.where("NOT copy").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if repeated.isEmpty():
+        return rest
+    same = docs["doc_id"].eqNullSafe(repeated["_id"]) & (text_hash(docs["text"]) == repeated["_hash"])
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row")
+    once = docs.join(repeated, same).select("_id", "_hash", row).groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    return rest.unionByName(once.select("_row.*"))
