@@ -1,13 +1,14 @@
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from test_plans import plan_of
 from tokenizers import Tokenizer
 
 from tokenloom.operators.ordering import with_doc_id
 from tokenloom.operators.encoding import encode_corpus
-from tokenloom.operators.segments import segment_corpus
+from tokenloom.operators.segments import any_of, segment_corpus
 from tokenloom.operators.training import train_bpe
-from tokenloom.operators.vocabulary import special_tokens
+from tokenloom.operators.vocabulary import Vocabulary, special_tokens
 from tokenloom.plans.tokenizer_build import build_tokenizer
 from tokenloom.plans.training_blocks import read_blocks, training_blocks, write_blocks
 from tokenloom.sources.artefacts import (
@@ -21,6 +22,7 @@ from tokenloom.sources.artefacts import (
     write_clean_text,
 )
 from tokenloom.sources.corpus import read_source_files, scan_corpus
+from tokenloom.sources.refresh import StaleCorpus, read_corpus, refresh_corpus
 
 
 def test_language_folders_are_pruned(spark, tmp_path):
@@ -89,6 +91,55 @@ def test_a_half_written_corpus_is_not_taken_over(spark, tmp_path):
         reuse_clean_corpus(spark, str(path), lambda: spark.range(5))
 
 
+def test_only_changed_texts_are_cleaned_again(spark, tmp_path):
+    path, seen = str(tmp_path / "p"), []
+
+    def table(rows):
+        return spark.createDataFrame(rows, "doc_id string, content string")
+
+    def clean(df):
+        seen.append(sorted(r.doc_id for r in df.collect()))
+        return df.select("doc_id", F.upper("content").alias("clean_text"))
+
+    def rows(df):
+        return sorted((r.doc_id, r.clean_text) for r in df.collect())
+
+    with pytest.raises(StaleCorpus):
+        read_corpus(spark, path)
+    old = [("a", "x"), ("b", "y"), ("c", None), ("d", "")]
+    assert rows(refresh_corpus(table(old), path, clean, {"seed": 1})) == sorted((i, t and t.upper()) for i, t in old)
+    new = [("a", "x"), ("b", "other"), ("c", None), ("e", "z")]
+    with pytest.raises(StaleCorpus):
+        read_corpus(spark, path, table(new))
+    for _ in range(2):
+        assert rows(refresh_corpus(table(new), path, clean, {"seed": 1})) == [("a", "X"), ("b", "OTHER"), ("c", None), ("e", "Z")]
+    assert seen == [["a", "b", "c", "d"], ["b", "e"]]
+    assert rows(read_corpus(spark, path, table(new))) == [("a", "X"), ("b", "OTHER"), ("c", None), ("e", "Z")]
+    with pytest.raises(StaleCorpus):
+        refresh_corpus(table(new), path, clean, {"seed": 2})
+    with pytest.raises(ValueError):
+        refresh_corpus(table([("a", "x"), ("a", "y")]), path, clean, {"seed": 1})
+    # Back to the first text: the row of the first refresh is not taken for the new one.
+    assert rows(refresh_corpus(table(old[:2]), path, clean, {"seed": 1})) == [("a", "X"), ("b", "Y")]
+    # A refresh that fails before its commit leaves the state as it was.
+    with pytest.raises(RuntimeError):
+        refresh_corpus(table(new), path, lambda df: (_ for _ in ()).throw(RuntimeError()), {"seed": 1})
+    assert rows(read_corpus(spark, path, table(old[:2]))) == [("a", "X"), ("b", "Y")]
+    assert rows(refresh_corpus(table([]), path, clean, {"seed": 1})) == []
+
+
+def test_a_thousand_reserved_tokens(spark):
+    names = [f"<extra_{i}>" for i in range(998)] + ["<extra_1", "{end}"]
+    text = "a <extra_1><extra_17>b\n<extra_1 <extra_99x> <extra_9 {end}<SCOPE_IN>c<extra_997><extra_998>"
+    vocab = train_bpe(spark.createDataFrame([("abab\n",)], "segment string"), 104)
+    vocab = Vocabulary(vocab.tokens + tuple(names), vocab.merges, vocab.specials + tuple(names))
+    df = spark.createDataFrame([(1, text)], "doc_id long, clean_text string")
+    own = list(encode_corpus(df, vocab).first().ids)
+    assert own == Tokenizer.from_str(to_exchange(vocab)).encode(text).ids
+    assert own.count(vocab.id_of("<extra_1>")) == 1 and vocab.id_of("<extra_997>") in own
+    assert len(any_of(names)) < 5 * len(names)
+
+
 def test_tokenizer_round_trip(spark, tmp_path):
     vocab = train_bpe(spark.createDataFrame([("<a> <a> <a>",)], "segment string"), 108)
     save_tokenizer(vocab, spark, str(tmp_path / "t"))

@@ -217,6 +217,8 @@ def oracle() -> dict[str, str]:
         "save_tokenizer": f"WITH {TRAINED} {merge_rows(M)}",
         "load_tokenizer": vocab,
         "reuse_clean_corpus": prose_rows,
+        "refresh_corpus": f"SELECT p.*, d.lang IS NOT DISTINCT FROM 'de' OR (d.lang = 'fr') IS TRUE AS fresh "
+        f"FROM ({prose_rows}) p JOIN documents d USING (doc_id)",
         "sanitize_text": f"SELECT doc_id, {sanitized('text')} AS content FROM documents",
         "sanitize_pages": f"SELECT page_id AS doc_id, {sanitized('html')} AS content FROM pages",
         "lex_documents": "SELECT p_partkey AS doc_id, "

@@ -40,6 +40,7 @@ from tokenloom.sources.artefacts import (
     write_clean_text,
 )
 from tokenloom.sources.corpus import default_spread, read_source_files, scan_corpus
+from tokenloom.sources.refresh import refresh_corpus
 from tokenloom.streaming.corpus_stream import corpus_stream, run_to_files, stream_clean, stream_encode
 from tokenloom.streaming.pack_stream import PackStream
 
@@ -160,6 +161,18 @@ def reused_corpus(spark, sf_dir):
     return reuse_clean_corpus(spark, path, never)
 
 
+def refreshed_corpus(spark, sf_dir):
+    """The corpus prepared from an earlier state (one language missing, one with other texts), then refreshed."""
+    path, now = scratch_path(spark, "refreshed"), documents(spark, sf_dir)
+    lang = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    other = F.when(F.col("lang") == "fr", F.concat("content", F.lit("\nedited"))).otherwise(F.col("content"))
+    before = now.join(lang, "doc_id").where(~F.col("lang").eqNullSafe("de")).select("doc_id", other.alias("content"))
+    first = refresh_corpus(before, path, clean_prose).select("part").distinct()
+    parts = [r["part"] for r in first.collect()]
+    rows = refresh_corpus(now, path, clean_prose)
+    return rows.select("doc_id", "clean_text", (~F.col("part").isin(parts)).alias("fresh"))
+
+
 # --- cleaning ----------------------------------------------------------------------------
 
 
@@ -601,6 +614,7 @@ QUERIES = {
     "save_tokenizer": saved_merges,
     "load_tokenizer": loaded_vocab,
     "reuse_clean_corpus": reused_corpus,
+    "refresh_corpus": refreshed_corpus,
     "sanitize_text": sanitized,
     "sanitize_pages": sanitized_pages,
     "lex_documents": lexeme_report,

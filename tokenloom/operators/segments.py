@@ -30,10 +30,40 @@ def units(text: Column, split_mode: str = "literal") -> Column:
     return F.regexp_extract_all(text, F.lit(unit_pattern(split_mode)), F.lit(0))
 
 
+def any_of(names) -> str:
+    """A pattern for the longest of `names` at a place, as a tree of their prefixes.
+
+    A place is ruled out by its first characters, however many names there are.
+    """
+    tree: dict = {}
+    for name in names:
+        at = tree
+        for c in name:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = []
+        for c, below in sorted(node.items()):
+            run = c
+            # Characters without a choice stay together: the depth is that of the choices.
+            while c and len(below) == 1 and "" not in below:
+                ((c, below),) = below.items()
+                run += c
+            if c:
+                ways.append(re.escape(run) + pattern(below))
+        if not ways:
+            return ""
+        whole = "(?:" + "|".join(ways) + ")"
+        return whole + "?" if "" in node else whole
+
+    return pattern(tree)
+
+
 def encoding_units(text: Column, specials=SPECIAL_TOKENS, split_mode: str = "literal") -> Column:
     """Reserved tokens found in the text stand alone; the rest is cut as for training."""
     # Of two reserved tokens starting at one place the longer wins.
-    names = "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True))
+    names = any_of(specials)
     between = {
         "literal": rf"(?:(?!{names})[^\n])*+\n|(?:(?!{names})[^\n])++",
         "regex": rf"\n|(?:(?!{names})[^\n])++",
