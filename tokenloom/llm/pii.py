@@ -3,7 +3,7 @@
 A replacement keeps what a reader or a model could rely on: the kind of entity, its format (digits
 stay digits, separators stay), its script and letter case, and, for names, the gender. The same
 entity gets the same replacement in every document, different ones never share one, and none is its
-own; no table has to be shared for that:
+own, unless a very short name leaves no other; no table has to be shared for that:
 - formats (phones, cards, addresses, keys) go through a keyed cycle over all strings of their format;
   where a format has check digits, the walk goes on until they hold;
 - listed given names go round a keyed cycle of the names of their gender and script;
