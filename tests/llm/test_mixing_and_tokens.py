@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -198,7 +199,7 @@ def test_shards_share_one_dictionary(spark, sf_dir, monkeypatch):
 
 def test_pieces_equal_whole_texts():
     encoder = token_store.PieceEncoder(tokenizer_path())
-    encoder.pieces.most = encoder.runs.most = 8000
+    encoder.units.most = 8000
     assert encoder.by_piece and encoder.by_run and encoder.mark is not None
     rng = random.Random(2)
     chars = "abcXYZ'stllve \n\t\r\x01\x0b12,.!<|>éÀ́ΣςİßЖ  \U0001f600中"
@@ -206,6 +207,14 @@ def test_pieces_equal_whole_texts():
     for at in range(0, len(texts), 50):
         some = texts[at : at + 50]
         assert encoder.encode(some) == [encoded(t)[:-1].tobytes() for t in some]
+    # Part of a column, with nulls, blanks and texts without units at the edges; then pieces kept whole.
+    some = ["x", None, "", " \n ", *texts[:40], "Été ÀB×C÷d 12Ab'S <|ENDOFTEXT|> İx", "", "\n"]
+    want = [encoded(t)[:-1].tobytes() for t in some]
+    assert encoder.encode(pa.array(some).slice(1)) == want[1:]
+    assert encoder.encode([" ", None, "\n"]) == encoder.encode(pa.array(["", None, ""])) == [b""] * 3
+    encoder.by_run = False
+    encoder.units = token_store.Remembered()
+    assert encoder.encode(some) == want
 
 
 def test_empty_store(spark, empty):

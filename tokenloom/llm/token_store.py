@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -37,18 +38,29 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 8192
 DICT_BYTES = 32 << 10
 LEVEL = 3
-#: What a worker remembers of pieces and of runs: so many bytes each, twice over at most.
-CACHED_BYTES = 32 << 20
+#: What a worker remembers of units: so many bytes, twice over at most.
+CACHED_BYTES = 48 << 20
 #: Bytes of an entry besides its characters and ids: two objects and their place in the table.
 ENTRY_BYTES = 190
 ENCODE_TEXTS = 64
 JOINED_PIECES = 100
 #: A control character: a byte of its own in UTF-8, which no other character contains.
 MARK = "\x01"
-#: A longer piece between spaces is not remembered.
+#: A longer unit is not remembered.
 CACHED_CHARS = 48
-#: Runs of letters, and of what stands between them, in ASCII and Latin-1.
+#: Documents that begin within so many bytes of each other are encoded at once.
+SLICE_BYTES = 4 << 20
+#: Runs of letters, and of what stands between them, in ASCII and Latin-1; `KINDS` and `PAIRS` say the same of bytes.
 RUNS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Kinds of bytes: what ends a piece, a letter, anything else.
+GAP, LETTER, OTHER = 0, 1, 2
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[ord(c) for c in " \n"]] = GAP
+KINDS[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+#: Letters among the characters from U+0080 on, by their second byte, behind 0xC2 and 0xC3.
+PAIRS = np.full((2, 256), OTHER, np.uint8)
+PAIRS[0, [0xAA, 0xB5, 0xBA]] = LETTER
+PAIRS[1, [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = LETTER
 #: Fixed value: how vocabularies of this kind spell the end of a word.
 WORD_END = "</w>"
 #: Frames in a part of the ordered shuffle.
@@ -86,12 +98,13 @@ class Remembered:
 
 
 class PieceEncoder:
-    """Ids of whole texts with a `tokenizers` file, each piece between spaces encoded once.
+    """Ids of whole texts with a `tokenizers` file, each distinct unit of a slice of texts looked up once.
 
-    Valid for tokenizers whose pre-tokenizer never joins characters across an ASCII space or line
-    end and drops both, which the class checks on a probe; others are encoded text by text. If the
-    probe shows too that letters never join other characters and that case plays no part, a new
-    piece is put together from its runs of letters and non-letters.
+    A unit is a piece between spaces. That is valid for tokenizers whose pre-tokenizer never joins
+    characters across an ASCII space or line end and drops both, which the class checks on a probe;
+    others are encoded text by text. If the probe shows too that letters never join other characters
+    and that case plays no part, the units of a piece are its runs of letters and of non-letters.
+    Texts are cut, their units made distinct, and ids put in place by whole arrays.
     """
 
     PROBE = "A b\n\nc d's 12 3! x"
@@ -103,13 +116,16 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces, self.runs = Remembered(), Remembered()
+        self.units = Remembered()
         alone = np.frombuffer(self._ids([MARK])[0], "<u4")
         self.mark = int(alone[0]) if len(alone) == 1 else None
         self.by_piece = self._ids([self.PROBE]) == [b"".join(self._ids(self.PROBE.split()))]
         added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
         #: What `_plain` leaves to the library: an apostrophe may join what follows, an added token is no run.
         self.joining = re.compile("|".join(["'", *added]))
+        #: Bytes that keep their piece whole: of characters beyond Latin-1, and those such a match begins with.
+        self.whole = np.arange(256) >= 0xC4
+        self.whole[[ord("'"), *(t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values())]] = True
         words = self.RUN_PROBE.split()
         self.by_run = self.by_piece and all(
             self._ids([w]) == [b"".join(self._ids([r.lower() for r in RUNS.findall(w)]))] for w in words
@@ -149,37 +165,84 @@ class PieceEncoder:
             return self._ids(pieces)
         return self._apart(pieces, f" {MARK} ", self._between_marks)
 
-    def _run_ids(self, pieces: list[str]) -> list[bytes]:
-        """As `_piece_ids`, from remembered runs; a run of letters is one word to the tokenizer."""
-        cut = [RUNS.findall(p.lower()) for p in pieces]
-        new = self.runs.unknown(itertools.chain.from_iterable(cut))
-        letters = [r for r in new if r.isalpha()]
-        others = [r for r in new if not r.isalpha()]
-        self.runs.learn(letters, self._apart(letters, " ", self._words))
-        self.runs.learn(others, self._piece_ids(others))
-        look = self.runs.known.__getitem__
-        found = [b"".join(map(look, runs)) for runs in cut]
-        self.runs.forget(r for r in new if len(r) > CACHED_CHARS)
-        return found
-
-    def _plain(self, piece: str) -> bool:
-        """Made of runs; beyond Latin-1 characters may combine."""
-        return self.by_run and (piece.isascii() or max(piece) <= "\xff") and not self.joining.search(piece)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, unit: str) -> bool:
+        """A run; beyond Latin-1 characters may combine."""
+        return self.by_run and (unit.isascii() or max(unit) <= "\xff") and not self.joining.search(unit)
+
+    def _learn(self, units: list[str]) -> None:
+        """A run of letters is one word to the tokenizer, so many of them go into one text."""
+        letters, others = [], []
+        for u in units:
+            (letters if u.isalpha() and self._plain(u) else others).append(u)
+        self.units.learn(letters, self._apart(letters, " ", self._words))
+        self.units.learn(others, self._piece_ids(others))
+
+    def _cut(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last + 1 byte of the units of UTF-8 texts, which `edges` divide, in order; the bytes.
+
+        Runs are lower-cased as far as ASCII goes, so that one unit serves both cases.
+        """
+        kind = KINDS[raw]
+        lead = np.flatnonzero((raw == 0xC2) | (raw == 0xC3))
+        kind[lead] = kind[lead + 1] = PAIRS[raw[lead] - 0xC2, raw[lead + 1]]
+        text = kind != GAP
+        after = np.zeros(len(raw) + 1, bool)
+        after[edges] = True
+        begins = text & after[:-1]
+        begins[1:] |= text[1:] & ~text[:-1]
+        ends = text & after[1:]
+        ends[:-1] |= text[:-1] & ~text[1:]
+        firsts, lasts = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if not self.by_run or not len(firsts):
+            return firsts, lasts, raw
+        begins[1:] |= text[1:] & (kind[1:] != kind[:-1])
+        starts = np.flatnonzero(begins)
+        heads = np.zeros(len(raw), bool)
+        heads[firsts] = True
+        head = heads[starts]
+        kept_whole = np.zeros(len(firsts), bool)
+        kept_whole[np.searchsorted(firsts, np.flatnonzero(self.whole[raw] & text), "right") - 1] = True
+        capitals = np.flatnonzero((raw >= ord("A")) & (raw <= ord("Z")))
+        capitals = capitals[~kept_whole[np.searchsorted(firsts, capitals, "right") - 1]]
+        raw = raw.copy()
+        raw[capitals] += ord("a") - ord("A")
+        stay = head | ~kept_whole[np.cumsum(head) - 1]
+        starts, head = starts[stay], head[stay]
+        stops = np.append(starts[1:], 0)
+        stops[np.append(head[1:], True)] = lasts
+        return starts, stops, raw
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of each text; null is empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column.cast(pa.large_string()), "")
         if not self.by_piece:
-            return self._ids(texts)
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        new = self.pieces.unknown(itertools.chain.from_iterable(cut))
-        plain, others = [], []
-        for p in new:
-            (plain if self._plain(p) else others).append(p)
-        self.pieces.learn(plain, self._run_ids(plain))
-        self.pieces.learn(others, self._piece_ids(others))
-        look = self.pieces.known.__getitem__
-        found = [b"".join(map(look, words)) for words in cut]
-        self.pieces.forget(p for p in new if len(p) > CACHED_CHARS)
-        return found
+            return self._ids(column.to_pylist())
+        edges = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
+        if not edges[-1]:
+            return [b""] * len(column)
+        at = int(np.frombuffer(column.buffers()[1], np.int64, 1, 8 * column.offset)[0])
+        raw = np.frombuffer(column.buffers()[2], np.uint8, int(edges[-1]), at)
+        starts, stops, raw = self._cut(raw, edges)
+        if not len(starts):
+            return [b""] * len(column)
+        # Between two units are gaps only, so what is left of the bytes is the units, end to end.
+        places = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+        buffers = pa.py_buffer(places), pa.py_buffer(raw[KINDS[raw] != GAP])
+        coded = pa.LargeStringArray.from_buffers(len(starts), *buffers).dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.units.unknown(units)
+        self._learn(new)
+        ids = list(map(self.units.known.__getitem__, units))
+        self.units.forget(u for u in new if len(u) > CACHED_CHARS)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        offsets = np.cumsum(lengths) - lengths
+        unit = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(lengths[unit])])
+        taken = np.repeat(offsets[unit] - ends[:-1], lengths[unit]) + np.arange(ends[-1])
+        found = np.frombuffer(b"".join(ids), "<u4")[taken]
+        bounds = ends[np.searchsorted(starts, edges)].tolist()
+        return [found[a:b].tobytes() for a, b in itertools.pairwise(bounds)]
 
 
 @cache
@@ -188,20 +251,23 @@ def encoder_of(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, batch_docs: int = 64):
-    """(batch of up to `batch_docs` documents, their ids as little-endian uint32 bytes, ended by the end id)."""
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int):
+    """(a slice of a batch, its documents' ids as little-endian uint32 bytes, ended by the end id)."""
     encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
     for whole in batches:
-        for at in range(0, whole.num_rows, batch_docs):
-            batch = whole.slice(at, batch_docs)
-            yield batch, [x + end for x in encoder.encode([t or "" for t in batch["text"].to_pylist()])]
+        sizes = pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy().astype(np.int64)
+        window = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        edges = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
+        for low, high in itertools.pairwise(edges):
+            batch = whole.slice(low, high - low)
+            yield batch, [x + end for x in encoder.encode(batch["text"])]
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int, batch_docs: int = 64) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, ids as little-endian uint32 bytes); the end id closes each document, null is empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded(batches, tokenizer_path, end_id, batch_docs):
+        for batch, ids in encoded(batches, tokenizer_path, end_id):
             yield batch_of({"doc_id": batch["doc_id"], "ids": ids}, ids=pa.binary())
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind_of(docs, 'doc_id')}, ids binary")
