@@ -1,14 +1,17 @@
 """Line dedup and decontamination against brute force."""
 
 import collections
+import itertools
+import random
 import re
 import string
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import helpers
-from tokenloom.llm import decontamination as windows, line_dedup
+from tokenloom.llm import common, decontamination as windows, line_dedup
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SPACES = " \t\n\x0b\x0c\r"
@@ -126,3 +129,17 @@ def test_empty_tables(spark, docs, empty):
     assert windows.contamination(empty, spark.createDataFrame(items(), "item_id long, text string")).count() == 0
     assert windows.contamination(docs, bench).where(F.size("covered") > 0).count() == 0
     assert windows.decontaminate(docs, bench).count() == docs.count()
+
+
+def test_words_of_a_column():
+    rng = random.Random(4)
+    chars = "abCÉé \t\n\x0b\x0c\r\x1c\x85\u00a0中\0"
+    texts = [None, "", " \n", *("".join(rng.choices(chars, k=rng.randint(0, 30))) for _ in range(300)), "", " "]
+    for column in (pa.array(texts), pa.array(texts).slice(2), pa.array(texts, pa.large_string()), pa.array([None, " "]), pa.array([], pa.string())):
+        words, places, bounds = common.words_of(column)
+        assert len(set(words)) == len(words) and len(bounds) == len(column) + 1
+        got = [[words[k] for k in places[a:b]] for a, b in itertools.pairwise(bounds)]
+        assert got == [(t or "").encode().lower().split() for t in column.to_pylist()]
+    batch = pa.record_batch({"text": pa.array(["x" * common.SLICE_BYTES, None, "a", "b" * common.SLICE_BYTES, "c"])})
+    assert [s.num_rows for s in common.slices(batch)] == [1, 3, 1]
+    assert not list(common.slices(batch.slice(0, 0)))

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The six ASCII white-space characters that end a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: By byte: whether it ends a word, and itself with A-Z lowered.
+IS_SPACE = np.isin(np.arange(256), [ord(c) for c in SPACES])
+LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Documents that begin within so many bytes of each other are handled at once.
+SLICE_BYTES = 4 << 20
 #: Words whose hash a task remembers before it starts over.
 CACHED_WORDS = 300_000
 
@@ -77,6 +84,51 @@ class WordHashes(dict):
         return np.fromiter((self[w] for w in words), np.uint64, len(words))
 
 
+def slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive slices whose texts begin within `SLICE_BYTES`."""
+    sizes = pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy().astype(np.int64)
+    window = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    edges = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
+    for low, high in itertools.pairwise(edges):
+        yield whole.slice(low, high - low)
+
+
+def utf8_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column, and where in them each text begins, with their end; null is empty."""
+    column = pc.fill_null(texts.cast(pa.large_string()), "")
+    edges = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())]).astype(np.int64)
+    if not edges[-1]:
+        return np.zeros(0, np.uint8), edges
+    at = int(np.frombuffer(column.buffers()[1], np.int64, 1, 8 * column.offset)[0])
+    return np.frombuffer(column.buffers()[2], np.uint8, int(edges[-1]), at), edges
+
+
+def bounds_of(text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes begin, and which end, a stretch of `text` (true or false by byte) that crosses no edge."""
+    after = np.zeros(len(text) + 1, bool)
+    after[edges] = True
+    begins, ends = text & after[:-1], text & after[1:]
+    begins[1:] |= text[1:] & ~text[:-1]
+    ends[:-1] |= text[:-1] & ~text[1:]
+    return begins, ends
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (A-Z lowered), the place in them of each word in turn, and the first word of each text.
+
+    The last number of the third is the end of the last text.
+    """
+    raw, edges = utf8_of(texts)
+    text = ~IS_SPACE[raw]
+    begins, ends = bounds_of(text, edges)
+    firsts, lasts = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    places = np.concatenate([[0], np.cumsum(lasts - firsts)]).astype(np.int64)
+    buffers = [None, pa.py_buffer(places), pa.py_buffer(LOWERED[raw[text]])]
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(firsts), buffers).dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return words, coded.indices.to_numpy(), np.searchsorted(firsts, edges)
+
+
 def give_back() -> None:
     """Return memory that is free but held: a Python worker lives on beside the stages after its own."""
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tokenloom.llm.common import batch_of, kind_of
+from tokenloom.llm.common import batch_of, kind_of, slices, words_of
 from tokenloom.session import ship_package, stage_table
 
 #: Shares of all tokens from which a word has its own symbol, or a place in the broadcast table.
@@ -38,13 +38,6 @@ TRAIN_TOKENS = 1 << 16
 END = b""
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """ASCII white space splits, A-Z is lowered, the end token closes."""
-    words = text.encode().lower().split() if text else []
-    words.append(END)
-    return words
-
-
 def word_hash(word: bytes) -> int:
     """64 bits, signed as Spark has it."""
     value = xxhash.xxh3_64_intdigest(word)
@@ -68,9 +61,11 @@ def count_words(docs: DataFrame) -> DataFrame:
             return batch_of(columns, h=pa.int64(), n=pa.int64(), **{"class": pa.int32()})
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                for word in tokens_of(text):
-                    seen[word] = seen.get(word, 0) + 1
+            for part in slices(batch):
+                words, places, _ = words_of(part["text"])
+                for word, n in zip(words, np.bincount(places, minlength=len(words)).tolist(), strict=True):
+                    seen[word] = seen.get(word, 0) + n
+                seen[END] = seen.get(END, 0) + part.num_rows
                 if len(seen) > FLUSH_WORDS:
                     yield flush()
         yield flush()
@@ -129,7 +124,8 @@ class Symbols:
         self.slots: dict[bytes, int] = {}
         self.columns = (np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))
 
-    def add(self, words: set[bytes]) -> None:
+    def add(self, words: list[bytes]) -> None:
+        """`words` are distinct."""
         lex = self.lexicon
         new = [w for w in words if w not in self.slots]
         if not new:
@@ -159,14 +155,17 @@ def encode_symbols(docs: DataFrame, lexicon: Lexicon, training: Column) -> DataF
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Symbols(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in slices(whole):
                 if len(table.slots) > FLUSH_WORDS:
                     table.reset()
-                texts = [tokens_of(text) for text in batch["text"].to_pylist()]
-                table.add(set(itertools.chain.from_iterable(texts)))
-                look = table.slots.__getitem__
-                found = [np.fromiter(map(look, words), np.int32, len(words)) for words in texts]
+                words, places, bounds = words_of(batch["text"])
+                words.append(END)
+                table.add(words)
+                slots = np.fromiter(map(table.slots.__getitem__, words), np.int32, len(words))
+                # The end token closes each document.
+                flat = slots[np.insert(places, bounds[1:], len(words) - 1)]
+                closed = bounds + np.arange(len(bounds))
+                found = [flat[a:b] for a, b in itertools.pairwise(closed.tolist())]
                 symbol, log_count, h, rare, inner = table.columns
                 rows = {k: [] for k in ("symbols", "n_tokens", "n_head", "log_counts", "inner")}
                 rare_words = []

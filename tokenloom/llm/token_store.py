@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tokenloom.llm.common import batch_of, kind_of, tidy
+from tokenloom.llm.common import batch_of, bounds_of, kind_of, slices, tidy, utf8_of
 from tokenloom.session import ship_package, stage_table
 
 #: Payload bytes after which a shard is closed.
@@ -48,8 +48,6 @@ JOINED_PIECES = 100
 MARK = "\x01"
 #: A longer unit is not remembered.
 CACHED_CHARS = 48
-#: Documents that begin within so many bytes of each other are encoded at once.
-SLICE_BYTES = 4 << 20
 #: Runs of letters, and of what stands between them, in ASCII and Latin-1; `KINDS` and `PAIRS` say the same of bytes.
 RUNS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: Kinds of bytes: what ends a piece, a letter, anything else.
@@ -186,12 +184,7 @@ class PieceEncoder:
         lead = np.flatnonzero((raw == 0xC2) | (raw == 0xC3))
         kind[lead] = kind[lead + 1] = PAIRS[raw[lead] - 0xC2, raw[lead + 1]]
         text = kind != GAP
-        after = np.zeros(len(raw) + 1, bool)
-        after[edges] = True
-        begins = text & after[:-1]
-        begins[1:] |= text[1:] & ~text[:-1]
-        ends = text & after[1:]
-        ends[:-1] |= text[:-1] & ~text[1:]
+        begins, ends = bounds_of(text, edges)
         firsts, lasts = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         if not self.by_run or not len(firsts):
             return firsts, lasts, raw
@@ -215,14 +208,11 @@ class PieceEncoder:
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text; null is empty."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        column = pc.fill_null(column.cast(pa.large_string()), "")
         if not self.by_piece:
-            return self._ids(column.to_pylist())
-        edges = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
-        if not edges[-1]:
+            return self._ids(pc.fill_null(column, "").to_pylist())
+        raw, edges = utf8_of(column)
+        if not len(raw):
             return [b""] * len(column)
-        at = int(np.frombuffer(column.buffers()[1], np.int64, 1, 8 * column.offset)[0])
-        raw = np.frombuffer(column.buffers()[2], np.uint8, int(edges[-1]), at)
         starts, stops, raw = self._cut(raw, edges)
         if not len(starts):
             return [b""] * len(column)
@@ -255,11 +245,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int)
     """(a slice of a batch, its documents' ids as little-endian uint32 bytes, ended by the end id)."""
     encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
     for whole in batches:
-        sizes = pc.fill_null(pc.binary_length(whole["text"]), 0).to_numpy().astype(np.int64)
-        window = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-        edges = np.flatnonzero(np.diff(window, prepend=-1, append=-1)).tolist()
-        for low, high in itertools.pairwise(edges):
-            batch = whole.slice(low, high - low)
+        for batch in slices(whole):
             yield batch, [x + end for x in encoder.encode(batch["text"])]
 
 
