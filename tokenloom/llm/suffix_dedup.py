@@ -8,8 +8,8 @@ fragment of text, and equal strings meet in one bucket.
 1. Batches of documents send their minimisers; those of one document only are done with.
 2. The fragments of shared minimisers go to their buckets. Equal fragments in a batch go once: the
    later documents' copies are known to be repeats, so a group of copies never fills a bucket.
-3. A bucket sorts its suffixes with the difference-cover algorithm: sort the triples at two of three
-   positions, recurse on their names, merge the other suffixes in, then compare neighbours' prefixes.
+3. A bucket sorts its suffixes to the depth of `span`, eight bytes at a time. Suffixes that differ from
+   all others so far, or meet only those of their own document, need no further bytes.
 4. Starts of a hot minimiser (a phrase that many documents surround with their own text) would fill
    one bucket. They go by the digest of their `span` bytes instead: a batch sends each digest once
    with its smallest id, so no bucket grows with the number of documents that share a string.
@@ -118,20 +118,44 @@ def equal_prefixes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) ->
     return same
 
 
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number that sorts as they do; past the end they are 0."""
+    wide = np.zeros(len(raw) + 8, np.uint64)
+    wide[: len(raw)] = raw
+    word = np.zeros(len(raw), np.uint64)
+    for i in range(8):
+        word |= wide[i : i + len(raw)] << np.uint64(8 * (7 - i))
+    return word
+
+
 def later_starts(raw: np.ndarray, starts: np.ndarray, docs: np.ndarray, span: int) -> np.ndarray:
-    """For each start: whether its `span` bytes also start in a document with a smaller id."""
-    place = np.full(len(raw), -1, np.int64)
-    place[starts] = np.arange(len(starts))
-    order = suffix_array(raw.astype(np.int64) + 1)
-    ranked = place[order]
-    ranked = ranked[ranked >= 0]
-    here = starts[ranked]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ~equal_prefixes(raw, here[1:], here[:-1], span)
-    group = np.cumsum(new) - 1
-    least = np.minimum.reduceat(docs[ranked], np.flatnonzero(new)) if len(ranked) else docs[ranked]
-    later = np.zeros(len(starts), bool)
-    later[ranked] = docs[ranked] > least[group]
+    """For each start: whether its `span` bytes also start in a document with a smaller id.
+
+    The suffixes are sorted to the depth of `span`, eight bytes at a time. A suffix goes on to the next
+    eight only beside others with the same bytes so far, in documents of different ids.
+    """
+    word, later = _words(raw), np.zeros(len(starts), bool)
+    some, group, least = np.arange(len(starts)), np.zeros(len(starts), np.int64), docs[:0]
+    unused = np.uint64(8 * max(0, 8 - span))
+    for offset in sorted({*range(0, span - 7, 8), max(0, span - 8)}):
+        if not len(some):
+            break
+        key = word[starts[some] + offset] >> unused
+        order = np.argsort(key)
+        new = np.diff(key[order], prepend=~key[order[:1]]) != 0
+        if offset:
+            rank = np.empty(len(some), np.int64)
+            rank[order] = np.cumsum(new)
+            key = group << 32 | rank
+            order = np.argsort(key)
+            new = np.diff(key[order], prepend=-1) != 0
+        some, first = some[order], np.flatnonzero(new)
+        owner, size = docs[some], np.diff(np.append(first, len(order)))
+        least = np.minimum.reduceat(owner, first)
+        several = least < np.maximum.reduceat(owner, first)
+        some, least = some[np.repeat(several, size)], least[several]
+        group = np.repeat(np.arange(len(least)), size[several])
+    later[some] = docs[some] > least[group]
     return later
 
 
