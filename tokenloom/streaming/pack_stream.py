@@ -13,11 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenloom.operators.packing import lanes, shift_targets
+from tokenloom.operators.worker import tidy
 
+#: Ids go to the few tasks of the lanes, and leave them, as one value of little-endian 32-bit numbers:
+#: an array would be converted element by element there.
+_ID = np.dtype("<i4")
 BLOCK_SCHEMA = "lane int, block_id long, chunk array<int>"
 STATE_SCHEMA = "next_block long, ids array<int>"
 #: Blocks handed over at once.
@@ -25,6 +30,25 @@ EMIT_BLOCKS = 4096
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _to_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids").fill_null([])
+        ends = (ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()) * _ID.itemsize
+        values = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), _ID)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(values)]
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), buffers).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lane"), packed], ["doc_id", "lane", "ids"])
+
+
+def _to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunks = batch.column("chunk").to_pylist()
+        ends = np.cumsum([0, *map(len, chunks)]) // _ID.itemsize
+        values = pa.array(np.frombuffer(b"".join(chunks), _ID))
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([batch.column("lane"), batch.column("block_id"), ids], ["lane", "block_id", "chunk"])
+
+
 class LanePacker(StatefulProcessor):
     """Full blocks of `width` ids from the documents of one lane, micro-batch by micro-batch."""
 
@@ -37,14 +61,15 @@ class LanePacker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         next_block, carried = self.open.get() if self.open.exists() else (0, [])
         docs = pd.concat([r[["doc_id", "ids"]] for r in rows]).sort_values("doc_id", kind="stable")
-        stream = np.concatenate([np.asarray(carried, np.int32), *(np.asarray(x, np.int32) for x in docs["ids"])])
-        full = len(stream) // self.width
-        blocks = stream[: full * self.width].reshape(full, self.width)
+        stream = b"".join([np.asarray(carried, _ID).tobytes(), *docs["ids"]])
+        size = self.width * _ID.itemsize
+        full = len(stream) // size
         for at in range(0, full, EMIT_BLOCKS):
-            some = blocks[at : at + EMIT_BLOCKS]
-            numbers = np.arange(next_block + at, next_block + at + len(some))
-            yield pd.DataFrame({"lane": np.int32(key[0]), "block_id": numbers, "chunk": list(some)})
-        self.open.update((int(next_block) + full, stream[full * self.width :].tolist()))
+            some = range(at, min(full, at + EMIT_BLOCKS))
+            numbers = np.arange(next_block + some.start, next_block + some.stop)
+            chunks = [stream[i * size : (i + 1) * size] for i in some]
+            yield pd.DataFrame({"lane": np.int32(key[0]), "block_id": numbers, "chunk": chunks})
+        self.open.update((int(next_block) + full, np.frombuffer(stream[full * size :], _ID).tolist()))
 
     def close(self) -> None:
         pass
@@ -63,9 +88,16 @@ class PackStream:
     def packed(self, encoded: DataFrame) -> DataFrame:
         """The stream of full blocks."""
         dealt = lanes(encoded.select("doc_id", "ids"), self.n_lanes)
-        return dealt.groupBy("lane").transformWithStateInPandas(
-            LanePacker(self.block_size + 1), outputStructType=BLOCK_SCHEMA, outputMode="Append", timeMode="None"
+        sent = dealt.mapInArrow(tidy(_to_binary), f"doc_id {dealt.schema['doc_id'].dataType.simpleString()}, lane int, ids binary")
+        full = sent.groupBy("lane").transformWithStateInPandas(
+            LanePacker(self.block_size + 1),
+            outputStructType="lane int, block_id long, chunk binary",
+            outputMode="Append",
+            timeMode="None",
         )
+        # The few tasks of the lanes only cut: all cores turn blocks into arrays and write them.
+        spread = full.repartition(encoded.sparkSession.sparkContext.defaultParallelism, "block_id")
+        return spread.mapInArrow(tidy(_to_ids), BLOCK_SCHEMA)
 
     def run(self, encoded: DataFrame, checkpoint: str) -> None:
         """Process all input there is, then stop."""
