@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
 import itertools
 import string
 from collections.abc import Callable, Iterator
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tokenloom.operators.worker import give_back, tidy  # noqa: F401 (the operators import them from here)
+
 #: The six ASCII white-space characters that end a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,23 +127,3 @@ def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(firsts), buffers).dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     return words, coded.indices.to_numpy(), np.searchsorted(firsts, edges)
-
-
-def give_back() -> None:
-    """Return memory that is free but held: a Python worker lives on beside the stages after its own."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass  # another C library
-
-
-def tidy(work: Callable) -> Callable:
-    """`work`, a generator over the Arrow batches of a partition, that gives memory back when it ends."""
-
-    @functools.wraps(work)
-    def run(batches):
-        yield from work(batches)
-        give_back()
-
-    return run
