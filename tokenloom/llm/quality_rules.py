@@ -4,8 +4,9 @@ Two multinomials over hashed word n-grams are counted: one over trusted document
 whole raw corpus. A document's score is its log-likelihood ratio per n-gram. The threshold is found
 on the labelled documents, so every document gets the same verdict on every run.
 
-The trusted documents are a bounded sample of the labelled rows (`max_labels`, lowest crc32 of the
-id first). The raw counts and the verdicts cover all documents.
+All labelled documents count: the trusted ones by a join, and the threshold is the best over the scores
+of all of them, found by running totals in the order of the scores. The driver gets the buckets' counts
+and one row for each partition of the scores.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tokenloom.llm.common import SPACES, WordHashes, batch_of, bucket_of, kind_of, text_hash, tidy
+from tokenloom.llm.common import SPACES, WordHashes, batch_of, kind_of, text_hash, tidy
+from tokenloom.operators.ordering import prefix_sum, with_doc_id
 from tokenloom.session import ship_package, stage_table
 
 SYMBOLS = "#*$%&|<>"
@@ -25,7 +27,6 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ID_BUCKETS = 1 << 20
 
 
 def ngram_buckets(hashes: np.ndarray, max_n: int = 2) -> np.ndarray:
@@ -70,36 +71,36 @@ def base_rules(text: str | None, hashes: np.ndarray) -> tuple[int, int, int, int
     return word_chars, n_symbols, len(lines) - len(set(lines)), repeated_words(hashes)
 
 
-def _labelled(labels: DataFrame, max_labels: int) -> DataFrame:
-    """(id, trusted, bad) of at most `max_labels` labelled documents. Trusted: quality 1, not toxic."""
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(id, trusted, bad) of the labelled documents. Trusted: quality 1, not toxic."""
     good = F.col("quality") == 1
     return (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.min(good & (F.coalesce("toxic", F.lit(0)) == 0)).alias("trusted"), F.min(~good).alias("bad"))
-        .orderBy(bucket_of("id", ID_BUCKETS), "id")
-        .limit(max_labels)
     )
 
 
-def ngram_counts(docs: DataFrame, trusted: set[int], max_n: int = 2) -> np.ndarray:
-    """Two rows of counts per bucket: trusted documents, all documents."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
+def ngram_counts(docs: DataFrame, trusted: DataFrame, max_n: int = 2) -> np.ndarray:
+    """Two rows of counts per bucket: documents whose id is in `trusted` (id), all documents."""
+    # By merging whatever the sizes: the ids grow with the documents, and may not go to every executor.
+    ids = trusted.select("id", F.lit(True).alias("trusted")).hint("merge")
+    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, total = WordHashes(), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for known, text in zip(batch["trusted"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if not text:
                     continue
                 grams = np.bincount(ngram_buckets(hashed.of(text.encode().split()), max_n), minlength=BUCKETS)
                 total[1] += grams
-                if doc_id in known.value:
+                if known:
                     total[0] += grams
         some = np.flatnonzero(total[1])
         yield batch_of({"bucket": some, "trusted": total[0][some], "raw": total[1][some]})
 
-    parts = docs.select("doc_id", "text").mapInArrow(tidy(count), "bucket long, trusted long, raw long")
+    parts = marked.select("trusted", "text").mapInArrow(tidy(count), "bucket long, trusted long, raw long")
     # At most BUCKETS rows reach the driver.
     rows = parts.groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw")).collect()
     counts = np.zeros((2, BUCKETS))
@@ -142,6 +143,20 @@ def best_threshold(good: np.ndarray, bad: np.ndarray, keep_good: float) -> float
     return float(cuts[int(np.argmax(worth))])
 
 
+def threshold_of(scored: DataFrame, keep_good: float) -> float:
+    """`best_threshold` of a table (score, trusted, bad) of any size; of equal cuts the lowest."""
+    n = {c: F.sum(F.col(c).cast("long")).alias(c) for c in ("trusted", "bad")}
+    by_score = stage_table(with_doc_id(scored.where("trusted OR bad").groupBy("score").agg(*n.values()), "score", doc_id="place"), "scores")
+    good, bad = by_score.agg(F.sum("trusted"), F.sum("bad")).first()
+    if not good or not bad:
+        return -np.inf
+    below = prefix_sum(by_score, "place", F.col("trusted"), "good_below")
+    below = below.join(prefix_sum(by_score.select("place", "bad"), "place", F.col("bad"), "bad_below").drop("bad"), "place")
+    kept, dropped = 1 - F.col("good_below") / F.lit(good), F.col("bad_below") / F.lit(bad)
+    worth = F.when(kept >= keep_good, kept + dropped).otherwise(-1.0)
+    return below.agg(F.max(F.struct(worth.alias("worth"), (-F.col("score")).alias("minus")))["minus"]).first()[0] * -1.0
+
+
 def quality_rules(
     docs: DataFrame,
     labels: DataFrame | None,
@@ -149,7 +164,6 @@ def quality_rules(
     min_words: int = 20,
     max_repeat_percent: int = 30,
     max_n: int = 2,
-    max_labels: int = 20_000,
     keep_good: float = 0.99,
     smoothing: float = 1.0,
 ) -> DataFrame:
@@ -159,23 +173,19 @@ def quality_rules(
     Null and empty texts have no words and fail the base rules. Equal rows get equal verdicts.
     """
     ship_package(docs.sparkSession)
-    log_ratio, trusted, known = np.zeros(BUCKETS), set(), None
+    log_ratio, known = np.zeros(BUCKETS), None
     if labels is not None:
-        known = stage_table(_labelled(labels, max_labels), "labelled")
-        trusted = {r["id"] for r in known.where("trusted").select("id").collect()}
-    if trusted:
-        target, raw = ngram_counts(docs, trusted, max_n) + smoothing
+        known = stage_table(_labelled(labels), "labelled")
+        known = None if known.where("trusted").isEmpty() else known
+    if known is not None:
+        target, raw = ngram_counts(docs, known.where("trusted"), max_n) + smoothing
         log_ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
     measured = stage_table(_measured(docs, log_ratio, max_n), "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     threshold = -np.inf
-    if trusted:
-        # One row per label at most: `max_labels` bounds both the broadcast and what is collected.
-        met = measured.where(~failed).join(F.broadcast(known), measured["doc_id"] == known["id"])
-        rows = met.groupBy("id", "trusted", "bad").agg(F.min("score").alias("score")).collect()
-        good = np.array([r["score"] for r in rows if r["trusted"]])
-        bad = np.array([r["score"] for r in rows if r["bad"]])
-        threshold = best_threshold(good, bad, keep_good)
+    if known is not None:
+        met = measured.where(~failed).join(known, measured["doc_id"] == known["id"])
+        threshold = threshold_of(met.groupBy("id", "trusted", "bad").agg(F.min("score").alias("score")), keep_good)
     return measured.select(
         "*",
         failed.alias("base_failed"),
