@@ -9,12 +9,13 @@ stream takes as many lanes as it has cores.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenloom.operators.packing import lanes, shift_targets
@@ -99,19 +100,32 @@ class PackStream:
         spread = full.repartition(encoded.sparkSession.sparkContext.defaultParallelism, "block_id")
         return spread.mapInArrow(tidy(_to_ids), BLOCK_SCHEMA)
 
+    def _state_partitions(self, spark: SparkSession) -> int:
+        """As few partitions as keep the lanes apart, or nearly so: each costs a worker and a store in every micro-batch."""
+        n = self.n_lanes
+        places = [r[0] for r in spark.range(n).select(F.hash(F.col("id").cast("int"))).collect()]
+        return min(range(n, 4 * n + 1), key=lambda p: (max(Counter(h % p for h in places).values()), p))
+
     def run(self, encoded: DataFrame, checkpoint: str) -> None:
         """Process all input there is, then stop."""
-        encoded.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-        (
-            self.packed(encoded)
-            .writeStream.format("parquet")
-            .option("path", f"{self.path}/blocks")
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+        spark = encoded.sparkSession
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        # Noted in the checkpoint by the first run, which later ones follow.
+        spark.conf.set("spark.sql.shuffle.partitions", self._state_partitions(spark))
+        try:
+            query = (
+                self.packed(encoded)
+                .writeStream.format("parquet")
+                .option("path", f"{self.path}/blocks")
+                .option("checkpointLocation", checkpoint)
+                .outputMode("append")
+                .trigger(availableNow=True)
+                .start()
+            )
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        query.awaitTermination()
 
     def blocks(self, spark: SparkSession) -> DataFrame:
         """All blocks written so far, as input and target."""
