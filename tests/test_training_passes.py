@@ -1,11 +1,13 @@
 """Passes over the corpus in training: few, and each distinct run merged once."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
 from tokenloom.contract import queries as q
+from tokenloom.functions.text import tidy_lines
 from tokenloom.operators import merge_kernel, training
 from tokenloom.operators.merge_kernel import MergeTable, links_of, merge_runs, replay, split_runs, sum_pairs
 from tokenloom.operators.segments import segment_corpus, units
@@ -101,3 +103,12 @@ def test_a_corpus_of_many_splits_is_not_moved(spark, tmp_path):
         corpus = scan_corpus(spark, path, partitions=q.default_spread(spark))
         assert ("Repartition" in corpus._jdf.queryExecution().optimizedPlan().toString()) == moved
         assert corpus.count() == 2000
+
+
+def test_lines_are_tidied_as_by_the_plain_rules(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab \t\n\r\x0b\x0c", k=rng.randrange(25))) for _ in range(3000)]
+    texts += ["", " ", "\n", " \n ", "a" + " " * 100_000 + "b" + "\t " * 50_000 + "\n" + " " * 100_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tidy_lines(F.col("t")).alias("got")).collect()
+    lines = [[line.strip("\t ") for line in re.split(r"[\n\x0b\x0c\r]", t)] for t in texts]
+    assert [r.got for r in rows] == ["\n".join(line for line in each if line) for each in lines]
